@@ -1,6 +1,12 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import exact
+from . import exact, fingerprints, orc_tokens, packing, sharding
 
-QUERIES = {"op10_exact_dedup": exact.op10_exact_dedup}
+QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op6_orc_tokens": orc_tokens.op6_orc_tokens,
+    "op8_packing": packing.op8_packing,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_exact_dedup": exact.op10_exact_dedup,
+}
 SQL = {"op10_exact_dedup": exact.OP10_SQL}
