@@ -55,13 +55,20 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schem
     kinds = spark_to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
+        for b in slices(batches):
+            if (out := f(b)) is not None:
                 yield columns(out, kinds)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds the results of few long texts at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def spark_to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

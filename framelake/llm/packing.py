@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, saved, spark_to_arrow, workspace
+from .common import columns, documents, map_batches, saved, slices, spark_to_arrow, workspace
 from .tokens import encoder, tokenizer_path
 
 LENGTH, END = 2048, 1
@@ -31,7 +31,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         at = 0
-        for b in batches:
+        for b in slices(batches):
             ids = [x + tail for x in encoder(path).encode([t or "" for t in b.column("text").to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             begin = at + np.cumsum(n) - n
@@ -41,8 +41,8 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary)."""
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, ids: bool = True) -> DataFrame:
+    """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, and ids (binary) if asked for."""
     work = workspace(docs.sparkSession)
     rows = saved(encoded(docs, path, end), f"{work}/ids")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))  # one row for each scan partition
@@ -56,22 +56,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
         row = np.repeat(np.arange(len(n)), k)
         seq = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + first[row]
         lo, hi = np.maximum(at[row], seq * length), np.minimum(at[row] + n[row], (seq + 1) * length)
-        ids, start = b.column("ids"), lo - at[row]
-        pieces = [ids[r].as_buffer()[4 * s : 4 * (s + m)].to_pybytes() for r, s, m in zip(row.tolist(), start.tolist(), (hi - lo).tolist())]
-        return {"doc_id": b.column("doc_id").take(pa.array(row)), "start": start, "length": hi - lo, "doc_tokens": n[row], "sequence_id": seq, "offset": lo - seq * length, "ids": pieces}
+        start = lo - at[row]
+        codes, views = b.column("ids"), zip(row.tolist(), (4 * start).tolist(), (4 * (hi - lo)).tolist())
+        pieces = [codes[r].as_buffer()[s : s + m] for r, s, m in views]
+        return {"doc_id": b.column("doc_id").take(pa.array(row)), "start": start, "length": hi - lo, "doc_tokens": n[row], "sequence_id": seq, "offset": lo - seq * length, "ids_crc32": [zlib.crc32(x) for x in pieces]} | ({"ids": [x.to_pybytes() for x in pieces]} if ids else {})
 
-    return map_batches(placed, cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids in place of the ids."""
-
-    def crc(b):
-        return {n: b.column(n) for n in names} | {"ids_crc32": [zlib.crc32(x) for x in b.column("ids").to_pylist()]}
-
-    names = [c for c in pieces.columns if c != "ids"]
-    return map_batches(pieces, crc, ", ".join(f"{n} long" for n in names) + ", ids_crc32 long")
+    return map_batches(placed, cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(documents(spark, sf_dir), tokenizer_path()))
+    return pack(documents(spark, sf_dir), tokenizer_path(), ids=False)

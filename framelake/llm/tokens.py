@@ -11,9 +11,10 @@ import os
 import re
 
 import numpy as np
+import regex
 
-#: Chunks whose ids a worker keeps at most; it starts anew beyond.
-KEEP = 300_000
+#: Chunks in a worker's table; beyond it a new one begins, and what is met again moves there from the last.
+KEEP = 200_000
 #: A space before white space or the end may belong to a longer run of white space: such texts aren't cut there.
 _RUN = re.compile(r" (?=\s|\Z)")
 _loaded: dict = {}
@@ -25,42 +26,122 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before every space that surely begins a pre-token; joined they are the text."""
+def chunks(text: str) -> tuple[str, list[str]]:
+    """The text cut at every space that surely begins a pre-token: what stands before the first, then the chunks,
+    each without its space."""
     if _RUN.search(text) is None:
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-    return re.split(r"(?<=\S)(?= \S)", text)
+        return first, rest
+    first, *rest = re.split(r"(?<=\S) (?=\S)", text)
+    return first, rest
 
 
-class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, with a tokenizer file of the tokenizers library."""
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class Splitter:
+    """Chunks to pre-tokens by the pattern; beyond LATIN letters the tokenizer's own pre-tokenizer cuts, whose
+    letters and digits are those of its Unicode version."""
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    LATIN = "\u0370"
+
+    def __init__(self, library):
+        self.pre, self.find = library.pre_tokenizer, regex.compile(self.PATTERN).findall
+
+    def split(self, chunk: str) -> list[str]:
+        if chunk and max(chunk) < self.LATIN:
+            return self.find(chunk)
+        return [chunk[a:z] for _, (a, z) in self.pre.pre_tokenize_str(chunk)]
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
+class Chunked:
+    """Texts to ids as little-endian unsigned 32-bit integers, chunk by chunk through a bounded table. A subclass
+    has ask(text) for any text and learn(chunks), which puts new chunks into the table."""
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, split, special: list[str]):
+        self.split, self.special = split, special
+        self.table: dict[str, bytes] = {}  # by chunk, without its space
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # by text without a space before it
+
+    def head(self, text: str) -> bytes:
+        if text not in self.heads:
+            if len(self.heads) > KEEP // 4:
+                self.heads.clear()
+            self.heads[text] = self.ask(text)
+        return self.heads[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        for lo in range(0, len(texts), 64):
-            cut = [None if any(s in t for s in self.special) else chunks(t) for t in texts[lo : lo + 64]]
-            if len(self.table) > KEEP:
-                self.table.clear()
-            table = self.table
-            new = [w for w in set().union(*(c for c in cut if c)) if w not in table]
-            table.update(zip(new, self._ask(new)))
-            get = table.__getitem__
-            out += [self._ask([texts[lo + i]])[0] if c is None else b"".join(map(get, c)) for i, c in enumerate(cut)]
-        return out
+        cut = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
+        if len(self.table) > KEEP:
+            self.older, self.table = self.table, {}
+        table = self.table
+        self.learn([w for w in set().union(*(c[1] for c in cut if c)) if w not in table])
+        get = table.__getitem__
+        return [self.ask(t) if c is None else self.head(c[0]) + b"".join(map(get, c[1])) for t, c in zip(texts, cut)]
+
+
+class Encoder(Chunked):
+    """With a byte-level tokenizer file, by the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.words):
+            t.no_truncation()
+            t.no_padding()
+            t.model._resize_cache(0)  # the table below does this work
+        # The same model for pre-tokens already cut and written in byte characters, with a space between.
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        super().__init__(Splitter(self.library).split, [t.content for t in self.library.get_added_tokens_decoder().values()])
+        self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
+        self.written = dict(enumerate(byte_characters())) | {10: " "}
+
+    def ask(self, text: str) -> bytes:
+        return self._ask(self.library, text)
+
+    def _ask(self, library, text: str) -> bytes:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of new chunks; one call encodes all their new pre-tokens, and the bytes that its tokens stand for
+        tell where each ends. Keys are without the leading space."""
+        table, older, cut, ask = self.table, self.older, [], {}
+        for w in new:
+            if w in older:
+                table[w] = older[w]
+            elif w.isalpha():
+                ask[w] = None
+            else:
+                first, *rest = parts = self.split(" " + w)
+                if not rest and "\n" not in w:
+                    ask[w] = None
+                elif first[0] == " " and len(first) > 1 and "\n" not in first:
+                    cut.append((w, parts))
+                    if first[1:] not in table:
+                        ask[first[1:]] = None
+                    for p in rest:
+                        if p not in self.heads:
+                            self.heads[p] = self.ask(p)
+                else:
+                    table[w] = self.ask(" " + w)
+        if ask:
+            written = "\n ".join(ask).encode().decode("latin-1").translate(self.written)
+            ids = np.frombuffer(code := self._ask(self.words, self.written[32] + written), "<u4")
+            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in written.split(" ")]) + 1) + 1
+            at = 0
+            for p, z in zip(ask, (4 * stops).tolist()):
+                table[p] = code[at:z]
+                at = z
+        for w, (first, *rest) in cut:
+            table[w] = b"".join([table[first[1:]], *(self.heads[p] for p in rest)])
 
 
 def encoder(path: str) -> Encoder:
