@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import bpe, exact, fingerprints, jaccard, orc_tokens, packing, sharding
+from . import bpe, exact, fingerprints, jaccard, orc_tokens, packing, phrases, sharding
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_bpe": bpe.op3_bpe,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op6_orc_tokens": orc_tokens.op6_orc_tokens,
+    "op7_phrases": phrases.op7_phrases,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact.op10_exact_dedup,
