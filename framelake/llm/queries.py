@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import bpe, exact, fingerprints, jaccard, orc_tokens, packing, phrases, sharding
+from . import bpe, exact, fingerprints, jaccard, language, orc_tokens, packing, phrases, quotes, sharding
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_language": language.op2_language,
     "op3_bpe": bpe.op3_bpe,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_quotes": quotes.op5_quotes,
     "op6_orc_tokens": orc_tokens.op6_orc_tokens,
     "op7_phrases": phrases.op7_phrases,
     "op8_packing": packing.op8_packing,
