@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, same, saved, slices, small, spark_to_arrow, workspace
+from .common import columns, documents, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
 #: Counters of the sketch: 4 MB, whatever the input.
@@ -87,7 +87,7 @@ def needed(n: int, top: int, of: int) -> int:
 
 def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows of doc_id, n, sid; at the end of a partition rows of the sketch (block, counts)."""
-    schema = "doc_id long, n long, sid long, block int, counts binary"
+    schema = "doc_id long, key long, n long, sid long, block int, counts binary"
     kinds = spark_to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +96,12 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
             sets = [shingles(t, k) for t in b.column("text").to_pylist()]
             if b.num_rows:
                 counts += np.bincount(np.concatenate(sets) & (1 << bits) - 1, minlength=1 << bits).astype(np.int32)
-            yield columns({"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "block": pa.nulls(b.num_rows, pa.int32()), "counts": pa.nulls(b.num_rows, pa.binary())}, kinds)
+            yield columns({"doc_id": b.column("doc_id"), "key": b.column("key"), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "block": pa.nulls(b.num_rows, pa.int32()), "counts": pa.nulls(b.num_rows, pa.binary())}, kinds)
         blocks = counts.reshape(64, -1)
         none = pa.nulls(64, pa.int64())
-        yield columns({"doc_id": none, "n": none, "sid": none, "block": np.arange(64, dtype=np.int32), "counts": [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in blocks]}, kinds)
+        yield columns({"doc_id": none, "key": none, "n": none, "sid": none, "block": np.arange(64, dtype=np.int32), "counts": [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in blocks]}, kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, schema)
 
 
 def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
@@ -222,10 +222,10 @@ def _searcher(top: int, of: int):
 
 
 def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, sid and component_id of each document; documents link at Jaccard >= top / of."""
+    """doc_id, key (hash of the text), n_shingles, sid and component_id of each document; documents link at Jaccard >= top / of."""
     spark = docs.sparkSession
     scan = saved(_scan(docs, k, bits), f"{path}/scan")
-    table = scan.where("block is null").select("doc_id", "n", "sid")
+    table = scan.where("block is null").select("doc_id", "key", "n", "sid")
     sketch = spark.sparkContext.broadcast(_sketch(scan, bits))  # 2^bits bytes
     clumps = saved(components(_stars(docs, k, top, of, bits, sketch), f"{path}/clumps"), f"{path}/clump-of")
     clumps = saved(clumps.select(F.col("node").alias("sid"), F.col("component").alias("clump")).unionByName(clumps.select(F.col("component").alias("sid"), F.col("component").alias("clump")).distinct()), f"{path}/members")
@@ -265,7 +265,16 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     low = label.groupBy("component").agg(F.min("least").alias("component_id"))
     named = saved(label.join(low, "component").select("sid", "component_id"), f"{path}/named")
     out = table.join(small(named, named.count()), "sid")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, top: int = 80, of: int = 100) -> DataFrame:
+    """docs with the smallest doc_id of each group of near duplicates, and all that link with none."""
+    path = workspace(docs.sparkSession)
+    groups = link_groups(docs, path, k, top, of)
+    drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    drop = saved(drop, f"{path}/drop")
+    return docs.join(small(drop, drop.count()), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,16 +155,16 @@ def marks(docs: DataFrame, path: str) -> DataFrame:
 
 
 def removed(docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_words and kept: the words left, joined by one space; null where none was removed."""
-    marked = marks(docs, path).withColumnsRenamed({"id": "_id", "key": "_key"})
-    if marked.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0] <= MARKS:
+    """docs with _n_words, _n_removed and _kept: the words left, joined by one space; null where none was removed."""
+    marked = marks(docs, path).withColumnsRenamed({"id": "_id", "key": "_key", "marks": "_marks"})
+    if marked.agg(F.coalesce(F.sum(F.size("_marks")), F.lit(0))).first()[0] <= MARKS:
         marked = F.broadcast(marked)
     names = docs.columns
-    rows = docs.join(marked, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_id")) & (text_key() == F.col("_key")), "left").select(*names, "marks")
+    rows = docs.join(marked, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_id")) & (text_key() == F.col("_key")), "left").select(*names, "_marks")
 
     def cut(b):
         n, left, kept = [], [], []
-        for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
+        for t, m in zip(b.column("text").to_pylist(), b.column("_marks").to_pylist()):
             words = (t or "").encode().split()
             n.append(len(words))
             left.append(len(words))
@@ -177,14 +177,22 @@ def removed(docs: DataFrame, path: str) -> DataFrame:
                 stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
                 left[-1] = len(stay)
                 kept[-1] = b" ".join([words[i] for i in stay]).decode()
-        return {c: b.column(c) for c in names} | {"n_words": n, "n_removed": np.subtract(n, left), "kept": kept}
+        return {c: b.column(c) for c in names} | {"_n_words": n, "_n_removed": np.subtract(n, left), "_kept": kept}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(rows, cut, f"{schema}, n_words long, n_removed long, kept string")
+    return map_batches(rows, cut, f"{schema}, _n_words long, _n_removed long, _kept string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut from text, and n_chars of it; a text without them stays as it is."""
+    rows = removed(docs, workspace(docs.sparkSession)).withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = removed(documents(spark, sf_dir).select("doc_id", "text"), workspace(spark))
     # The words of a text without marks, joined by one space.
     whole = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", whole), 256).alias("kept_sha256"))
+    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", whole), 256).alias("kept_sha256"))
