@@ -3,7 +3,7 @@
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is 13 consecutive words; every word covered by a window that also
 starts in a document with a smaller doc_id is removed. Windows are judged on the input.
 
-1. A window's anchor is the least hash of the 7-word runs in it (the first of equals): equal windows have equal
+1. A window's anchor is the least hash of the 5-word runs in it (the first of equals): equal windows have equal
    anchors, and neighbours mostly share one. Only distinct (anchor, doc_id) pairs are shuffled; a walk over the
    sorted pairs leaves the anchors that several documents have.
 2. Documents meet their recurring anchors (texts travel compressed) and emit the passages around them.
@@ -19,45 +19,53 @@ each other's words. An empty table gives no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, saved, slices, spark_to_arrow, text_key, workspace
+from .common import columns, documents, map_batches, slices, text_key
 from .jaccard import windows, word_hashes
-from .orc_tokens import squeezed
 
-WINDOW, RUN = 13, 7
+WINDOW, RUN = 13, 5
 #: Passages that one automaton is made for, about; those of one anchor stay together.
 SHARD = 20_000
-#: Marks (12 bytes each) of all documents that a join may broadcast.
-MARKS = 2_000_000
 LAST = (1 << 63) - 1
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first window and number of windows of each anchor, in order."""
-    if len(words) < WINDOW:
-        return (np.empty(0, np.int64),) * 3
-    h = windows(word_hashes(words), RUN)
-    width = WINDOW - RUN + 1
-    at = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return h[at[first]].view(np.int64), first, np.diff(first, append=len(at))
+def anchors(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Of texts as lists of words: text number, hash, first window and number of windows of each anchor, in order."""
+    sizes = np.array([len(w) for w in docs], np.int64)
+    total = int(sizes.sum()) - WINDOW + 1
+    if total < 1:
+        return (np.empty(0, np.int64),) * 4
+    h = windows(word_hashes(list(chain.from_iterable(docs))), RUN)
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    least, at = h[:total].copy(), np.zeros(total, np.int64)
+    for j in range(1, WINDOW - RUN + 1):
+        lower = h[j : j + total] < least
+        least[lower] = h[j : j + total][lower]
+        at[lower] = j
+    start = np.flatnonzero(doc[:total] == doc[WINDOW - 1 :])  # windows inside one text
+    place = at[start] + start
+    new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(doc[start], prepend=-1) != 0))
+    begin = np.cumsum(sizes) - sizes
+    first = start[new]
+    return doc[first], least[first].view(np.int64), first - begin[doc[first]], np.diff(new, append=len(start))
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
     def run(b):
-        hs, ids = [], []
-        for t, i in zip(b.column("text").to_pylist(), b.column("id").to_pylist()):
-            if len(h := np.unique(anchors((t or "").encode().split())[0])):
-                hs.append(h)
-                ids.append(np.full(len(h), i))
-        return {"h": np.concatenate(hs), "id": np.concatenate(ids)} if hs else None
+        doc, h, *_ = anchors([(t or "").encode().split() for t in b.column("text").to_pylist()])
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
+        return {"h": h[new], "id": b.column("id").to_numpy()[doc[new]]}
 
     return map_batches(docs, run, "h long, id long")
 
@@ -82,26 +90,58 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield columns({"h": np.array(held[:1]), "id": np.array(held[1:2])}, kinds)
 
 
-def _passages(b: pa.RecordBatch) -> dict | None:
+def _passages(b: pa.RecordBatch) -> dict:
     """The words around the recurring anchors of each document."""
-    unzip, out = zstandard.ZstdDecompressor(), []
-    for i, key, z, known in zip(*(b.column(c).to_pylist() for c in ("id", "key", "z", "known"))):
-        words = unzip.decompress(z).split()
-        h, first, n = anchors(words)
-        use = np.isin(h, np.array(known, np.int64))
-        for x, a, m in zip(h[use].tolist(), first[use].tolist(), n[use].tolist()):
-            out.append((x, i, key, a, b" ".join(words[a : a + m + WINDOW - 1])))
-    return {n: [r[k] for r in out] for k, n in enumerate(("h", "id", "key", "first", "words"))} if out else None
+    b = b.filter(pa.compute.and_(b.column("known").is_valid(), b.column("_z").is_valid()))
+    unzip = zstandard.ZstdDecompressor()
+    words = [unzip.decompress(z).split() for z in b.column("_z").to_pylist()]
+    known = b.column("known")
+    # (text, anchor) pairs are sorted by text already; the known ones of each text are looked up together.
+    doc, h, first, n = anchors(words)
+    use = np.zeros(len(doc), bool)
+    cuts = np.searchsorted(doc, np.arange(len(words) + 1))
+    for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if z > a:
+            use[a:z] = np.isin(h[a:z], known[i].values.to_numpy())
+    doc, h, first, n = doc[use], h[use], first[use], n[use]
+    spans = zip(doc.tolist(), first.tolist(), (first + n + WINDOW - 1).tolist())
+    return {"h": h, "id": b.column("_id").to_numpy()[doc], "key": b.column("_key").to_numpy()[doc], "first": first, "n": n, "words": [b" ".join(words[i][a:z]) for i, a, z in spans]}
 
 
 def _occurrences(rows: list[tuple]) -> list[tuple]:
-    """Of passages (h, id, key, first, words) of whole anchors: (id, key, first window, windows) to be removed."""
+    """Of passages (h, id, key, first, n, words) of whole anchors, by (h, id): (id, key, first window, windows) to be
+    removed. Where all passages of an anchor are the same words, the phrase is the passage; the windows of the
+    others are confirmed one by one and located by an automaton."""
+    out, mixed, a = [], [], 0
+    while a < len(rows):
+        h, least, *_, words = rows[a]
+        z, alike = a + 1, True
+        while z < len(rows) and rows[z][0] == h:
+            alike &= rows[z][5] == words
+            z += 1
+        if alike:
+            out += [r[1:5] for r in rows[a:z] if r[1] > least]
+        else:
+            mixed += rows[a:z]
+        a = z
+    return out + _located(mixed)
+
+
+def _located(rows: list[tuple]) -> list[tuple]:
     number: dict[bytes, int] = {}
-    seqs = [tuple(number.setdefault(w, len(number)) for w in r[4].split(b" ")) for r in rows]
+    text: dict[bytes, tuple] = {}
+    for r in rows:
+        if r[5] not in text:
+            text[r[5]] = tuple([number.setdefault(w, len(number)) for w in r[5].split(b" ")])
     owner: dict[tuple, int] = {}
     confirmed: dict[tuple, int] = {}
-    for (_, i, *_), s in zip(rows, seqs):  # rising ids within an anchor, and equal windows have one anchor
-        for j in range(len(s) - WINDOW + 1):
+    ends: dict[bytes, int] = {}  # a passage met again under the same id, or a larger one, tells no more than the first two
+    for _, i, _, _, n, words in rows:  # rising ids within an anchor, and equal windows have one anchor
+        if ends.get(words, 0) == LAST:
+            continue
+        ends[words] = LAST if words in ends and ends[words] < i else i
+        s = text[words]
+        for j in range(n):
             w = s[j : j + WINDOW]
             if (least := owner.setdefault(w, i)) < i:
                 confirmed[w] = least
@@ -111,9 +151,10 @@ def _occurrences(rows: list[tuple]) -> list[tuple]:
     for w, least in confirmed.items():
         automaton.add_word(w, least)
     automaton.make_automaton()
+    found = {words: [(end - WINDOW + 1, least) for end, least in automaton.iter(s)] for words, s in text.items()}
     out = []
-    for (_, i, key, first, _), s in zip(rows, seqs):
-        starts = [end - WINDOW + 1 for end, least in automaton.iter(s) if least < i]
+    for _, i, key, first, _, words in rows:
+        starts = [j for j, least in found[words] if least < i]
         k = 0
         while k < len(starts):
             z = k
@@ -133,7 +174,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple] = []
     for b in slices(batches, 5_000):
-        held += zip(*(b.column(c).to_pylist() for c in ("h", "id", "key", "first", "words")))
+        held += zip(*(b.column(c).to_pylist() for c in ("h", "id", "key", "first", "n", "words")))
         if len(held) >= SHARD:
             cut = len(held)
             while cut and held[cut - 1][0] == held[-1][0]:  # the last anchor may go on
@@ -143,56 +184,53 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(held)
 
 
-def marks(docs: DataFrame, path: str) -> DataFrame:
-    """id (doc_id, the largest long for null), key (hash of the text), and marks: windows whose words go."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    pairs = _pairs(rows).repartition("h").sortWithinPartitions("h", "id")
-    known = pairs.mapInArrow(_recurring, "h long, id long").groupBy("id").agg(F.collect_list("h").alias("known"))
-    texts = squeezed(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    passages = map_batches(texts.join(known, "id").select("id", "key", "z", "known"), _passages, "h long, id long, key long, first int, words binary")
-    found = passages.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "id long, key long, first int, n int")
-    return saved(found.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("first", "n")).alias("marks")), f"{path}/marks")
+def removed(docs: DataFrame) -> DataFrame:
+    """docs with _n_words, _n_removed, and _kept: the words left, joined by one space. Both joins with the texts are on
+    the same exchange of them, compressed, so that they are shuffled once."""
+    names = docs.columns
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": text_key()})
 
+    def squeeze(b):
+        z = zstandard.ZstdCompressor(level=1)
+        return {c: b.column(c) for c in (*names, "_id", "_key") if c != "text"} | {"_z": [None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()]}
 
-def removed(docs: DataFrame, path: str) -> DataFrame:
-    """docs with _n_words, _n_removed and _kept: the words left, joined by one space; null where none was removed."""
-    marked = marks(docs, path).withColumnsRenamed({"id": "_id", "key": "_key", "marks": "_marks"})
-    if marked.agg(F.coalesce(F.sum(F.size("_marks")), F.lit(0))).first()[0] <= MARKS:
-        marked = F.broadcast(marked)
-    names = docs.columns
-    rows = docs.join(marked, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_id")) & (text_key() == F.col("_key")), "left").select(*names, "_marks")
+    texts = map_batches(rows, squeeze, ", ".join([*others, "_id long", "_key long", "_z binary"]))
+    pairs = _pairs(rows.select(F.col("_id").alias("id"), "text")).repartition("h").sortWithinPartitions("h", "id")
+    known = pairs.mapInArrow(_recurring, "h long, id long").groupBy(F.col("id").alias("_id")).agg(F.collect_list("h").alias("known"))
+    passages = map_batches(texts.join(known, "_id", "left"), _passages, "h long, id long, key long, first int, n int, words binary")
+    found = passages.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "id long, key long, first int, n int")
+    marks = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("key", "first", "n")).alias("_marks"))
 
     def cut(b):
+        unzip = zstandard.ZstdDecompressor()
+        texts = [None if z is None else unzip.decompress(z) for z in b.column("_z").to_pylist()]
         n, left, kept = [], [], []
-        for t, m in zip(b.column("text").to_pylist(), b.column("_marks").to_pylist()):
-            words = (t or "").encode().split()
+        for t, key, m in zip(texts, b.column("_key").to_pylist(), b.column("_marks").to_pylist()):
+            words = (t or b"").split()
             n.append(len(words))
-            left.append(len(words))
-            kept.append(None)
             if m:
                 change = np.zeros(len(words) + 1, np.int32)
                 for x in m:
-                    change[x["first"]] += 1
-                    change[x["first"] + x["n"] + WINDOW - 1] -= 1
-                stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                left[-1] = len(stay)
-                kept[-1] = b" ".join([words[i] for i in stay]).decode()
-        return {c: b.column(c) for c in names} | {"_n_words": n, "_n_removed": np.subtract(n, left), "_kept": kept}
+                    if x["key"] == key:
+                        change[x["first"]] += 1
+                        change[x["first"] + x["n"] + WINDOW - 1] -= 1
+                words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+            left.append(len(words))
+            kept.append(b" ".join(words).decode())
+        return {c: b.column(c) for c in names if c != "text"} | {"text": [None if t is None else t.decode() for t in texts], "_n_words": n, "_n_removed": np.subtract(n, left), "_kept": kept}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(rows, cut, f"{schema}, _n_words long, _n_removed long, _kept string")
+    return map_batches(texts.join(marks, "_id", "left"), cut, ", ".join([*others, "text string, _n_words long, _n_removed long, _kept string"]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from text, and n_chars of it; a text without them stays as it is."""
-    rows = removed(docs, workspace(docs.sparkSession)).withColumn("text", F.coalesce("_kept", "text"))
+    rows = removed(docs).withColumn("text", F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = removed(documents(spark, sf_dir).select("doc_id", "text"), workspace(spark))
-    # The words of a text without marks, joined by one space.
-    whole = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", whole), 256).alias("kept_sha256"))
+    rows = removed(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
