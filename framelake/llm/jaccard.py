@@ -7,7 +7,7 @@ hashes, or its whole word sequence if it has fewer than k words. Documents witho
    fixed size; equal sets are one node from here on.
 2. Shingles are ordered rare first by the sketch (any order is right; this one keeps the lists short). Two sets
    that link share one of the first n - ceil(t n) + 1: these prefixes alone are shuffled, and a walk over each
-   sorted list leaves star edges.
+   list in order of size leaves star edges, cut where sizes are too far apart to link.
 3. Components of the stars are clumps: every link lies in one. The sets of clumps are gathered, and each clump is
    searched by T-occurrence with DivideSkip: a set asks the sets before it; its short inverted lists are merged
    and counted, those that reach T less the number of long lists are looked up in the long lists by binary
@@ -27,17 +27,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, documents, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
-#: Counters of the sketch: 4 MB, whatever the input.
-SKETCH_BITS = 20
+#: Counters of the sketch: 16 MB in a task, 4 MB as broadcast, whatever the input.
+SKETCH_BITS = 22
 #: Shingles of a clump, and of a chunk of a larger one, that one task holds (8 bytes each).
 CHUNK = 2_000_000
-_words: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,17 +46,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a worker remembers those of a bounded number of words."""
     if len(_words) > 300_000:
         _words.clear()
-    get, h = _words.get, xxhash.xxh3_64_intdigest
-    out = [get(w) for w in words]
-    if None in out:
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = _words[words[i]] = h(words[i])
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -95,7 +98,7 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
         for b in slices(batches):
             sets = [shingles(t, k) for t in b.column("text").to_pylist()]
             if b.num_rows:
-                counts += np.bincount(np.concatenate(sets) & (1 << bits) - 1, minlength=1 << bits).astype(np.int32)
+                np.add.at(counts, np.concatenate(sets) & (1 << bits) - 1, 1)
             yield columns({"doc_id": b.column("doc_id"), "key": b.column("key"), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "block": pa.nulls(b.num_rows, pa.int32()), "counts": pa.nulls(b.num_rows, pa.binary())}, kinds)
         blocks = counts.reshape(64, -1)
         none = pa.nulls(64, pa.int64())
@@ -117,41 +120,45 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _stars(docs: DataFrame, k: int, top: int, of: int, bits: int, sketch) -> DataFrame:
-    """Edges (a, b) between set ids that share a shingle of their prefixes: each to the smallest of the list."""
+    """Edges (a, b) between set ids that share a shingle of their prefixes: each to the first of its run of
+    sizes in the list."""
     spark = docs.sparkSession
-    pair = spark_to_arrow(spark, "h long, sid long")
+    kind = "h long, n long, sid long"
+    pair = spark_to_arrow(spark, kind)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = sketch.value, set()
         for b in slices(batches):
-            hs, ids = [], []
+            hs, ns, ids = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, k)
                 if len(s) and (i := set_id(s)) not in seen:  # once for each set and task
                     seen.add(i)
                     m = len(s) - needed(len(s), top, of) + 1
                     hs.append(s[np.lexsort((s, order[s & (1 << bits) - 1]))[:m]])
+                    ns.append(np.full(m, len(s)))
                     ids.append(np.full(m, i))
             if hs:
-                yield columns({"h": np.concatenate(hs), "sid": np.concatenate(ids)}, pair)
+                yield columns({"h": np.concatenate(hs), "n": np.concatenate(ns), "sid": np.concatenate(ids)}, pair)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0 = s0 = None
+        h0 = n0 = s0 = None  # the last row's, and the set that its run began with
         kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for b in batches:
-            h, s = b.column("h").to_numpy(), b.column("sid").to_numpy()
+            h, n, s = (b.column(c).to_numpy() for c in ("h", "n", "sid"))
             if not len(h):
                 continue
-            new = np.concatenate([[h0 is None or h[0] != h0], h[1:] != h[:-1]])
+            # A run ends where the next size is too large to link with any before it.
+            new = np.append(h0 is None or h[0] != h0 or top * n[0] > of * n0, (h[1:] != h[:-1]) | (top * n[1:] > of * n[:-1]))
             begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
             head = np.where(begin < 0, s0 if s0 is not None else 0, s[np.maximum(begin, 0)])
-            h0, s0 = h[-1], head[-1]
+            h0, n0, s0 = h[-1], n[-1], head[-1]
             edge = s != head
             if edge.any():
                 edges = np.unique(np.stack([s[edge], head[edge]], 1), axis=0)
                 yield columns({"a": edges[:, 0], "b": edges[:, 1]}, kinds)
 
-    lists = docs.select("text").mapInArrow(prefixes, "h long, sid long").repartition("h").sortWithinPartitions("h", "sid")
+    lists = docs.select("text").mapInArrow(prefixes, kind).repartition("h").sortWithinPartitions("h", "n", "sid")
     return lists.mapInArrow(walk, "a long, b long")
 
 
@@ -171,49 +178,48 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, top: int, of: int) ->
     """Links of a spanning forest of the sets, which are in rising order of size; side 2 asks for pairs of all, sides 0
     and 1 for pairs across. Sets of one side that link are joined by another search."""
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    codes, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     at = at.ravel()
-    posting = owner[np.argsort(at, kind="stable")]  # inverted lists, each in order of the sets
-    begin = np.cumsum(count) - count
-    ends = np.cumsum(sizes)
-    up, out = _Forest(len(sets)), []
-    for q in range(1, len(sets)):
+    n = len(sets)
+    # The inverted lists one after the other, each in order of the sets; key finds a set in a list.
+    key = np.sort(at * n + owner)
+    posting, begin, ends = key % n, np.cumsum(count) - count, np.cumsum(sizes)
+    up, out = _Forest(n), []
+    for q in range(1, n):
         terms = at[ends[q] - sizes[q] : ends[q]]
         terms = terms[count[terms] > 1]
         t = needed(int(sizes[q]), top, of)
+        if len(terms) < t:
+            continue
         low = int(np.searchsorted(sizes, t))  # the first set that is large enough
-        if len(terms) < t or low >= q:
+        if low >= q:
             continue
-        lists = [posting[begin[c] : begin[c] + count[c]] for c in terms]
-        lists = [x[np.searchsorted(x, low) : np.searchsorted(x, q)] for x in lists]
-        lists.sort(key=len)
-        n_long = min(t - 1, int(t / (0.01 * np.log2(len(lists[-1]) + 2) + 1)))
-        cut = max(0, len(lists) - n_long)
-        merged = np.concatenate(lists[:cut]) if cut else np.empty(0, np.int64)
-        found, hits = np.unique(merged, return_counts=True)
-        ok = hits >= t - (len(lists) - cut)
+        terms = terms[np.argsort(count[terms], kind="stable")]
+        n_long = min(t - 1, int(t / (0.01 * np.log2(int(count[terms[-1]]) + 2) + 1)))
+        short, long = terms[: len(terms) - n_long], terms[len(terms) - n_long :]
+        k = count[short]
+        merged = posting[np.repeat(begin[short] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        found, hits = np.unique(merged[(merged >= low) & (merged < q)], return_counts=True)
+        ok = hits >= t - n_long
         for r, got in zip(found[ok].tolist(), hits[ok].tolist()):
             if side[r] == side[q] != 2 or up.find(r) == up.find(q):
                 continue
             need = -(-top * int(sizes[q] + sizes[r]) // (top + of))  # of * shared >= top * union
-            long = lists[cut:]
-            for k, x in enumerate(long):
-                if got + len(long) - k < need:
-                    break
-                p = np.searchsorted(x, r)
-                got += p < len(x) and x[p] == r
-            if got >= need:
-                out.append((q, r))
-                up.up[max(up.find(r), up.find(q))] = min(up.find(r), up.find(q))
+            if got + n_long >= need:
+                probe = long * n + r
+                got += int((key[np.minimum(np.searchsorted(key, probe), len(key) - 1)] == probe).sum())
+                if got >= need:
+                    out.append((q, r))
+                    up.up[max(up.find(r), up.find(q))] = min(up.find(r), up.find(q))
     return out
 
 
-def _searcher(top: int, of: int):
+def _searcher(k: int, top: int, of: int):
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "sid"], kind="stable")
-        sets = [np.frombuffer(x, np.int64) for x in part["shingles"]]
+        part = part.drop_duplicates(["sid", "side"]).sort_values(["n", "sid"], kind="stable")
+        unzip = zstandard.ZstdDecompressor()
+        sets = [shingles(unzip.decompress(z).decode(), k) for z in part["z"]]
         ids = part["sid"].to_numpy()
         links = divide_skip(sets, part["side"].to_numpy(), top, of)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"])
@@ -230,18 +236,9 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     clumps = saved(components(_stars(docs, k, top, of, bits, sketch), f"{path}/clumps"), f"{path}/clump-of")
     clumps = saved(clumps.select(F.col("node").alias("sid"), F.col("component").alias("clump")).unionByName(clumps.select(F.col("component").alias("sid"), F.col("component").alias("clump")).distinct()), f"{path}/members")
     n_members = clumps.count()
-    # One document for each set of a clump; its set is computed anew from its text.
+    # One document for each set of a clump; its text travels to the search and becomes a set there.
     nodes = table.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = saved(nodes.join(small(clumps, n_members), "sid"), f"{path}/nodes")
-    chosen = nodes.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(small(chosen, n_members), texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-
-    def compute(b):
-        sets = [shingles(t, k) for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "sid": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
-
-    sets = map_batches(texts, compute, "doc_id long, sid long, shingles binary")
     sizes = nodes.groupBy("clump").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
     plan = nodes.join(sizes, "clump").select("clump", "sid", "doc_id", "n", F.ceil(F.col("total") / CHUNK).cast("long").alias("chunks"))
     # Chunks of a large clump by size class, then by hash; pairs of chunks whose sizes can't link are left out.
@@ -255,9 +252,19 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     search = F.xxhash64("clump", "class1", "salt1", "class2", "salt2").alias("search")
     one = searches.select("clump", F.col("class1").alias("class"), F.col("salt1").alias("salt"), search, F.when(F.col("alone"), 2).otherwise(0).alias("side"))
     two = searches.where("not alone").select("clump", F.col("class2").alias("class"), F.col("salt2").alias("salt"), search, F.lit(1).alias("side"))
-    tasks = plan.join(one.unionByName(two), ["clump", "class", "salt"]).select("sid", F.col("doc_id").alias("_id"), "n", "search", "side")
-    held = sets.join(tasks.withColumnRenamed("sid", "_sid"), (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "n", "shingles", "search", "side").dropDuplicates(["sid", "search", "side"])
-    links = held.groupBy("search").applyInPandas(_searcher(top, of), "a long, b long")
+    tasks = saved(plan.join(one.unionByName(two), ["clump", "class", "salt"]).select("sid", F.col("doc_id").alias("_id"), "n", "search", "side"), f"{path}/searches")
+
+    def squeeze(b):
+        z = zstandard.ZstdCompressor(level=1)
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        same = [set_id(shingles(t, k)) == i for t, i in zip(texts, b.column("sid").to_pylist())]  # repeated ids may have other texts
+        keep = pa.array(np.flatnonzero(same))
+        return {c: b.column(c).take(keep) for c in ("search", "side", "sid", "n")} | {"z": [z.compress(t.encode()) for t, ok in zip(texts, same) if ok]}
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = texts.join(small(tasks, tasks.count()), texts["doc_id"].eqNullSafe(F.col("_id")))
+    held = map_batches(texts.select("search", "side", "sid", "n", "text"), squeeze, "search long, side int, sid long, n long, z binary")
+    links = held.groupBy("search").applyInPandas(_searcher(k, top, of), "a long, b long")
     # From set ids to the smallest doc_id of each set, and of each component of sets.
     joined = components(saved(links, f"{path}/links"), f"{path}/joined")
     least = table.groupBy("sid").agg(F.min("doc_id").alias("least"))
