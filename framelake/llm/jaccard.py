@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import columns, documents, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
-#: Counters of the sketch: 16 MB in a task, 4 MB as broadcast, whatever the input.
-SKETCH_BITS = 22
+#: Counters of the sketch: 64 MB in a task, 16 MB as broadcast, whatever the input.
+SKETCH_BITS = 24
 #: Shingles of a clump, and of a chunk of a larger one, that one task holds (8 bytes each).
 CHUNK = 2_000_000
 
