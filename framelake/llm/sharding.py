@@ -5,22 +5,24 @@ the next bit, and only it; the others stay. The hash is that of the doc_id (and
 hot source or a large group of copies spreads over all buckets. A bucket that holds one document or only
 repeated rows can't split and may exceed the limit.
 
-Sizes are summed per prefix of a fixed number of bits before anything else, and a level of the loop sees only
-the buckets still too large. The documents are shuffled once, to write the shards.
+Sizes are summed per prefix of a few more bits than an even split needs, and the levels above are summed from
+that table. The documents are shuffled once, to write the shards.
 
 Null text has no bytes, null doc_ids hash like any other value, an empty table has no shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved, workspace
+from .common import documents, saved, small, workspace
 
 #: Bytes of text in a shard.
 LIMIT = 32 << 20
 BITS = 62
+#: Levels below that of an even split which are summed at once.
+SPARE = 4
 
 
 def _prefix(depth: int) -> Column:
@@ -34,20 +36,30 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def directory(rows: DataFrame, limit: int, path: str) -> DataFrame:
-    """Of rows (h, bytes): bucket, depth, bytes and documents of every bucket of the final directory."""
-    left = rows.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("documents"))
-    depth, done = 0, None
+    """Of rows (h, bytes): bucket, depth, bytes and documents of every bucket of the final directory.
+
+    A bucket belongs to it when its parent is full and it isn't; a parent's sizes are those of its two halves, so
+    a level needs no other. Levels down to SPARE below the even one are summed from one table; what is full at
+    the last of them goes on, SPARE levels at a time."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    low, high, left, done = 0, min(BITS, max(1, total // limit).bit_length() + SPARE), rows, None
+    sizes = [F.sum("bytes").alias("bytes"), F.sum("documents").alias("documents"), F.min("first").alias("first"), F.max("last").alias("last")]
     while True:
-        level = left.groupBy(_prefix(depth).alias("bucket")).agg(F.sum("bytes").alias("bytes"), F.sum("documents").alias("documents"), F.count("*").alias("keys"))
-        level = saved(level.withColumn("depth", F.lit(depth)), f"{path}/level-{depth}")
-        split = (F.col("bytes") > limit) & (F.col("keys") > 1) & F.lit(depth < BITS)
-        ready = level.where(~split).drop("keys")
+        fine = left.groupBy(_prefix(high).alias("bucket")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("documents"), F.min("h").alias("first"), F.max("h").alias("last"))
+        levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        levels = levels.groupBy("depth", F.expr(f"shiftright(bucket, {high} - depth)").alias("bucket")).agg(*sizes)
+        halves = Window.partitionBy("depth", F.shiftright("bucket", 1))
+        parent = (F.sum("bytes").over(halves) > limit) & (F.min("first").over(halves) < F.max("last").over(halves))
+        full = (F.col("bytes") > limit) & (F.col("first") < F.col("last"))
+        levels = saved(levels.select("bucket", "depth", "bytes", "documents", full.alias("full"), parent.alias("split")), f"{path}/levels-{high}")
+        ready = levels.where(~F.col("full") & (F.col("split") | F.lit(low == 0) & (F.col("depth") == 0))).drop("full", "split")
         done = ready if done is None else done.unionByName(ready)
-        large = level.where(split).select(F.col("bucket").alias("full"))
-        if large.isEmpty():
+        deep = levels.where(F.col("full") & (F.col("depth") == high)).select(F.col("bucket").alias("_full"))
+        n = deep.count()
+        if not n or high == BITS:
             return done
-        left = left.join(large, _prefix(depth) == F.col("full"), "left_semi")
-        depth += 1
+        left = left.join(small(deep, n), _prefix(high) == F.col("_full"), "left_semi")
+        low, high = high, min(BITS, high + SPARE)
 
 
 def shard(docs: DataFrame, out: str, limit: int = LIMIT) -> DataFrame:
@@ -58,7 +70,7 @@ def shard(docs: DataFrame, out: str, limit: int = LIMIT) -> DataFrame:
     depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # 63 at most
     # A document's bucket is the one of its prefixes that is in the directory.
     own = F.explode(F.array(*(_prefix(d) for d in sorted(depths)))) if depths else F.lit(0).cast("long")
-    names = buckets.select("bucket").withColumnRenamed("bucket", "shard_id")
+    names = small(buckets.select(F.col("bucket").alias("shard_id")), buckets.count())
     placed = rows.drop("bytes").withColumn("shard_id", own).join(names, "shard_id").drop("h")
     placed.repartition("shard_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{out}/shards")
     return buckets
