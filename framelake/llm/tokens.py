@@ -113,7 +113,7 @@ class Encoder(Chunked):
     def learn(self, new: list[str]) -> None:
         """Ids of new chunks; one call encodes all their new pre-tokens, and the bytes that its tokens stand for
         tell where each ends. Keys are without the leading space."""
-        table, older, cut, ask = self.table, self.older, [], {}
+        table, older, cut, ask, bare = self.table, self.older, [], {}, {}
         for w in new:
             if w in older:
                 table[w] = older[w]
@@ -127,19 +127,20 @@ class Encoder(Chunked):
                     cut.append((w, parts))
                     if first[1:] not in table:
                         ask[first[1:]] = None
-                    for p in rest:
-                        if p not in self.heads:
-                            self.heads[p] = self.ask(p)
+                    bare.update((p, None) for p in rest if p not in self.heads)
                 else:
                     table[w] = self.ask(" " + w)
-        if ask:
-            written = "\n ".join(ask).encode().decode("latin-1").translate(self.written)
-            ids = np.frombuffer(code := self._ask(self.words, self.written[32] + written), "<u4")
-            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in written.split(" ")]) + 1) + 1
-            at = 0
-            for p, z in zip(ask, (4 * stops).tolist()):
-                table[p] = code[at:z]
-                at = z
+        for p in [p for p in bare if "\n" in p]:
+            self.heads[p] = self.ask(p)
+            del bare[p]
+        if pieces := [*(" " + p for p in ask), *bare]:
+            written = "\n".join(pieces).encode().decode("latin-1").translate(self.written)
+            ids = np.frombuffer(code := self._ask(self.words, written), "<u4")
+            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(list(map(len, written.split(" "))))) + 1
+            ends = (4 * stops).tolist()
+            parts = [code[a:z] for a, z in zip([0, *ends], ends)]
+            table.update(zip(ask, parts))
+            self.heads.update(zip(bare, parts[len(ask) :]))
         for w, (first, *rest) in cut:
             table[w] = b"".join([table[first[1:]], *(self.heads[p] for p in rest)])
 
