@@ -17,6 +17,8 @@ import regex
 KEEP = 200_000
 #: A space before white space or the end may belong to a longer run of white space: such texts aren't cut there.
 _RUN = re.compile(r" (?=\s|\Z)")
+#: Chunks below the Greek letters without white space but line ends.
+_PLAIN = re.compile(r"[!-~\u00a1-\u036f][\n!-~\u00a1-\u036f]*").fullmatch
 _loaded: dict = {}
 
 
@@ -100,7 +102,9 @@ class Encoder(Chunked):
             t.model._resize_cache(0)  # the table below does this work
         # The same model for pre-tokens already cut and written in byte characters, with a space between.
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        super().__init__(Splitter(self.library).split, [t.content for t in self.library.get_added_tokens_decoder().values()])
+        splitter = Splitter(self.library)
+        self.find = splitter.find
+        super().__init__(splitter.split, [t.content for t in self.library.get_added_tokens_decoder().values()])
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
         self.written = dict(enumerate(byte_characters())) | {10: " "}
 
@@ -114,22 +118,26 @@ class Encoder(Chunked):
         """Ids of new chunks; one call encodes all their new pre-tokens, and the bytes that its tokens stand for
         tell where each ends. Keys are without the leading space."""
         table, older, cut, ask, bare = self.table, self.older, [], {}, {}
+        odd, plain = [], []
         for w in new:
             if w in older:
                 table[w] = older[w]
             elif w.isalpha():
                 ask[w] = None
+            elif _PLAIN(w):
+                plain.append(w)
             else:
-                first, *rest = parts = self.split(" " + w)
-                if not rest and "\n" not in w:
-                    ask[w] = None
-                elif first[0] == " " and len(first) > 1 and "\n" not in first:
-                    cut.append((w, parts))
-                    if first[1:] not in table:
-                        ask[first[1:]] = None
-                    bare.update((p, None) for p in rest if p not in self.heads)
-                else:
-                    table[w] = self.ask(" " + w)
+                odd.append((w, self.split(" " + w)))
+        for w, (first, *rest) in [*odd, *self.split_plain(plain)]:
+            if not rest and "\n" not in w:
+                ask[w] = None
+            elif first[0] == " " and len(first) > 1 and "\n" not in first:
+                cut.append((w, first[1:], rest))
+                if first[1:] not in table:
+                    ask[first[1:]] = None
+                bare.update((p, None) for p in rest if p not in self.heads)
+            else:
+                table[w] = self.ask(" " + w)
         for p in [p for p in bare if "\n" in p]:
             self.heads[p] = self.ask(p)
             del bare[p]
@@ -141,8 +149,14 @@ class Encoder(Chunked):
             parts = [code[a:z] for a, z in zip([0, *ends], ends)]
             table.update(zip(ask, parts))
             self.heads.update(zip(bare, parts[len(ask) :]))
-        for w, (first, *rest) in cut:
-            table[w] = b"".join([table[first[1:]], *(self.heads[p] for p in rest)])
+        for w, first, rest in cut:
+            table[w] = b"".join([table[first], *map(self.heads.__getitem__, rest)])
+
+    def split_plain(self, plain: list[str]):
+        """Plain chunks and their pre-tokens, by one search: only a chunk's first pre-token begins with a space."""
+        parts = self.find(" " + " ".join(plain)) if plain else []
+        starts = [i for i, p in enumerate(parts) if p[0] == " "]
+        return [(w, parts[a:z]) for w, a, z in zip(plain, starts, [*starts[1:], len(parts)])]
 
 
 def encoder(path: str) -> Encoder:
