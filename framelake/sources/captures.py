@@ -68,8 +68,9 @@ def split_packets(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
         body, at = take(data, at + 4, size - 4, "packet") if size >= 4 else b"", at + size
         if size < 4:
             raise Damaged("packet size below its header")
-        if word & TRAILER:
-            body = take(body, 0, len(body) - 8, "packet") if len(body) >= 8 else body[:0]
+        if word & TRAILER:  # eight bytes that the size doesn't count
+            take(data, at, 8, "packet trailer")
+            at += 8
         if word & ENCODED:
             full = number(body, 0, "<H", "decoded size")
             try:

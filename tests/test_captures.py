@@ -3,6 +3,7 @@
 import struct
 
 import pyarrow as pa
+import pytest
 
 from framelake.sources import captures
 
@@ -59,5 +60,13 @@ def test_files_to_events(spark, tmp_path):
     assert one["BeginFrame", "Enter"].cycle == 525 and one["ThreadTiming", "None"].seconds_per_cycle == 0.001
 
 
+def test_trailer_and_sizes():
+    trailed = struct.pack("<HH", 7, 5 | 0x4000) + b"abc" + bytes(8)
+    assert list(captures.split_packets(trailed + packet(6, b"de", True), 0)) == [(5, b"abc"), (6, b"de")]
+    for broken in (trailed[:-1], struct.pack("<HH", 3, 5), packet(5, b"x")[:3]):
+        with pytest.raises(captures.Damaged):
+            list(captures.split_packets(broken, 0))
+
+
 def test_no_files(spark, tmp_path):
     assert captures.trace_events(captures.packets(captures.files(spark, str(tmp_path)))).count() == 0
