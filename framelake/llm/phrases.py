@@ -5,11 +5,14 @@ starts in a document with a smaller doc_id is removed. Windows are judged on the
 
 1. A window's anchor is the least hash of the 5-word runs in it (the first of equals): equal windows have equal
    anchors, and neighbours mostly share one. Only distinct (anchor, doc_id) pairs are shuffled; a walk over the
-   sorted pairs leaves the anchors that several documents have.
-2. Documents meet their recurring anchors (texts travel compressed) and emit the passages around them.
-3. Passages are dealt by anchor. A task takes runs of anchors in turn: it confirms the windows that several
-   documents share, word by word, compiles them to an Aho-Corasick automaton over word numbers, and streams its
-   passages through it; each occurrence of a phrase that a smaller document has marks words.
+   sorted pairs leaves the anchors that several documents have, and tells the hot ones, of over HOT passages.
+2. Documents meet their recurring anchors (texts travel compressed) and emit the passages around them. Of a hot
+   anchor, a batch of documents marks the windows that a smaller document of the batch has at once; only the
+   windows of the batch's smallest are emitted, each alone.
+3. Passages are dealt by anchor, HOT at most for each. A task takes runs of anchors in turn: it confirms the windows
+   that several documents share, word by word, compiles them to an Aho-Corasick automaton over word numbers, and
+   streams its passages through it; each occurrence of a phrase that a smaller document has marks words. Windows of
+   hot anchors are dealt by their own hash and stream by in order of doc_id, compared word by word with the first.
 4. The marks, a short list for each document, go back to the texts.
 
 Null text has no words. A null doc_id counts as larger than all others; repeated rows with one doc_id don't remove
@@ -25,6 +28,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ from .jaccard import windows, word_hashes
 WINDOW, RUN = 13, 5
 #: Passages that one automaton is made for, about; those of one anchor stay together.
 SHARD = 20_000
+#: Most passages of an anchor that a task gathers; those of more are told apart by window.
+HOT = 20_000
 LAST = (1 << 63) - 1
 
 
@@ -60,52 +66,96 @@ def anchors(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
+    """Distinct (anchor, id) pairs of each text, with the number of passages."""
+
     def run(b):
         doc, h, *_ = anchors([(t or "").encode().split() for t in b.column("text").to_pylist()])
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
-        return {"h": h[new], "id": b.column("id").to_numpy()[doc[new]]}
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)])
+        return {"h": h[new], "id": b.column("id").to_numpy()[doc[new]], "n": np.diff(new, append=len(doc))}
 
-    return map_batches(docs, run, "h long, id long")
+    return map_batches(docs, run, "h long, id long, n int")
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs sorted by (h, id): those whose h has several ids."""
-    kinds = pa.schema([("h", pa.int64()), ("id", pa.int64())])
-    held: tuple | None = None  # the last pair, and whether the one before shares its h
+def _recurring(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by (h, id): those whose h has several ids, and whether it has over `most` passages. Pairs of the
+    last h are held until that is known, so `most` of them at most."""
+    kinds = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("hot", pa.bool_())])
+    h, i, n = (np.empty(0, np.int64),) * 3
+    over: int | None = None  # the anchor known to be hot, whose pairs go on
     for b in batches:
-        h, i = b.column("h").to_numpy(), b.column("id").to_numpy()
-        shares = False
-        if held:
-            h, i, shares = np.append(held[0], h), np.append(held[1], i), held[2]
-        new = np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]))
-        h, i = h[new], i[new]
-        before = np.append(shares, h[1:] == h[:-1])
-        many = before | np.append(before[1:], False)
-        held = h[-1], i[-1], before[-1]
-        if many[:-1].any():
-            yield columns({"h": h[:-1][many[:-1]], "id": i[:-1][many[:-1]]}, kinds)
-    if held and held[2]:
-        yield columns({"h": np.array(held[:1]), "id": np.array(held[1:2])}, kinds)
+        if not b.num_rows:
+            continue
+        h, i, n = (np.append(x, b.column(c).to_numpy()) for x, c in ((h, "h"), (i, "id"), (n, "n")))
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])))
+        h, i, n = h[new], i[new], np.add.reduceat(n, new)
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(start, append=len(h))
+        many, hot = size > 1, np.add.reduceat(n, start) > most
+        if h[0] == over:
+            many[0] = hot[0] = True
+        ready = many[-1] and hot[-1]
+        over = int(h[-1]) if ready else None
+        cut = len(h) if ready else start[-1]
+        use = np.repeat(many, size)[:cut]
+        if use.any():
+            yield columns({"h": h[:cut][use], "id": i[:cut][use], "hot": np.repeat(hot, size)[:cut][use]}, kinds)
+        h, i, n = h[cut:], i[cut:], n[cut:]
+    if len(h) > 1:
+        yield columns({"h": h, "id": i, "hot": np.zeros(len(h), bool)}, kinds)
 
 
 def _passages(b: pa.RecordBatch) -> dict:
-    """The words around the recurring anchors of each document."""
+    """The words around the recurring anchors of each document. Windows of hot anchors: n = -1 where the batch's smallest
+    document has them, else marks without words."""
     b = b.filter(pa.compute.and_(b.column("known").is_valid(), b.column("_z").is_valid()))
     unzip = zstandard.ZstdDecompressor()
     words = [unzip.decompress(z).split() for z in b.column("_z").to_pylist()]
     known = b.column("known")
     # (text, anchor) pairs are sorted by text already; the known ones of each text are looked up together.
     doc, h, first, n = anchors(words)
-    use = np.zeros(len(doc), bool)
+    use, heat = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    hot = b.column("hot")
     cuts = np.searchsorted(doc, np.arange(len(words) + 1))
     for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         if z > a:
             use[a:z] = np.isin(h[a:z], known[i].values.to_numpy())
+            if len(x := hot[i].values):
+                heat[a:z] = np.isin(h[a:z], x.to_numpy())
+    ids, keys = b.column("_id").to_numpy(), b.column("_key").to_numpy()
+    apart = _apart(words, ids, keys, *(x[heat].tolist() for x in (doc, first, n)))
+    use &= ~heat
     doc, h, first, n = doc[use], h[use], first[use], n[use]
     spans = zip(doc.tolist(), first.tolist(), (first + n + WINDOW - 1).tolist())
-    return {"h": h, "id": b.column("_id").to_numpy()[doc], "key": b.column("_key").to_numpy()[doc], "first": first, "n": n, "words": [b" ".join(words[i][a:z]) for i, a, z in spans]}
+    out = {"h": h, "id": ids[doc], "key": keys[doc], "first": first, "n": n, "words": [b" ".join(words[i][a:z]) for i, a, z in spans]}
+    return {c: [*x, *(r[k] for r in apart)] for k, (c, x) in enumerate(out.items())} if apart else out
+
+
+def _apart(words: list[list[bytes]], ids: np.ndarray, keys: np.ndarray, docs: list[int], firsts: list[int], counts: list[int]) -> list[tuple]:
+    """Rows of the passages of hot anchors, dealt by window or, where they are marks already, by document."""
+    out, least = [], {}
+    passages = [(int(ids[d]), int(keys[d]), f, [b" ".join(words[d][j : j + WINDOW]) for j in range(f, f + n)]) for d, f, n in zip(docs, firsts, counts)]
+    for i, _, _, ws in passages:
+        for w in ws:
+            if least.setdefault(w, i) > i:
+                least[w] = i
+    for i, key, first, ws in passages:
+        later = [least[w] < i for w in ws]
+        out += [(i ^ key, i, key, first + a, n, None) for a, n in _runs([j for j, x in enumerate(later) if x])]
+        out += [(xxhash.xxh3_64_intdigest(w) - (1 << 63), i, key, first + j, -1, w) for j, w in enumerate(ws) if not later[j]]
+    return out
+
+
+def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
+    """First and length of each run of consecutive numbers."""
+    k = 0
+    while k < len(starts):
+        z = k
+        while z + 1 < len(starts) and starts[z + 1] == starts[z] + 1:
+            z += 1
+        yield starts[k], z - k + 1
+        k = z + 1
 
 
 def _occurrences(rows: list[tuple]) -> list[tuple]:
@@ -154,27 +204,36 @@ def _located(rows: list[tuple]) -> list[tuple]:
     found = {words: [(end - WINDOW + 1, least) for end, least in automaton.iter(s)] for words, s in text.items()}
     out = []
     for _, i, key, first, _, words in rows:
-        starts = [j for j, least in found[words] if least < i]
-        k = 0
-        while k < len(starts):
-            z = k
-            while z + 1 < len(starts) and starts[z + 1] == starts[z] + 1:
-                z += 1
-            out.append((i, key, first + starts[k], z - k + 1))
-            k = z + 1
+        out += [(i, key, first + a, z) for a, z in _runs([j for j, least in found[words] if least < i])]
     return out
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
-    def found(rows):
-        out = _occurrences(rows)
+    def marks(out):
         return [columns({n: [r[k] for r in out] for k, n in enumerate(kinds.names)}, kinds)] if out else []
 
+    def found(rows):
+        return marks(_occurrences(rows))
+
     held: list[tuple] = []
+    at, least = None, {}  # the hash that windows of hot anchors have just now, and the smallest id of each
     for b in slices(batches, 5_000):
-        held += zip(*(b.column(c).to_pylist() for c in ("h", "id", "key", "first", "n", "words")))
+        rows = list(zip(*(b.column(c).to_pylist() for c in ("h", "id", "key", "first", "n", "words"))))
+        if b.column("words").null_count or -1 in b.column("n").to_numpy():
+            known = []
+            for h, i, key, first, n, words in rows:
+                if words is None:
+                    known.append((i, key, first, n))
+                elif n < 0:
+                    if h != at:
+                        at, least = h, {}
+                    if least.setdefault(words, i) < i:
+                        known.append((i, key, first, 1))
+            yield from marks(known)
+            rows = [r for r in rows if r[4] > 0 and r[5] is not None]
+        held += rows
         if len(held) >= SHARD:
             cut = len(held)
             while cut and held[cut - 1][0] == held[-1][0]:  # the last anchor may go on
@@ -184,7 +243,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(held)
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, texts: DataFrame, hot: int) -> DataFrame:
+    """The rows that are dealt by h: passages, windows of hot anchors (n = -1), and marks (no words)."""
+    pairs = _pairs(rows.select(F.col("_id").alias("id"), "text")).repartition("h").sortWithinPartitions("h", "id")
+    recurring = pairs.mapInArrow(lambda batches: _recurring(batches, hot), "h long, id long, hot boolean")
+    known = recurring.groupBy(F.col("id").alias("_id")).agg(F.collect_list("h").alias("known"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    return map_batches(texts.join(known, "_id", "left"), _passages, "h long, id long, key long, first int, n int, words binary")
+
+
+def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with _n_words, _n_removed, and _kept: the words left, joined by one space. Both joins with the texts are on
     the same exchange of them, compressed, so that they are shuffled once."""
     names = docs.columns
@@ -196,10 +263,7 @@ def removed(docs: DataFrame) -> DataFrame:
         return {c: b.column(c) for c in (*names, "_id", "_key") if c != "text"} | {"_z": [None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()]}
 
     texts = map_batches(rows, squeeze, ", ".join([*others, "_id long", "_key long", "_z binary"]))
-    pairs = _pairs(rows.select(F.col("_id").alias("id"), "text")).repartition("h").sortWithinPartitions("h", "id")
-    known = pairs.mapInArrow(_recurring, "h long, id long").groupBy(F.col("id").alias("_id")).agg(F.collect_list("h").alias("known"))
-    passages = map_batches(texts.join(known, "_id", "left"), _passages, "h long, id long, key long, first int, n int, words binary")
-    found = passages.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "id long, key long, first int, n int")
+    found = dealt(rows, texts, hot).repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "id long, key long, first int, n int")
     marks = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("key", "first", "n")).alias("_marks"))
 
     def cut(b):

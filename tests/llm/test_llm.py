@@ -149,6 +149,54 @@ def test_phrases(spark, docs, empty):
     assert phrases.without_repeats(empty).count() == 0
 
 
+def test_phrases_of_a_hot_anchor(spark):
+    """However many documents share a passage, a task gathers `hot` rows of an anchor at most; the result is the same."""
+    ends = [" ".join(f"{c}{random.randint(0, 3)}" for _ in range(15)) for c in "ab" for _ in range(6)]
+    rows = [(i, f"{random.choice(ends)} {PASSAGE} {random.choice(ends)} {PASSAGE[:60]} {random.choice(ends)}") for i in range(120)]
+    rows += [(None, f"z {PASSAGE}"), (None, f"y {PASSAGE}"), (3, rows[7][1]), (200, ends[0])]
+    random.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words, first = [t.split() for _, t in rows], {}
+    ids = [phrases.LAST if i is None else i for i, _ in rows]
+    for i, w in sorted(zip(ids, words), key=lambda x: x[0]):
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    want = []
+    for i, w in zip(ids, words):
+        stay = [True] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                stay[j : j + 13] = [False] * 13
+        want.append((i, stay.count(False), " ".join(x for x, y in zip(w, stay) if y)))
+    for hot in (5, 60, phrases.HOT):
+        got = [(phrases.LAST if r.doc_id is None else r.doc_id, r._n_removed, r._kept) for r in phrases.removed(docs, hot).collect()]
+        assert sorted(got) == sorted(want)
+    keyed = docs.selectExpr("*", f"coalesce(doc_id, {phrases.LAST}) AS _id", "xxhash64(text) AS _key")
+    squeezed = phrases.map_batches(keyed, lambda b: {"_id": b.column("_id"), "_key": b.column("_key"), "_z": [phrases.zstandard.compress(t.encode()) for t in b.column("text").to_pylist()]}, "_id long, _key long, _z binary")
+    for hot in (5, 60):
+        rows = phrases.dealt(keyed, squeezed, hot)
+        assert (rows.where("n > 0 AND words IS NOT NULL").groupBy("h").count().agg({"count": "max"}).first()[0] or 0) <= hot
+        assert rows.where("n = -1").count() > 0
+
+
+def test_recurring_holds_few_pairs():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"h": np.full(10, 5), "id": np.arange(10) + 10 * k, "n": np.ones(10, np.int32)}) for k in range(20)]
+    seen = 0
+
+    def counted():
+        nonlocal seen
+        for b in batches:
+            seen += 1
+            yield b
+
+    out = phrases._recurring(counted(), 25)
+    head = next(out)
+    assert seen == 3 and head.num_rows == 30 and all(head.column("hot").to_pylist())
+    assert sum(b.num_rows for b in out) == 170
+
+
 def test_language(spark, empty):
     de, en = "der die und nicht ein ist das mit", "the and that of with this from have"
     rows = [(i, " ".join(random.choices(t.split(), k=30)), lang, "s", None) for i in range(60) for t, lang in [((de, "de"), (en, "en"))[i % 2]]]
