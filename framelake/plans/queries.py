@@ -176,6 +176,10 @@ def ag10_timers(spark, sf_dir):
     return d.replay_timers(views.timer_specs(spark, sf_dir).withColumn("trace_id", F.lit(0).cast("long"))).drop("trace_id")
 
 
+def ag10_trace_timers(spark, sf_dir):
+    return d.replay_timers(views.trace_timer_specs(spark, sf_dir))
+
+
 def ag11_metadata(spark, sf_dir):
     return d.fold_metadata(views.metadata(spark, sf_dir))
 
@@ -216,6 +220,7 @@ SQL = {
 r AS (SELECT *, coalesce(CAST(known AS BIGINT), 8 + dense_rank() OVER (PARTITION BY trace_id ORDER BY CASE WHEN known IS NULL THEN lower(group_name) END NULLS FIRST)) AS group_rank FROM g)
 SELECT trace_id, thread_id, group_rank, row_number() OVER (PARTITION BY trace_id ORDER BY group_rank, priority, first_seen) AS position FROM r""",
     "ag10_timers": "WITH a AS (SELECT p_brand AS name, min(p_partkey) AS first FROM part WHERE p_partkey < 80 GROUP BY 1), t AS (SELECT name, row_number() OVER (ORDER BY first) AS timer_id, p_type AS source_file, CAST(p_size AS BIGINT) AS source_line FROM a JOIN part ON p_partkey = first) SELECT p_partkey AS spec_id, timer_id, name, source_file, source_line FROM part JOIN t ON p_brand = name WHERE p_partkey < 80",
+    "ag10_trace_timers": "WITH p AS (SELECT *, p_partkey // 100 AS trace_id, p_partkey % 100 AS spec_id FROM part), a AS (SELECT trace_id, p_brand, min(p_partkey) AS first FROM p GROUP BY 1, 2), t AS (SELECT a.trace_id, a.p_brand, row_number() OVER (PARTITION BY a.trace_id ORDER BY first) AS timer_id, p_type AS source_file, CAST(p_size AS BIGINT) AS source_line FROM a JOIN p ON p.p_partkey = first) SELECT p.trace_id, spec_id, timer_id, p_brand AS name, t.source_file, t.source_line FROM p JOIN t USING (trace_id, p_brand)",
     "ag11_metadata": "SELECT conv_id AS id, max(turn) AS seq, arg_max(text, turn) AS payload FROM conversations GROUP BY 1",
     "fn05_inferred_name": "SELECT item_id, CASE WHEN trim(text) <> '' THEN CASE WHEN regexp_extract(text, '^([^% (=]+)', 1) = '' THEN text ELSE regexp_extract(text, '^([^% (=]+)', 1) END END AS name FROM benchmark",
 }

@@ -29,6 +29,13 @@ def timer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
 
 
+def trace_timer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of part, a hundred specs to a trace."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    return p.select(F.floor(k / 100).cast("long").alias("trace_id"), k.alias("seq"), (k % 100).cast("long").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
+
+
 def thread_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     group = F.create_map(*map(F.lit, ("BUILDING", "Render", "AUTOMOBILE", "ThreadPool", "MACHINERY", "TaskGraphHigh", "HOUSEHOLD", "TaskGraphNormal")))[F.col("c_mktsegment")]
