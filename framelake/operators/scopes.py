@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import saved, workspace
 from .frames import completed, frame_at
 
 THREAD = ["trace_id", "thread_id"]
-ISLANDS = 256
 
 
 def leveled(events: DataFrame) -> DataFrame:
@@ -49,27 +47,22 @@ def close_open(scopes: DataFrame, duration: DataFrame) -> DataFrame:
 
 
 def with_paths(scopes: DataFrame) -> DataFrame:
-    """scopes (with name) and path_hash, parent_path_hash, path. Threads are cut where the stack is empty: what lies
-    between are islands, which a task takes many at a time, one pass with a stack each."""
-    island = F.sum(F.when(F.col("depth") == 1, 1).otherwise(0)).over(Window.partitionBy(*THREAD).orderBy("scope_id"))
-    s = scopes.withColumn("_part", F.floor(island / ISLANDS).cast("long"))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("scope_id")
-        stack: list[tuple[int, str]] = [(0, "")]
-        out = []
-        for depth, name in zip(part["depth"], part["name"]):
-            del stack[depth:]
-            above, path = stack[-1]
-            here = xxhash.xxh3_64_intdigest(f"{above}/{name}".encode()) - (1 << 63)
-            stack.append((here, f"{path}/{name}" if path else name))
-            out.append((here, above, stack[-1][1]))
-        part = part.drop(columns="_part")
-        part["path_hash"], part["parent_path_hash"], part["path"] = zip(*out)
-        return part
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scopes.schema) + ", path_hash long, parent_path_hash long, path string"
-    return s.groupBy(*THREAD, "_part").applyInPandas(walk, schema)
+    """scopes (with name) and path_hash, parent_path_hash, path, by pointer doubling: each step puts the names known of the
+    scope above before the own ones. Rows meet by scope, so no thread is gathered, however long its stack is in use."""
+    path = workspace(scopes.sparkSession)
+    s = saved(scopes, f"{path}/scopes")
+    now, done, k = s.select(*THREAD, "scope_id", F.col("parent_scope_id").alias("up"), F.array("name").alias("names")), None, 0
+    while True:
+        ended, going = now.where("up is null"), now.where("up is not null")
+        done = done.unionByName(ended) if done else ended
+        if going.isEmpty():
+            break
+        above = done.unionByName(going).select(*THREAD, F.col("scope_id").alias("up"), F.col("up").alias("_up"), F.col("names").alias("_names"))
+        step = going.join(above, [*THREAD, "up"]).select(*THREAD, "scope_id", F.col("_up").alias("up"), F.concat("_names", "names").alias("names"))
+        now, k = saved(step, f"{path}/step-{k}"), k + 1
+    above = F.when(F.size("names") == 1, F.lit(0)).otherwise(F.xxhash64(F.slice("names", 1, F.greatest(F.size("names") - 1, F.lit(0)))))
+    out = s.join(done.drop("up"), [*THREAD, "scope_id"]).withColumns({"path_hash": F.xxhash64("names"), "parent_path_hash": above, "path": F.array_join("names", "/")})
+    return out.select(*scopes.columns, "path_hash", "parent_path_hash", "path")
 
 
 def in_frames(scopes: DataFrame, frames: DataFrame) -> DataFrame:

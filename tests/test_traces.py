@@ -1,5 +1,6 @@
 """The frame, scope and dimension operators on small cases, and every SQL query against DuckDB."""
 
+import random
 
 import duckdb
 import pytest
@@ -44,6 +45,25 @@ def test_deep_paths(spark):
     assert s.agg({"depth": "max"}).first()[0] == n and s.select("path_hash").distinct().count() == n
 
 
+def test_paths_gather_no_thread(spark):
+    """A root scope that stays open: all of the thread lies under it."""
+    rng, rows, stack, want = random.Random(3), [(1, 1, 0, 0, True, 0)], ["n0"], {0: "n0"}
+    for i in range(1, 600):
+        if begin := rng.random() < 0.5 or len(stack) == 1:
+            stack.append(f"n{i % 3}")
+            want[i] = "/".join(stack)
+        else:
+            stack.pop()
+        rows.append((1, 1, i, i, begin, i % 3))
+    events = spark.createDataFrame(rows, "trace_id long, thread_id long, seq long, t_us long, is_begin boolean, spec_id long")
+    s = scopes.with_paths(scopes.pair_scopes(events).selectExpr("*", "concat('n', spec_id) AS name"))
+    assert "InPandas" not in s._jdf.queryExecution().toString()
+    got = {r.scope_id: r for r in s.collect()}
+    assert {i: r.path for i, r in got.items()} == want
+    assert all(r.parent_path_hash == (got[r.parent_scope_id].path_hash if r.parent_scope_id is not None else 0) for r in got.values())
+    assert len({r.path_hash for r in got.values()}) == len(set(want.values()))
+
+
 def test_thread_order_and_rhi_rule(spark):
     rows = [(1, 11, 1, "WorkerA", 3, "ThreadPool"), (1, 12, 2, "RHIThread", 3, None), (1, 1, 3, "GameThread", -2, None)]
     t = dimensions.ordered_threads(dimensions.fold_threads(spark.createDataFrame(rows, "trace_id long, thread_id long, seq long, name string, priority int, group_name string")))
@@ -56,6 +76,12 @@ def test_timer_rename_and_alias(spark):
     assert {(r.spec_id, r.timer_id, r.name, r.source_file) for r in got} == {(7, 1, "B", "b"), (8, 1, "B", "b")}
 
 
+def test_timers_of_all_parts(spark):
+    got = queries.QUERIES["ag10_trace_timers"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/part.parquet").count() > 80
+    assert got.select("trace_id").distinct().count() > 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
