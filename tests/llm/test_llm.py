@@ -218,6 +218,17 @@ def test_quotes(spark):
     assert got[1, 3].thread == 3 and got[2, 0].own == ""
 
 
+def test_quotes_of_several_lines(spark):
+    origin = "One a\ntwo b\nthree c\n\nP two\nwrapped\n\nP three"
+    rows = [(1, 0, "user", origin), (1, 1, "user", "other"), (1, 2, "assistant", "> two b\n> Three  C\nA"), (1, 3, "user", "> P two wrapped\n>\n> P three\nB"), (1, 4, "user", "> one a\n> three c\nC"), (1, 5, "user", "> > two b\n> > three c\n> A\nD"), (2, 0, "user", "> two b\n> three c\nE")]
+    linked = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), workspace(spark))
+    got = {(r.conv_id, r.turn): r for r in quotes.chats(linked).collect()}
+    assert [got[1, t].reply_to for t in range(6)] == [None, None, 0, 0, None, 2] and got[2, 0].reply_to is None
+    assert got[1, 5].n_linked == 2 and got[1, 4].n_linked == 0
+    assert [t for _, t in sorted((r.position, r.turn) for (c, _), r in got.items() if c == 1)] == [0, 2, 3, 5, 1, 4]
+    assert got[1, 2].line == "assistant: A"
+
+
 def test_sharding(spark, docs, empty):
     many = spark.range(500).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
     out = workspace(spark)
