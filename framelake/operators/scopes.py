@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import saved, workspace
+from ..storage import saved, workspace
 from .frames import completed, frame_at
 
 THREAD = ["trace_id", "thread_id"]
