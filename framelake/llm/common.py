@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved, workspace  # noqa: F401 (the operators take them from here)
+
 #: Most rows of ids or hashes (8 to 24 bytes each) that a join may broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+_held: dict[str, Any] = {}
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, such as a tokenizer and the words it has met. Of one operator at a time:
+    a worker that serves the next one lets go of the last one's."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark.sparkContext, "_llm_workspace", None) or "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.sparkContext._llm_workspace = base
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
-
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """The table as written to the shared folder: the lineage is cut, and a lost executor repeats no earlier stage."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
@@ -62,11 +60,21 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schem
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that a worker holds the results of few long texts at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows and, but for single longer ones, few bytes of texts, so that a worker holds the results of
+    few long texts at once."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        length = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                length += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(length)
+        lo = 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def spark_to_arrow(spark: SparkSession, schema: str) -> pa.Schema:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
+from .common import columns, documents, held, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
 #: Counters of the sketch: 64 MB in a task, 16 MB as broadcast, whatever the input.
@@ -52,14 +52,12 @@ class _Hashes(dict):
         return h
 
 
-_words = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a worker remembers those of a bounded number of words."""
-    if len(_words) > 300_000:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = held("word hashes", _Hashes)
+    if len(known) > 200_000:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -46,11 +46,8 @@ def write_orc(docs: DataFrame, path: str, out: str, parts: int, end: int = END)
 
     def run(b):
         unzip = zstandard.ZstdDecompressor()
-        ids = encoder(path).encode([unzip.decompress(x).decode() for x in b.column("z").to_pylist()])
-        tail = np.array([end], "<u4").tobytes()
-        flat = np.frombuffer(b"".join(x + tail for x in ids), "<u4").astype(np.int32)
-        ends = np.cumsum([0, *(len(x) // 4 + 1 for x in ids)])
-        return {"doc_id": b.column("doc_id"), "part": b.column("part"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+        flat, ends = encoder(path).rows([unzip.decompress(x).decode() for x in b.column("z").to_pylist()], end)
+        return {"doc_id": b.column("doc_id"), "part": b.column("part"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))}
 
     rows = by_id(docs, parts).select("doc_id", F.spark_partition_id().alias("part"), "z")
     (map_batches(rows, run, "doc_id long, part int, ids array<int>").write

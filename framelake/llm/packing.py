@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import columns, documents, map_batches, saved, slices, spark_to_arrow, workspace
-from .tokens import encoder, tokenizer_path
+from .tokens import binaries, encoder, tokenizer_path
 
 LENGTH, END = 2048, 1
 
@@ -27,16 +27,14 @@ LENGTH, END = 2048, 1
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id, part, at (tokens of the partition before it), n, ids (little-endian 32-bit, with the end id)."""
     schema = "doc_id long, part int, at long, n long, ids binary"
-    kinds, tail = spark_to_arrow(docs.sparkSession, schema), np.array([end], "<u4").tobytes()
+    kinds = spark_to_arrow(docs.sparkSession, schema)
 
     def run(batches):
         at = 0
         for b in slices(batches):
-            ids = [x + tail for x in encoder(path).encode([t or "" for t in b.column("text").to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            begin = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield columns({"doc_id": b.column("doc_id"), "part": b.column("part"), "at": begin, "n": n, "ids": ids}, kinds)
+            flat, ends = encoder(path).rows([t or "" for t in b.column("text").to_pylist()], end)
+            yield columns({"doc_id": b.column("doc_id"), "part": b.column("part"), "at": at + ends[:-1], "n": np.diff(ends), "ids": binaries(flat, ends)}, kinds)
+            at += len(flat)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 

@@ -60,13 +60,43 @@ def test_golomb_round_trip():
 
 
 def test_encoders_equal_the_library():
-    lib, coder, enc = library(), bpe.Coder(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
-    parts = [" ", " ", "\n", "a", "in", "ing", "1", "'s", "é", "\t", "　", "\x85", "!", "====", "中", "<|endoftext|>", "՘"]
-    texts = ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(1500)] + [t or "" for _, t, _ in ROWS]
-    for t, a, b in zip(texts, coder.encode(texts), enc.encode(texts)):
-        want = lib.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(a, "<u4").tolist() == want == np.frombuffer(b, "<u4").tolist(), repr(t)
-        assert coder.decode(want) == lib.decode(want, skip_special_tokens=False)
+    lib, path = library(), tokens.tokenizer_path()
+    coder, enc = bpe.Coder(path, bpe.Compiled(path)), tokens.Encoder(path)
+    parts = [" ", " ", "  ", "\n", "\r", "a", "in", "ing", "1", "'s", "'", "'ll", "'re", "'ve", "l", "e", "S", "é", "\t", "\u3000", "\x85", "\xa0", "!", "====", "中", "<|endoftext|>", "\u0558", "\u0301", "²", "Ⅷ", "\u200b", "😀", "\x00", "ſ"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(4000)] + [t or "" for _, t, _ in ROWS]
+    texts += ["z" * 70_000, "ab" * 40_000, " " * 5000 + "x", "word " * 30_000]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for k in (1, 700):
+        for lo in range(0, len(texts), k) if k > 1 else range(0, 300):
+            for (flat, ends) in (coder.encode(texts[lo : lo + k]), enc.encode(texts[lo : lo + k])):
+                for i, w in enumerate(want[lo : lo + k]):
+                    assert flat[ends[i] : ends[i + 1]].tolist() == w, repr(texts[lo + i][:200])
+    flat, ends = coder.encode(texts)
+    assert coder.decode(flat, ends) == [lib.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_automaton_permits_what_merges_leave():
+    """Against the merges themselves: two tokens may follow each other when their text is encoded as the two."""
+    path = tokens.tokenizer_path()
+    a, lib = bpe.Compiled(path).automaton, library()
+    lib.pre_tokenizer = __import__("tokenizers").pre_tokenizers.CharDelimiterSplit(" ")
+    chars = tokens.byte_characters()
+    x, y = np.random.default_rng(3).integers(0, 50_256, (2, 3000))
+    x[::3], y[1::3] = np.arange(1000) % 256, np.arange(1000) % 256
+    got = a.permits(x, y)
+    for i, j, ok in zip(x.tolist(), y.tolist(), got.tolist()):
+        text = "".join(chars[b] for b in a.label[i] + a.label[j])
+        assert (lib.encode(text).ids == [i, j]) == ok
+
+
+def test_table_stays_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 50)
+    lib, enc = library(), tokens.Encoder(tokens.tokenizer_path())
+    for k in range(40):
+        texts = [" ".join(f"w{random.randint(0, 10 + 20 * k)} same" for _ in range(30)) for _ in range(3)]
+        flat, ends = enc.encode(texts)
+        assert [flat[a:z].tolist() for a, z in zip(ends, ends[1:])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert len(enc.table.key) <= 50 + 200
 
 
 def test_packing(spark, docs, empty):
