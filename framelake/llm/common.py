@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..storage import saved, workspace  # noqa: F401 (the operators take them from here)
 
@@ -48,7 +50,18 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def packed(df: DataFrame, *beside: str) -> DataFrame:
+    """All columns in one named row, and copies of some of them beside it: whatever they are called, they don't clash with
+    an operator's own."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(F.col(c) for c in beside))
+
+
+def with_columns(df: DataFrame, names: list[str], more: str) -> StructType:
+    """The schema of some columns of df and of others (as DDL)."""
+    return StructType([df.schema[n] for n in names] + _parse_datatype_string(more).fields)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from a batch to columns by name."""
     kinds = spark_to_arrow(df.sparkSession, schema)
 
@@ -77,12 +90,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 <
             lo = hi
 
 
-def spark_to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
+def spark_to_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def columns(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x := out[k.name], pa.Array) else pa.array(x, k.type) for k in kinds], schema=kinds)
+    arrays = [x if isinstance(x := out[k.name], pa.Array) else pa.array(x, k.type) for k in kinds]
+    return pa.RecordBatch.from_arrays([x if x.type == k.type else x.cast(k.type) for x, k in zip(arrays, kinds)], schema=kinds)

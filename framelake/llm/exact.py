@@ -17,15 +17,19 @@ the first read. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, same, saved, small, workspace
+from .common import documents, packed, same, saved, small, workspace
 
-#: Documents whose hashes one owner receives, about.
+#: Documents whose hashes one owner receives, at least; with the root of the input it grows to some million.
 OWNER_ROWS = 200_000
+#: Messages between senders and owners, at most about; with more scan partitions, several send as one.
+MESSAGES = 10**8
 
 
 def normalised(text: str = "text"):
@@ -90,9 +94,9 @@ def _marker(owners: int):
         values, at = np.unique(h, return_inverse=True)
         own = _owners(values, owners)
         twice = np.zeros(len(values), bool)
-        for m in bitmaps.itertuples():
-            mine = np.flatnonzero(own == m.owner)
-            twice[mine] = np.unpackbits(np.frombuffer(m.bitmap, np.uint8))[: len(mine)].astype(bool)
+        for m in bitmaps.itertuples():  # an owner's hashes are a range
+            a, z = np.searchsorted(own, [m.owner, m.owner + 1])
+            twice[a:z] = np.unpackbits(np.frombuffer(m.bitmap, np.uint8))[: z - a].astype(bool)
         return rows.assign(suspect=twice[at.ravel()])[["doc_id", "rid", "h", "sha", "suspect"]]
 
     return mark
@@ -101,9 +105,11 @@ def _marker(owners: int):
 def exact_groups(docs: DataFrame, path: str) -> DataFrame:
     """A row per document: doc_id, rid (row number), h, sha, keep_id, keep_rid, group_size, kept."""
     spark = docs.sparkSession
-    norm = docs.select("doc_id", normalised().alias("norm"))
-    prints = saved(norm.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), F.spark_partition_id().alias("part")), f"{path}/prints")
-    owners = max(1, -(-prints.count() // OWNER_ROWS))
+    numbered = docs.select(F.col("doc_id").cast("long"), normalised().alias("norm")).withColumns({"rid": F.monotonically_increasing_id(), "h": F.xxhash64("norm"), "sha": F.sha2("norm", 256)})
+    prints = saved(numbered.select("doc_id", "rid", "h", "sha", F.spark_partition_id().alias("part")), f"{path}/prints")
+    n, parts = prints.count(), (prints.agg(F.max("part")).first()[0] or 0) + 1
+    owners = max(1, -(-n // max(OWNER_ROWS, math.isqrt(100 * n))))
+    prints = prints.withColumn("part", F.floor(F.col("part") / -(-parts * owners // MESSAGES)).cast("int"))
     messages = prints.select("part", "h").groupBy("part").applyInPandas(_encoder(owners), "part int, owner long, n int, k int, code binary, own binary")
     bitmaps = messages.groupBy("owner").applyInPandas(_answer, "part int, owner long, bitmap binary")
     marked = saved(prints.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(_marker(owners), "doc_id long, rid long, h long, sha string, suspect boolean"), f"{path}/marked")
@@ -113,10 +119,17 @@ def exact_groups(docs: DataFrame, path: str) -> DataFrame:
     ids = suspects.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(small(ids, n), same(docs, ids, "doc_id"), "left_semi").select(normalised().alias("norm"))
     sets = texts.groupBy(F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), "norm").agg(F.count("*").alias("copies"))
-    verified = sets.groupBy("h", "sha").agg(F.count("*").alias("texts"))
-    first = suspects.groupBy("h", "sha").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    first = first.join(verified, ["h", "sha"]).select("h", "sha", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes"))).cast("long").alias("group_size"), F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"))
-    groups = suspects.join(first, ["h", "sha"]).select("doc_id", "rid", "h", "sha", "keep_id", "keep_rid", "group_size")
+    verified = saved(sets.groupBy("h", "sha").agg(F.count("*").alias("texts")), f"{path}/verified")
+    part = suspects.withColumn("part", F.lit(0).cast("long"))
+    clashing = verified.where("texts > 1").select("h", "sha")
+    if not clashing.isEmpty():  # different texts with both hashes: told apart by their bytes
+        mixed = numbered.join(small(clashing, clashing.count()), ["h", "sha"], "left_semi")
+        mixed = mixed.select("rid", F.dense_rank().over(Window.partitionBy("h", "sha").orderBy("norm")).cast("long").alias("part"))
+        part = suspects.join(mixed, "rid", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    same_text = ["h", "sha", "part"]
+    first = part.groupBy(*same_text).agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    first = saved(first.select(*same_text, "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid")), f"{path}/first")
+    groups = part.join(small(first, first.count()), same_text).select("doc_id", "rid", "h", "sha", "keep_id", "keep_rid", "group_size")
     single = marked.where("not suspect").select("doc_id", "rid", "h", "sha", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))
     return single.unionByName(groups).withColumn("kept", F.col("rid") == F.col("keep_rid"))
 
@@ -128,16 +141,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     kept = groups.where("kept").select("doc_id", "h")
     drop = groups.where("not kept").select("doc_id", "h").distinct()
     both = saved(drop.join(kept, same(drop, kept, "doc_id", "h"), "left_semi"), f"{path}/both")  # repeated rows
-    keyed = docs.withColumn("_h", F.xxhash64(normalised()))
+    keyed = packed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "k": F.xxhash64(normalised("row.text"))})
 
     def join(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
-        right = right.select(F.col("doc_id").alias("_id"), F.col("h").alias("_k"))
-        return left.join(small(right, right.count()), left["doc_id"].eqNullSafe(F.col("_id")) & (left["_h"] == F.col("_k")), kind)
+        return left.join(small(right, right.count()), left["id"].eqNullSafe(right["doc_id"]) & (left["k"] == right["h"]), kind)
 
     out = join(keyed, drop, "left_anti")
     if not both.isEmpty():
-        out = out.unionByName(join(keyed, both, "left_semi").dropDuplicates(["doc_id", "_h"]))
-    return out.drop("_h")
+        out = out.unionByName(join(keyed, both, "left_semi").dropDuplicates(["id", "k"]))
+    return out.select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

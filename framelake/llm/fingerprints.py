@@ -92,8 +92,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     rows = by_id(docs, parts_for(docs)).select(F.spark_partition_id().alias("part"), "doc_id", "z")
     table = saved(rows.mapInArrow(walk, schema), f"{path}/digests")
     edges = table.where("part is not null")
-    # One row for each partition: the first text of the next one, or of the first after the last.
-    ring = edges.select("part", "first", "last_id", "last").withColumn("after", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.first("first").over(Window.orderBy("part"))))
+    # A partition's next one, the first after the last: numbers only are ordered in one task, texts meet by a join.
+    order = saved(edges.select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("k")), f"{path}/order")
+    n = order.count()
+    after = order.select("k", F.col("part").alias("own")).join(order.select(F.expr(f"pmod(k - 1, {max(n, 1)})").alias("k"), F.col("part").alias("next")), "k")
+    firsts = edges.join(after, F.col("part") == F.col("next")).select(F.col("own").alias("part"), F.col("first").alias("after"))
+    ring = edges.select("part", "last_id", "last").join(firsts, "part")
 
     def close(b):
         unzip, out = zstandard.ZstdDecompressor(), []
@@ -105,27 +109,36 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return table.where("part is null").select(*names[:7]).unionByName(ends)
 
 
-def groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, prints: DataFrame, path: str) -> DataFrame:
     """Of prints (doc_id, fingerprint): each fingerprint's group_id (smallest doc_id) and group_size where several
-    rows share it, once their canonical texts proved equal."""
+    rows share it, once their canonical texts proved equal. member is null, or the document that the row is for."""
     many = prints.groupBy("fingerprint").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id")).where("group_size > 1")
-    ids = prints.join(many.select("fingerprint"), "fingerprint", "left_semi").select("doc_id").distinct()
+    many = saved(many, f"{path}/many")
+    ids = prints.join(small(many, many.count()), "fingerprint", "left_semi").select("doc_id").distinct()
     suspects = docs.select(F.col("doc_id").cast("long"), "text")
     suspects = suspects.join(small(ids, ids.count()), same(suspects, ids, "doc_id"), "left_semi")
 
     def fold(b):
         canon = [canonical(t or "") for t in b.column("text").to_pylist()]
-        return {"fingerprint": [fingerprint(c) for c in canon], "canon": [c.encode() for c in canon]}
+        return {"doc_id": b.column("doc_id"), "fingerprint": [fingerprint(c) for c in canon], "canon": [c.encode() for c in canon]}
 
-    texts = map_batches(suspects, fold, "fingerprint string, canon binary").groupBy("fingerprint", "canon").agg(F.count("*").alias("copies"))
-    proved = texts.groupBy("fingerprint").agg(F.count("*").alias("texts"))
-    one = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a fingerprint"))).cast("long")
-    return many.join(proved, "fingerprint").select("fingerprint", "group_id", one.alias("group_size"))
+    texts = map_batches(suspects, fold, "doc_id long, fingerprint string, canon binary")
+    sets = texts.groupBy("fingerprint", "canon").agg(F.count("*").alias("copies"))
+    proved = saved(sets.groupBy("fingerprint").agg(F.count("*").alias("texts")), f"{path}/proved")
+    clear = many.join(proved.where("texts = 1"), "fingerprint").select("fingerprint", "group_id", "group_size", F.lit(None).cast("long").alias("member"))
+    clashing = proved.where("texts > 1").select("fingerprint")
+    if clashing.isEmpty():
+        return clear
+    # Different texts with one fingerprint are told apart by their bytes: a row for each document of them.
+    w = Window.partitionBy("fingerprint", "canon")
+    apart = texts.join(small(clashing, clashing.count()), "fingerprint", "left_semi")
+    return clear.unionByName(apart.select("fingerprint", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), F.col("doc_id").alias("member")).distinct())
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = documents(spark, sf_dir), workspace(spark)
     table = digests(docs, path)
-    same_text = saved(groups(docs, table.select("doc_id", "fingerprint")), f"{path}/groups")
-    out = table.join(small(same_text, same_text.count()), "fingerprint", "left")
+    same_text = saved(groups(docs, table.select("doc_id", "fingerprint"), path), f"{path}/groups")
+    own = (table["fingerprint"] == same_text["fingerprint"]) & (F.col("member").isNull() | F.col("member").eqNullSafe(table["doc_id"]))
+    out = table.join(small(same_text, same_text.count()), own, "left").drop(same_text["fingerprint"])
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, held, map_batches, saved, slices, small, spark_to_arrow, text_key, workspace
+from .common import columns, documents, held, map_batches, packed, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
 #: Counters of the sketch: 64 MB in a task, 16 MB as broadcast, whatever the input.
@@ -226,7 +226,8 @@ def _searcher(k: int, top: int, of: int):
 
 
 def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, sid and component_id of each document; documents link at Jaccard >= top / of."""
+    """doc_id, key (hash of the text), n_shingles, sid (its set), node (its component of sets) and component_id (the smallest
+    doc_id of that) of each document; documents link at Jaccard >= top / of."""
     spark = docs.sparkSession
     scan = saved(_scan(docs, k, bits), f"{path}/scan")
     table = scan.where("block is null").select("doc_id", "key", "n", "sid")
@@ -268,18 +269,23 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     least = table.groupBy("sid").agg(F.min("doc_id").alias("least"))
     label = least.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     low = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = saved(label.join(low, "component").select("sid", "component_id"), f"{path}/named")
+    named = saved(label.join(low, "component").select("sid", "component_id", F.col("component").alias("node")), f"{path}/named")
     out = table.join(small(named, named.count()), "sid")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "sid", "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, top: int = 80, of: int = 100) -> DataFrame:
     """docs with the smallest doc_id of each group of near duplicates, and all that link with none."""
     path = workspace(docs.sparkSession)
     groups = link_groups(docs, path, k, top, of)
-    drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    drop = saved(drop, f"{path}/drop")
-    return docs.join(small(drop, drop.count()), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    # The first row of a group by id and text; its repeated rows are exact copies and stay with it.
+    groups = saved(groups.where("n_shingles > 0").select("doc_id", "key", "node"), f"{path}/groups")
+    first = groups.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    first = first.select("node", "first.doc_id", "first.key")
+    drop = groups.join(first, (groups["node"] == first["node"]) & groups["doc_id"].eqNullSafe(first["doc_id"]) & (groups["key"] == first["key"]), "left_anti")
+    drop = saved(drop.select(F.col("doc_id").alias("id"), "key").distinct(), f"{path}/drop")
+    rows = packed(docs).withColumns({"id_": F.col("row.doc_id").cast("long"), "key_": text_key("row.text")})
+    return rows.join(small(drop, drop.count()), rows["id_"].eqNullSafe(drop["id"]) & (rows["key_"] == drop["key"]), "left_anti").select("row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, slices, spark_to_arrow
+from .common import columns, documents, packed, slices, spark_to_arrow, with_columns
 
 BUCKETS, GRAMS = 1 << 15, (2, 3, 4)
 #: Log odds that a change of language costs; log odds that a word of a script foreign to a language costs.
@@ -153,13 +153,13 @@ def viterbi(numbers: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
     return result
 
 
-def label(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "") -> DataFrame:
-    """docs with lang_pred and score, and spans (language and number of words of each) if asked for. A prefix keeps
-    their names apart from those of docs."""
+def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
+    """docs with lang_pred and score, and spans (language and number of words of each) if asked for. Columns of docs with
+    such names are a clash; ``packed`` keeps them apart."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {prefix}lang_pred string, {prefix}score double"
-    schema += f", {prefix}spans array<struct<lang:string,words:int>>" if spans else ""
-    kinds, names = spark_to_arrow(docs.sparkSession, schema), docs.columns
+    more = "lang_pred string, score double" + ", spans array<struct<lang:string,words:int>>" * spans
+    schema, names = with_columns(docs, docs.columns, more), docs.columns
+    kinds = spark_to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -181,7 +181,7 @@ def label(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "")
                 if spans:
                     cuts = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if w else []
                     runs.append([{"lang": m.langs[x[a]], "words": int(z - a)} for a, z in zip(cuts[:-1], cuts[1:])])
-            yield columns({c: b.column(c) for c in names} | {f"{prefix}lang_pred": langs, f"{prefix}score": scores, f"{prefix}spans": runs}, kinds)
+            yield columns({c: b.column(c) for c in names} | {"lang_pred": langs, "score": scores, "spans": runs}, kinds)
 
     return docs.mapInArrow(run, schema)
 
@@ -192,7 +192,7 @@ def fitted(docs: DataFrame) -> Model:
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents of which one language has at least the given share; those without letters go."""
-    return label(docs, fitted(docs), prefix="_").where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+    return label(packed(docs, "text"), fitted(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

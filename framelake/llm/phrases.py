@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, slices, text_key
+from .common import columns, documents, map_batches, slices, text_key, with_columns
 from .jaccard import windows, word_hashes
 
 WINDOW, RUN = 13, 5
@@ -252,17 +252,17 @@ def dealt(rows: DataFrame, texts: DataFrame, hot: int) -> DataFrame:
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs with _n_words, _n_removed, and _kept: the words left, joined by one space. Both joins with the texts are on
-    the same exchange of them, compressed, so that they are shuffled once."""
-    names = docs.columns
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": text_key()})
+    """row (the columns of docs but text), text, n_words, n_removed, and kept: the words left, joined by one space. Both
+    joins with the texts are on the same exchange of them, compressed, so that they are shuffled once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    # A row without an id is told by its text; ids of LAST stand last in any order and remove nothing of each other.
+    rows = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), text_key().alias("_key"))
 
     def squeeze(b):
         z = zstandard.ZstdCompressor(level=1)
-        return {c: b.column(c) for c in (*names, "_id", "_key") if c != "text"} | {"_z": [None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()]}
+        return {c: b.column(c) for c in ("row", "_id", "_key")} | {"_z": [None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()]}
 
-    texts = map_batches(rows, squeeze, ", ".join([*others, "_id long", "_key long", "_z binary"]))
+    texts = map_batches(rows, squeeze, with_columns(rows, ["row", "_id", "_key"], "_z binary"))
     found = dealt(rows, texts, hot).repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "id long, key long, first int, n int")
     marks = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("key", "first", "n")).alias("_marks"))
 
@@ -282,19 +282,20 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
             left.append(len(words))
             kept.append(b" ".join(words).decode())
-        return {c: b.column(c) for c in names if c != "text"} | {"text": [None if t is None else t.decode() for t in texts], "_n_words": n, "_n_removed": np.subtract(n, left), "_kept": kept}
+        return {"row": b.column("row"), "text": [None if t is None else t.decode() for t in texts], "n_words": n, "n_removed": np.subtract(n, left), "kept": kept}
 
-    return map_batches(texts.join(marks, "_id", "left"), cut, ", ".join([*others, "text string, _n_words long, _n_removed long, _kept string"]))
+    return map_batches(texts.join(marks, "_id", "left"), cut, with_columns(rows, ["row"], "text string, n_words long, n_removed long, kept string"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from text, and n_chars of it; a text without them stays as it is."""
-    rows = removed(docs).withColumn("text", F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    cut, old = F.col("n_removed") > 0, F.col("row.n_chars") if "n_chars" in docs.columns else None
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    if old is not None:
+        new["n_chars"] = F.when(cut, F.length("kept")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return removed(docs).select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = removed(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return rows.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

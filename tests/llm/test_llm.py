@@ -164,7 +164,7 @@ def test_divide_skip_equals_all_pairs():
 
 
 def test_phrases(spark, docs, empty):
-    got = {r.doc_id: r for r in phrases.removed(docs.select("doc_id", "text")).collect()}
+    got = {r.row.doc_id: r for r in phrases.removed(docs.select("doc_id", "text")).collect()}
     words, first = {i: WORDS.findall(t or "") for i, t, _ in ROWS}, {}
     for i in [r[0] for r in ROWS]:
         for j in range(len(words[i]) - 12):
@@ -174,8 +174,8 @@ def test_phrases(spark, docs, empty):
         for j in range(len(w) - 12):
             if first[tuple(w[j : j + 13])] != i:
                 stay[j : j + 13] = [False] * 13
-        assert (got[i]._n_words, got[i]._n_removed, got[i]._kept) == (len(w), stay.count(False), " ".join(x for x, y in zip(w, stay) if y))
-    assert got[7]._kept == "two"
+        assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), stay.count(False), " ".join(x for x, y in zip(w, stay) if y))
+    assert got[7].kept == "two"
     assert phrases.without_repeats(empty).count() == 0
 
 
@@ -199,7 +199,7 @@ def test_phrases_of_a_hot_anchor(spark):
                 stay[j : j + 13] = [False] * 13
         want.append((i, stay.count(False), " ".join(x for x, y in zip(w, stay) if y)))
     for hot in (5, 60, phrases.HOT):
-        got = [(phrases.LAST if r.doc_id is None else r.doc_id, r._n_removed, r._kept) for r in phrases.removed(docs, hot).collect()]
+        got = [(phrases.LAST if r.row.doc_id is None else r.row.doc_id, r.n_removed, r.kept) for r in phrases.removed(docs, hot).collect()]
         assert sorted(got) == sorted(want)
     keyed = docs.selectExpr("*", f"coalesce(doc_id, {phrases.LAST}) AS _id", "xxhash64(text) AS _key")
     squeezed = phrases.map_batches(keyed, lambda b: {"_id": b.column("_id"), "_key": b.column("_key"), "_z": [phrases.zstandard.compress(t.encode()) for t in b.column("text").to_pylist()]}, "_id long, _key long, _z binary")
@@ -269,6 +269,186 @@ def test_sharding(spark, docs, empty):
     assert len(sharding.shard(empty.select("doc_id", "text"), workspace(spark)).collect()) == 0
 
 
+def shingle_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def grouped(sets, top, of):
+    """Least number of each set's component, by all pairs."""
+    up = list(range(len(sets)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and of * len(sets[a] & sets[b]) >= top * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def cut_repeats(texts):
+    """What stays of texts in order of id, by a dictionary of all windows."""
+    words, first, out = [WORDS.findall(t or "") for t in texts], {}, []
+    for i, w in enumerate(words):
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    for i, w in enumerate(words):
+        stay = [True] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] != i:
+                stay[j : j + 13] = [False] * 13
+        out.append(texts[i] if all(stay) else " ".join(x for x, y in zip(w, stay) if y))
+    return out
+
+
+def corpus(n=90, seed=5):
+    """Documents in two languages with copies, near copies and shared passages."""
+    r = random.Random(seed)
+    de, en = ([f"{a}{b}" for a in s.split() for b in e.split()] for s, e in (("der schul wass bau frei gross", "ung heit lich en keit schaft"), ("the walk light bright under play", "ing ness ed ly ful ment")))
+    text = lambda k: " ".join(r.choices((de, en)[k], k=r.randint(30, 80)))
+    passage, rows = text(1), []
+    for i in range(n):
+        k = i % 2
+        t = text(k)
+        if i > 20 and i % 7 == 0:
+            t = rows[r.randint(0, 20)][1].replace(" ", "  ", 3)
+        elif i > 20 and i % 5 == 0:
+            w = rows[r.randint(0, 20)][1].split()
+            w[r.randint(0, len(w) - 1)] = "changed"
+            t = " ".join(w)
+        elif i % 4 == 1:
+            t = f"{t} {passage} {text(k)}"
+        rows.append((i, t, ("de", "en")[k], "s", len(t)))
+    return rows + [(n, None, "de", "s", None), (n + 1, "", None, "s", 0), (n + 2, "123 !", "en", "s", 5)]
+
+
+def test_jaccard_equals_all_pairs(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, top in ((3, 90), (5, 80)):
+        got = {r.doc_id: r for r in jaccard.link_groups(docs, workspace(spark), k, top, 100, bits=12).collect()}
+        sets = [shingle_set(t, k) for _, t, *_ in rows]
+        assert [got[i].component_id for i in range(len(rows))] == grouped(sets, top, 100)
+        assert [got[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on what the one before kept, with the documents as they come."""
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    (_, language_id), (_, exact_stage), (_, near), (_, cut), (_, pack) = c.STAGES
+    rows = sorted(map(tuple, language_id(spark, docs, "").collect()))
+    assert [r[0] for r in rows] == list(range(90))  # with a language each; the other three have no letters
+    kept = {}
+    for r in rows:
+        kept.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
+    docs = exact_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    rows = sorted(kept.values())
+    assert sorted(map(tuple, docs.collect())) == rows
+    component = grouped([shingle_set(r[1], 5) for r in rows], 80, 100)
+    rows = [r for i, r in enumerate(rows) if component[i] == i]
+    docs = near(spark, docs, "")
+    assert sorted(map(tuple, docs.collect())) == rows
+    texts = cut_repeats([r[1] for r in rows])
+    assert texts != [r[1] for r in rows]
+    rows = [(r[0], t, *r[2:4], len(t)) for r, t in zip(rows, texts)]
+    docs = cut(spark, docs, "")
+    assert sorted(map(tuple, docs.collect())) == rows
+    pieces = sorted(map(tuple, pack(spark, docs, "").select("doc_id", "start", "length", "doc_tokens", "ids_crc32").collect()))
+    want = [(i, np.array([*ids_of(t), 1], "<u4")) for i, t, *_ in rows]
+    for i, ids in want:
+        mine = [p for p in pieces if p[0] == i]
+        assert [p[1] for p in mine] == [0, *np.cumsum([p[2] for p in mine])[:-1]] and sum(p[2] for p in mine) == mine[0][3] == len(ids)
+        assert all(p[4] == zlib.crc32(ids[p[1] : p[1] + p[2]].tobytes()) for p in mine)
+    assert {p[0] for p in pieces} == {i for i, _ in want}
+
+
+#: Names that operators have for columns of their own.
+CLASHES = ["_id", "_key", "id", "key", "row", "h", "k", "n", "kept", "marks", "n_words", "score", "lang_pred", "part", "shard_id", "bytes", "norm", "rid", "sid", "component", "z", "_z", "id_"]
+
+
+def hostile(spark, rows):
+    more = ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(*r, *CLASHES) for r in rows], f"{SCHEMA}, {more}")
+
+
+@pytest.mark.parametrize("stage", range(5))
+@pytest.mark.parametrize("kind", ["filled", "empty"])
+def test_stages_with_hostile_tables(spark, stage, kind):
+    """Clashing names, null and repeated ids, repeated rows, a very long text, an empty table."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"wort{i % 4001}" for i in range(40_000))
+    rows = [(1, "the same text of eight words stands here", "en", "s", 40)] * 3 + [(1, "another text of the same id", "en", "s", 27), (None, "no id but a text", "en", None, None), (None, None, None, None, None), (7, long, "en", "s", len(long)), (8, long + " end", "en", "s", len(long) + 4), (9, "x" * 50_000, "en", "s", 50_000)]
+    docs = hostile(spark, rows if kind == "filled" else [])
+    name, apply = c.STAGES[stage]
+    out = apply(spark, docs, "")
+    got = out.collect()
+    if name == "packing":
+        assert sum(r.length for r in got) == sum(len(ids_of(r[1])) + 1 for r in rows if kind == "filled")
+        return
+    assert out.columns == docs.columns
+    ids = sorted((r.doc_id for r in got), key=str)
+    if kind == "empty":
+        assert not got
+    else:
+        assert all(tuple(r)[5:] == tuple(CLASHES) for r in got)
+        want = {"language_id": [1, 1, 1, 1, 7, 8, 9, None], "exact_dedup": [1, 1, 7, 8, 9, None, None], "near_dedup": [1, 1, 1, 1, 7, 9, None, None], "substring_dedup": [1, 1, 1, 1, 7, 8, 9, None, None]}
+        assert ids == want[name]
+
+
+@pytest.mark.parametrize("kind", ["filled", "empty"])
+def test_operators_with_hostile_tables(spark, kind):
+    long = " ".join(f"wort{i % 4001}" for i in range(40_000))
+    rows = [(1, "a b c", "en", "s", 1)] * 2 + [(1, "other", None, None, None), (None, "a b c", "en", "s", 1), (None, None, None, None, None), (5, "", "de", "s", 0), (6, long, "en", "s", 1)]
+    rows = rows if kind == "filled" else []
+    docs, n, out = hostile(spark, rows), len(rows), workspace(spark)
+    texts = sorted(t or "" for _, t, *_ in rows)
+    assert fingerprints.digests(docs, f"{out}/1").count() == n
+    groups = fingerprints.groups(docs, fingerprints.digests(docs, f"{out}/1b").select("doc_id", "fingerprint"), f"{out}/1c").collect()
+    assert sorted((r.group_size, r.group_id) for r in groups) == ([(2, 5), (3, 1)] if n else [])
+    encoded = bpe.encode(docs, tokens.tokenizer_path())
+    assert sorted(r.text for r in bpe.decode(encoded, tokens.tokenizer_path()).collect()) == texts
+    assert jaccard.link_groups(docs, f"{out}/4", 3, 90, 100, bits=12).count() == n
+    orc_tokens.write_orc(docs, tokens.tokenizer_path(), f"{out}/ids", 2)
+    table = orc_tokens.token_table(orc_tokens.read_orc(spark, f"{out}/ids"), f"{out}/index")
+    assert sorted(r.n_tokens for r in table.collect()) == sorted(len(ids_of(t)) + 1 for t in texts)
+    assert sorted(r.text or "" for r in phrases.removed(docs).collect()) == texts
+    assert {r.sequence_id for r in packing.pack(docs, tokens.tokenizer_path()).collect()} == set(range(-(-sum(len(ids_of(t)) + 1 for t in texts) // packing.LENGTH)))
+    buckets = sharding.shard(docs.select("doc_id", "text"), f"{out}/9", limit=50_000).collect()
+    assert sum(b.documents for b in buckets) == n
+    exacts = exact.exact_groups(docs, f"{out}/10").collect()
+    assert sorted((r.group_size, r.kept) for r in exacts) == ([(1, True), (1, True), (2, False), (2, True), (3, False), (3, False), (3, True)] if n else [])
+    assert language.label(docs.select("doc_id", "text"), language.fitted(docs)).count() == n
+    chat = spark.createDataFrame([(1, 0, "u", "a"), (1, 0, "u", "a"), (None, 1, "u", "> a"), (1, None, None, "> a"), (1, 2, "u", None)][: 5 if n else 0], "conv_id long, turn long, role string, text string")
+    assert quotes.chats(quotes.link(chat, f"{out}/5")).count() == (5 if n else 0)
+
+
+def test_colliding_buckets_are_split(spark, monkeypatch):
+    """Texts whose hashes are equal are told apart by their bytes."""
+    monkeypatch.setattr(fingerprints, "fingerprint", lambda canon: "f" if canon[:1] == "a" else "g")
+    docs = spark.createDataFrame([(1, "a x"), (2, "a  X"), (3, "a y"), (4, "b"), (5, "b ")], "doc_id long, text string")
+    prints = spark.createDataFrame([(i, "f" if i < 4 else "g") for i in range(1, 6)], "doc_id long, fingerprint string")
+    got = {(r.fingerprint, r.group_id, r.group_size, r.member) for r in fingerprints.groups(docs, prints, workspace(spark)).collect()}
+    assert got == {("f", 1, 2, 1), ("f", 1, 2, 2), ("f", 3, 1, 3), ("g", 4, 2, None)}
+
+
+def test_sharding_equals_a_directory_by_hand(spark):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(400)] + [(5, "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(r.h, r.bytes) for r in sharding.hashed(docs).collect()]
+
+    def split(part, depth):
+        if sum(b for _, b in part) > 2000 and len({h for h, _ in part}) > 1:
+            bit = sharding.BITS - depth - 1
+            return [x for side in (0, 1) for x in split([p for p in part if p[0] >> bit & 1 == side], depth + 1)]
+        return [(depth, sum(b for _, b in part), len(part))] if part else []
+
+    got = sharding.shard(docs, workspace(spark), limit=2000).collect()
+    assert sorted((r.depth, r.bytes, r.documents) for r in got) == sorted(split(keyed, 0))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as c
 
