@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads what the one before kept, written as Parquet."""
+"""The corpus pipeline: each stage reads what the one before kept, written as Parquet.
+
+Null and repeated doc_ids are rows like others, and further columns of documents travel along whatever they are called.
+Of an empty table the first stages return an empty one, and packing no piece.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
 
-#: SQL has no Viterbi, and no tokenizer; the tests compare with a brute-force version.
+#: SQL has no Viterbi, and no tokenizer; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
