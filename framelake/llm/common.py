@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -73,9 +74,17 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schem
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: workers idle between tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of few rows and, but for single longer ones, few bytes of texts, so that a worker holds the results of
     few long texts at once."""
+    b = None
     for b in batches:
         length = np.zeros(b.num_rows, np.int64)
         for c in b.columns:
@@ -88,6 +97,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 4 <
             hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
             yield b.slice(lo, hi - lo)
             lo = hi
+    del b
+    give_back()
 
 
 def spark_to_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:

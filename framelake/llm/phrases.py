@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, slices, text_key, with_columns
+from .common import columns, documents, give_back, map_batches, slices, text_key, with_columns
 from .jaccard import windows, word_hashes
 
 WINDOW, RUN = 13, 5
@@ -241,6 +241,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from found(held[:cut])
             held = held[cut:]
     yield from found(held)
+    held.clear()
+    give_back()
 
 
 def dealt(rows: DataFrame, texts: DataFrame, hot: int) -> DataFrame:
