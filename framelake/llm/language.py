@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, packed, slices, spark_to_arrow, with_columns
+from .common import columns, documents, give_back, packed, slices, spark_to_arrow, with_columns
 
 BUCKETS, GRAMS = 1 << 15, (2, 3, 4)
 #: Log odds that a change of language costs; log odds that a word of a script foreign to a language costs.
@@ -165,7 +165,7 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
         m = shared.value
         number: dict[str, int] = {}
         table = np.empty((0, len(m.langs)), np.float32)
-        for b in slices(batches, 3_000):
+        for b in slices(batches, 3_000, 4 << 20):
             words = [letters(t.lower()) if t and m.langs else [] for t in b.column("text").to_pylist()]
             if len(number) > KEEP:
                 number, table = {}, table[:0]
@@ -182,6 +182,9 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                     cuts = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if w else []
                     runs.append([{"lang": m.langs[x[a]], "words": int(z - a)} for a, z in zip(cuts[:-1], cuts[1:])])
             yield columns({c: b.column(c) for c in names} | {"lang_pred": langs, "score": scores, "spans": runs}, kinds)
+        number.clear()
+        table = words = labels = None
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
