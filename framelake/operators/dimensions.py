@@ -13,12 +13,13 @@ NO_GROUP, NO_PRIORITY = 4294967295, 2147483647
 
 def fold_threads(updates: DataFrame) -> DataFrame:
     """Of updates (trace_id, thread_id, seq, name, priority, group_name): the last non-blank name, the last priority
-    and group of each thread. An update of a thread named RHIThread puts it into Render. first_seen orders threads."""
+    and group of each thread; null sets nothing, a blank group is none. An update of a thread named RHIThread puts it into
+    Render, but not a row that has a false is_update. first_seen orders threads."""
     run = Window.partitionBy("trace_id", "thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     name = F.when(F.trim("name") != "", F.col("name"))
     u = updates.withColumn("name", F.last(name, ignorenulls=True).over(run))
-    u = u.withColumn("group_name", F.when(F.col("name") == "RHIThread", "Render").otherwise(F.col("group_name")))
-    t = u.groupBy("trace_id", "thread_id").agg(F.coalesce(F.max_by("name", "seq"), F.lit("UnnamedThread")).alias("name"), F.coalesce(F.max_by("priority", "seq"), F.lit(NO_PRIORITY)).alias("priority"), F.max_by("group_name", F.when(F.col("group_name").isNotNull(), F.col("seq"))).alias("group_name"), F.min("seq").alias("_first"))
+    u = u.withColumn("group_name", F.when((F.col("name") == "RHIThread") & (F.col("is_update") if "is_update" in updates.columns else F.lit(True)), "Render").otherwise(F.col("group_name")))
+    t = u.groupBy("trace_id", "thread_id").agg(F.coalesce(F.max_by("name", "seq"), F.lit("UnnamedThread")).alias("name"), F.coalesce(F.max_by("priority", F.when(F.col("priority").isNotNull(), F.col("seq"))), F.lit(NO_PRIORITY)).alias("priority"), F.max_by("group_name", F.when(F.col("group_name").isNotNull(), F.col("seq"))).alias("group_name"), F.min("seq").alias("_first"))
     t = t.withColumn("group_name", F.when(F.trim("group_name") != "", F.col("group_name")))
     return t.withColumn("first_seen", F.row_number().over(Window.partitionBy("trace_id").orderBy("_first", "thread_id")).cast("long")).drop("_first")
 
@@ -40,32 +41,67 @@ def ordered_threads(threads: DataFrame) -> DataFrame:
 
 def replay_timers(specs: DataFrame) -> DataFrame:
     """Of spec events (trace_id, seq, spec_id, name, source_file, source_line), the timer that each spec means, with its
-    name and place at the end. A trace's specs are few and their effects depend on the order, so a trace is replayed."""
+    name and place at the end. A trace's specs are few and their effects depend on the order, so a trace is replayed.
+
+    A column rule may tell merged specs (the default; one of a known name joins its timer) from unique ones and from
+    uses, which make a timer <unknown N> of a spec that isn't defined yet. A null file keeps the former."""
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         timers, by_name, of = {}, {}, {}
         for r in part.sort_values("seq").itertuples():
-            timer = of.get(r.spec_id)
+            timer, rule = of.get(r.spec_id), getattr(r, "rule", "merged")
+            place = {"name": r.name, "source_line": r.source_line} | ({} if r.source_file is None else {"source_file": r.source_file})
+            if rule != "merged":
+                if timer is None:
+                    timer = len(timers) + 1
+                    timers[timer] = {"name": f"<unknown {r.spec_id}>", "source_file": None, "source_line": 0}
+                    of[r.spec_id] = timer
+                if rule == "unique":
+                    timers[timer].update(place)
+                continue
             if r.name in by_name:
                 alias = timer is None
                 timer = by_name[r.name] if alias else timer
                 if not alias:
-                    timers[timer].update(name=r.name, source_file=r.source_file, source_line=r.source_line)
+                    timers[timer].update(place)
             elif timer is None:
                 timer = len(timers) + 1
                 timers[timer] = {"name": r.name, "source_file": r.source_file, "source_line": r.source_line}
             else:
-                timers[timer].update(name=r.name, source_file=r.source_file, source_line=r.source_line)
+                timers[timer].update(place)
             of[r.spec_id] = timer
             by_name.setdefault(r.name, timer)
         return pd.DataFrame([(part["trace_id"].iloc[0], s, t, *timers[t].values()) for s, t in of.items()], columns=["trace_id", "spec_id", "timer_id", "name", "source_file", "source_line"])
 
-    return specs.groupBy("trace_id").applyInPandas(replay, "trace_id long, spec_id long, timer_id long, name string, source_file string, source_line long")
+    return specs.groupBy("trace_id").applyInPandas(replay, f"trace_id {specs.schema['trace_id'].dataType.simpleString()}, spec_id long, timer_id long, name string, source_file string, source_line long")
 
 
 def fold_metadata(rows: DataFrame) -> DataFrame:
-    """The last payload of each metadata instance."""
-    return rows.groupBy("id").agg(F.max("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))
+    """The last payload of each metadata instance of rows (id, seq, payload), and its last spec_id where rows have one; of
+    each trace where they have a trace_id."""
+    key = [c for c in ("trace_id", "id") if c in rows.columns]
+    last = [F.max_by(c, "seq").alias(c) for c in ("payload", "spec_id") if c in rows.columns]
+    return rows.groupBy(*key).agg(F.max("seq").alias("seq"), *last)
+
+
+def metadata_specs(rows: DataFrame) -> DataFrame:
+    """Of rows (trace_id, seq, format, field_names): one id for each format and list of names, from 0 on in order of first
+    sight."""
+    first = rows.groupBy("trace_id", "format", "field_names").agg(F.min("seq").alias("first_seq"))
+    order = Window.partitionBy("trace_id").orderBy("first_seq")
+    return first.withColumn("id", F.row_number().over(order).cast("long") - 1)
+
+
+def resolved(refs: DataFrame, timers: DataFrame, instances: DataFrame) -> DataFrame:
+    """refs (trace_id, ref_kind, ref_id) with the name of their timer: of the spec itself, or of the metadata instance's
+    (ref_kind 1) at the end of the log; <unknown> where there is none. timers: trace_id, spec_id, name; instances:
+    trace_id, id, spec_id."""
+    i = instances.select("trace_id", F.col("id").alias("ref_id"), F.lit(1).alias("ref_kind"), F.col("spec_id").alias("_spec"))
+    r = refs.join(i, ["trace_id", "ref_id", "ref_kind"], "left")
+    r = r.withColumn("spec_id", F.when(F.col("ref_kind") == 1, F.col("_spec")).otherwise(F.col("ref_id"))).drop("_spec")
+    known = r.join(timers.select("trace_id", "spec_id", F.col("name").alias("_name")), ["trace_id", "spec_id"], "left")
+    unknown = F.when((F.col("ref_kind") == 1) & F.col("spec_id").isNull(), "<unknown metadata>").otherwise("<unknown>")
+    return known.withColumn("name", F.coalesce("_name", F.when(F.col("ref_kind").isNotNull(), unknown))).drop("_name")
 
 
 def inferred_name(fmt: str) -> Column:

@@ -47,9 +47,9 @@ def intersecting(frames: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def bar_statistics(frames: DataFrame, include_open: bool = False) -> DataFrame:
-    """Least, most and exact median duration of the bars of each trace; the median is 1/60 s where there is none."""
+    """Least, most and exact median duration of the bars of each series; the median is 1/60 s where there is none."""
     bars = frame_bars(frames if include_open else frames.where("end_us is not null"))
-    return bars.groupBy("trace_id").agg(F.count("*").alias("bars"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us"), F.coalesce(F.median("duration_us"), F.lit(1e6 / 60)).alias("median_us"))
+    return bars.groupBy(*SERIES).agg(F.count("*").alias("bars"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us"), F.coalesce(F.median("duration_us"), F.lit(1e6 / 60)).alias("median_us"))
 
 
 def height(d: Column, least: Column, most: Column, low: float = 4.0, high: float = 150.0) -> Column:
@@ -59,21 +59,21 @@ def height(d: Column, least: Column, most: Column, low: float = 4.0, high: float
 
 
 def viewport(frames: DataFrame, offset: int, width: int, bar_width: int = 8) -> DataFrame:
-    """The bars of each trace that a viewport shows, with their heights among those shown."""
+    """The bars of each series that a viewport shows, with their heights among those shown."""
     slot = bar_width + 2
     f = completed(frames)
-    n = F.count("*").over(Window.partitionBy("trace_id"))
+    n = F.count("*").over(Window.partitionBy(*SERIES))
     first = F.least(n - 1, F.lit(offset // slot))
     shown = frame_bars(f.withColumn("_first", first).where((F.col("pos") >= F.col("_first")) & (F.col("pos") < F.col("_first") + max(1, -(-width // slot) + 1)))).drop("_first")
-    w = Window.partitionBy("trace_id")
+    w = Window.partitionBy(*SERIES)
     return shown.withColumn("height", height(F.col("duration_us"), F.min("duration_us").over(w), F.max("duration_us").over(w)))
 
 
 def guides(frames: DataFrame, offset: int, width: int) -> DataFrame:
     """Heights of the budgets 1/30, 1/60 and 1/120 s and of the median, on the scale of the bars shown."""
-    stat = viewport(frames, offset, width).groupBy("trace_id").agg(F.min("duration_us").alias("lo"), F.max("duration_us").alias("hi"), F.median("duration_us").alias("mid"))
+    stat = viewport(frames, offset, width).groupBy(*SERIES).agg(F.min("duration_us").alias("lo"), F.max("duration_us").alias("hi"), F.median("duration_us").alias("mid"))
     line = F.explode(F.array(*(F.struct(F.lit(n).alias("guide"), v.alias("us")) for n, v in (("30", F.lit(1e6 / 30)), ("60", F.lit(1e6 / 60)), ("120", F.lit(1e6 / 120)), ("median", F.col("mid"))))))
-    return stat.withColumn("g", line).select("trace_id", F.col("g.guide").alias("guide"), height(F.col("g.us"), F.col("lo"), F.col("hi")).alias("height"))
+    return stat.withColumn("g", line).select(*SERIES, F.col("g.guide").alias("guide"), height(F.col("g.us"), F.col("lo"), F.col("hi")).alias("height"))
 
 
 def candidates(frames: DataFrame) -> DataFrame:

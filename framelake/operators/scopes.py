@@ -28,8 +28,9 @@ def pair_scopes(events: DataFrame) -> DataFrame:
     ended = e.withColumn("end_us", F.lead("t_us").over(Window.partitionBy(*THREAD, "depth").orderBy("seq"))).where("is_begin")
     scopes = ended.select(*THREAD, F.col("seq").alias("scope_id"), "depth", "spec_id", F.col("t_us").alias("start_us"), "end_us")
     # A scope's parent is the last one begun a level above: each scope stands at its level and asks one above.
-    level = scopes.select(*THREAD, "depth", F.col("scope_id").alias("at"), F.col("scope_id").alias("own"), F.lit(None).cast("struct<depth:bigint,spec_id:bigint,start_us:bigint,end_us:bigint>").alias("s"))
-    asks = scopes.select(*THREAD, (F.col("depth") - 1).alias("depth"), F.col("scope_id").alias("at"), F.lit(None).cast("long").alias("own"), F.struct("depth", "spec_id", "start_us", "end_us").alias("s"))
+    rest = F.struct("depth", "spec_id", "start_us", "end_us")
+    level = scopes.select(*THREAD, "depth", F.col("scope_id").alias("at"), F.col("scope_id").alias("own"), F.when(F.lit(False), rest).alias("s"))
+    asks = scopes.select(*THREAD, (F.col("depth") - 1).alias("depth"), F.col("scope_id").alias("at"), F.lit(None).cast("long").alias("own"), rest.alias("s"))
     last = F.last("own", ignorenulls=True).over(Window.partitionBy(*THREAD, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return level.unionByName(asks).withColumn("parent_scope_id", last).where("s is not null").select(*THREAD, F.col("at").alias("scope_id"), "s.*", "parent_scope_id")
 
@@ -40,18 +41,25 @@ def durations(scope_events: DataFrame, frame_events: DataFrame) -> DataFrame:
     return both.groupBy("trace_id").agg(F.greatest(F.lit(0), F.max("t_us")).alias("duration_us"))
 
 
-def close_open(scopes: DataFrame, duration: DataFrame) -> DataFrame:
-    """Open scopes end with the trace; is_open tells them."""
+def close_open(scopes: DataFrame, duration: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Open scopes end with their thread where ends (trace_id, thread_id, thread_end_us) has it, but not before the thread's
+    last time, else with the trace; is_open tells them."""
     s = scopes.join(duration, "trace_id")
-    return s.withColumn("is_open", F.col("end_us").isNull()).withColumn("end_us", F.coalesce("end_us", "duration_us")).drop("duration_us")
+    close = F.col("duration_us")
+    if ends is not None:
+        last = F.max(F.greatest("start_us", F.coalesce("end_us", "start_us"))).over(Window.partitionBy(*THREAD))
+        s = s.join(ends, THREAD, "left")
+        close = F.when(F.col("thread_end_us").isNull(), close).otherwise(F.greatest(F.col("thread_end_us"), last))
+    s = s.withColumn("_close", close)
+    return s.withColumn("is_open", F.col("end_us").isNull()).withColumn("end_us", F.coalesce("end_us", "_close")).drop("_close", "duration_us", "thread_end_us")
 
 
-def with_paths(scopes: DataFrame) -> DataFrame:
-    """scopes (with name) and path_hash, parent_path_hash, path, by pointer doubling: each step puts the names known of the
+def with_paths(scopes: DataFrame, by: str = "name") -> DataFrame:
+    """scopes (with the column by, which scopes are merged by) and path_hash, parent_path_hash, path, by pointer doubling: each step puts the names known of the
     scope above before the own ones. Rows meet by scope, so no thread is gathered, however long its stack is in use."""
     path = workspace(scopes.sparkSession)
     s = saved(scopes, f"{path}/scopes")
-    now, done, k = s.select(*THREAD, "scope_id", F.col("parent_scope_id").alias("up"), F.array("name").alias("names")), None, 0
+    now, done, k = s.select(*THREAD, "scope_id", F.col("parent_scope_id").alias("up"), F.array(by).alias("names")), None, 0
     while True:
         ended, going = now.where("up is null"), now.where("up is not null")
         done = done.unionByName(ended) if done else ended
@@ -66,9 +74,11 @@ def with_paths(scopes: DataFrame) -> DataFrame:
 
 
 def in_frames(scopes: DataFrame, frames: DataFrame) -> DataFrame:
-    """A row for each completed frame that a closed scope is visible in: the scope clipped to it."""
+    """A row for each completed frame that a scope is visible in: the scope clipped to it. A scope that is still open (no end)
+    lasts to the end of the last frame."""
     done = completed(frames).where("frame_type = 'Game'").select("trace_id", "frame_index", "pos", "start_us", "end_us")
-    s = scopes.withColumn("_t", F.col("start_us"))
+    last = done.groupBy("trace_id").agg(F.max("end_us").alias("_last"))
+    s = scopes.join(last, "trace_id").withColumn("end_us", F.coalesce("end_us", F.greatest("_last", "start_us") + 1)).drop("_last").withColumn("_t", F.col("start_us"))
     s = frame_at(s, done, ["trace_id"], "_t", "pos", "_i0").withColumn("_t", F.col("end_us"))
     s = frame_at(s, done, ["trace_id"], "_t", "pos", "_i1").drop("_t")
     each = s.withColumn("pos", F.explode(F.sequence(F.coalesce("_i0", F.lit(0)), F.coalesce("_i1", F.lit(0))))).drop("_i0", "_i1")
@@ -80,8 +90,8 @@ def in_frames(scopes: DataFrame, frames: DataFrame) -> DataFrame:
 
 def with_children(visible: DataFrame) -> DataFrame:
     """children_us: what the direct children of a scope take in the frame; exclusive_us: the rest."""
-    children = visible.where("parent_scope_id is not null").groupBy("trace_id", "frame_index", F.col("parent_scope_id").alias("scope_id")).agg(F.sum("inclusive_us").alias("children_us"))
-    v = visible.join(children, ["trace_id", "frame_index", "scope_id"], "left").withColumn("children_us", F.coalesce("children_us", F.lit(0)))
+    children = visible.where("parent_scope_id is not null").groupBy("trace_id", "frame_index", "thread_id", F.col("parent_scope_id").alias("scope_id")).agg(F.sum("inclusive_us").alias("children_us"))
+    v = visible.join(children, ["trace_id", "frame_index", "thread_id", "scope_id"], "left").withColumn("children_us", F.coalesce("children_us", F.lit(0)))
     return v.withColumn("exclusive_us", F.greatest(F.lit(0), F.col("inclusive_us") - F.col("children_us")))
 
 
@@ -115,4 +125,31 @@ def default_frame(threads: DataFrame, frames: DataFrame) -> DataFrame:
     """For each trace the candidate frame with most active threads, then the largest total, then the first."""
     per = threads.groupBy("trace_id", "frame_index").agg(F.count("*").alias("threads"), F.sum("total_us").alias("total_us"))
     w = Window.partitionBy("trace_id").orderBy(F.desc("threads"), F.desc("total_us"), "frame_index")
-    return per.join(frames.select("trace_id", "frame_index"), ["trace_id", "frame_index"]).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return per.join(frames.where("frame_type = 'Game'").select("trace_id", "frame_index"), ["trace_id", "frame_index"]).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def hidden_chains(nodes: DataFrame) -> DataFrame:
+    """Of visible_nodes: the nodes that stay, with the names of the chain hidden below each, in order. A hidden node's chain
+    goes up, one parent at a time for all of them at once, until a node that stays."""
+    key = ["trace_id", "frame_index", "thread_id"]
+    path = workspace(nodes.sparkSession)
+    n = saved(nodes, f"{path}/nodes")
+    now, done, k = n.where("hidden").select(*key, "name", "depth", F.col("parent_path_hash").alias("up")), None, 0
+    above = n.select(*key, F.col("path_hash").alias("up"), "hidden", F.col("parent_path_hash").alias("_up"))
+    while True:
+        step = saved(now.join(above, [*key, "up"]), f"{path}/chain-{k}")
+        ended = step.where("not hidden").select(*key, "name", "depth", F.col("up").alias("path_hash"))
+        done = ended if done is None else done.unionByName(ended)
+        now, k = step.where("hidden").select(*key, "name", "depth", F.col("_up").alias("up")), k + 1
+        if now.isEmpty():
+            break
+    chains = done.groupBy(*key, "path_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]).alias("hidden_names"))
+    out = n.where("not hidden").join(chains, [*key, "path_hash"], "left")
+    return out.withColumn("hidden_names", F.coalesce("hidden_names", F.array().cast("array<string>")))
+
+
+def function_details(tree: DataFrame, threads: DataFrame) -> DataFrame:
+    """Nodes with the name of their thread; threads: trace_id, thread_id, name."""
+    t = threads.select("trace_id", "thread_id", F.col("name").alias("thread"))
+    out = tree.join(t, ["trace_id", "thread_id"], "left").withColumn("thread", F.coalesce("thread", F.lit("UnnamedThread")))
+    return out.select("trace_id", "frame_index", "thread_id", "path", "name", "thread", "inclusive_us", "exclusive_us", "children_us", "start_us", "end_us", "started_before", "ended_after")

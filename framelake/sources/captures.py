@@ -29,6 +29,7 @@ BATCHES = ("EventBatch", "EventBatchV2", "EventBatchV3")
 HANDSHAKE = "trace_id string, control_port int, session_guid binary, trace_guid binary, transport int, protocol int, error string"
 PACKETS = "trace_id string, packet_index long, thread_id int, payload binary, error string"
 EVENTS = "trace_id string, seq long, thread_id int, logger string, event_name string, scope_phase string, ts_seconds double, cycle long, seconds_per_cycle double, fields map<string,string>, binary_fields map<string,binary>, attachment binary"
+DEFINITIONS = "trace_id string, uid int, logger string, event_name string, flags int, fixed_size int, fields array<struct<name:string,offset:int,size:int,kind:int>>"
 SHARED = "trace_id string, definitions array<binary>, start_cycle long, frequency long"
 
 
@@ -330,3 +331,17 @@ def trace_events(parts: DataFrame) -> DataFrame:
     each = others.select("trace_id", F.col("thread_id").alias("_thread")).distinct().join(shared, "trace_id").withColumnRenamed("trace_id", "_trace")
     later = others.groupBy("trace_id", "thread_id").cogroup(each.groupBy("_trace", "_thread")).applyInPandas(rest, EVENTS)
     return first.groupBy("trace_id").applyInPandas(lambda p: _frame(decode_first(p)[1]), EVENTS).unionByName(later)
+
+
+def event_definitions(parts: DataFrame) -> DataFrame:
+    """A row for each event definition of each trace, the last of a uid: its size and its fields."""
+    first = parts.where("error is null").where(F.col("thread_id").isin(*SHARED_THREADS))
+
+    def read(part: pd.DataFrame) -> pd.DataFrame:
+        d = Decoder({})
+        for thread, data in part.sort_values("packet_index")[["thread_id", "payload"]].itertuples(index=False):
+            d.run(None, thread, [(0, data)], d.shared, 0)
+        rows = [(part["trace_id"].iloc[0], x.uid, x.logger, x.name, x.flags, x.size, [(n, at, size, kind) for n, at, size, kind in x.fields]) for x in d.definitions.values()]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in DEFINITIONS.split(", ")])
+
+    return first.groupBy("trace_id").applyInPandas(read, DEFINITIONS)
