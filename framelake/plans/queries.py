@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fields
+from ..operators import batches, modules
 from ..operators import dimensions as d
 from ..operators import frames as f
 from ..operators import scopes as s
@@ -27,7 +29,7 @@ scopes AS (SELECT trace_id, thread_id, seq AS scope_id, depth, spec_id, t_us AS
   (SELECT max(p.seq) FROM sl p WHERE p.is_begin AND p.thread_id = sp.thread_id AND p.depth = sp.depth - 1 AND p.seq < sp.seq) AS parent_scope_id FROM sp WHERE is_begin),
 dur AS (SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM (SELECT trace_id, t_us FROM se UNION ALL SELECT trace_id, t_us FROM fe) GROUP BY 1),
 closed AS (SELECT s.* REPLACE (coalesce(end_us, duration_us) AS end_us) FROM scopes s JOIN dur USING (trace_id)),
-named AS (SELECT c.*, coalesce(p_brand, '<unknown ' || spec_id || '>') AS name FROM closed c LEFT JOIN part ON p_partkey = spec_id AND p_partkey < 80)"""
+named AS (SELECT c.*, coalesce(p_brand, '<unknown ' || spec_id || '>') AS name FROM closed c LEFT JOIN part ON p_partkey * 5 // 4 = spec_id)"""
 
 VISIBLE = f"""{SCOPES},
 vis AS (SELECT n.*, d.frame_index, greatest(n.start_us, d.start_us) AS cs, least(n.end_us, d.end_us) AS ce, least(n.end_us, d.end_us) - greatest(n.start_us, d.start_us) AS inclusive_us, n.start_us < d.start_us AS started_before, n.end_us > d.end_us AS ended_after
@@ -72,7 +74,7 @@ def ag01_frames(spark, sf_dir):
 
 
 def ag05_bar_statistics(spark, sf_dir):
-    return f.bar_statistics(frames_of(spark, sf_dir))
+    return f.bar_statistics(frames_of(spark, sf_dir)).drop("frame_type")
 
 
 def jn01_frame_at(spark, sf_dir):
@@ -173,13 +175,102 @@ def st01_thread_order(spark, sf_dir):
 
 
 def ag10_timers(spark, sf_dir):
-    return d.replay_timers(views.timer_specs(spark, sf_dir).withColumn("trace_id", F.lit(0).cast("long"))).drop("trace_id")
+    return d.replay_timers(views.trace_timer_specs(spark, sf_dir, 80))
 
 
 def ag10_trace_timers(spark, sf_dir):
     return d.replay_timers(views.trace_timer_specs(spark, sf_dir))
 
 
+def src05_batches(spark, sf_dir):
+    """Scopes written as batches of each version by thread, and read back."""
+    e = views.scope_events(spark, sf_dir)
+    log = [views.batches(e.where(F.col("thread_id") % 3 == v - 1), v) for v in (1, 2, 3)]
+    return _plain(batches.records(log[0].unionByName(log[1]).unionByName(log[2])))
+
+
+def wn08_merged(spark, sf_dir):
+    """Some kinds of events in batches, the others as logged scopes: merged they are the thread's events in order of time."""
+    e = views.scope_events(spark, sf_dir).withColumn("_own", F.col("seq") % 3 == 0)
+    log = views.batches(e.where("not _own"), 2).unionByName(views.logged_scopes(e.where("_own")))
+    return _plain(batches.records(log))
+
+
+def _plain(records):
+    return records.select(F.col("trace_id").cast("long"), "thread_id", "seq", "t_us", "is_begin", F.col("ref_id").alias("spec_id"))
+
+
+def fn03_frame_log(spark, sf_dir):
+    return f.pair_frames(_frame_log(spark, sf_dir))
+
+
+def _frame_log(spark, sf_dir):
+    return modules.frame_log(views.frame_log(spark, sf_dir)).withColumn("trace_id", F.col("trace_id").cast("long"))
+
+
+def ag05_series(spark, sf_dir):
+    return f.bar_statistics(fn03_frame_log(spark, sf_dir))
+
+
+def wn11_series(spark, sf_dir):
+    v = f.viewport(fn03_frame_log(spark, sf_dir), 20, 100)
+    return v.select("trace_id", "frame_type", "frame_index", "duration_us", F.round("height", 6).alias("height"))
+
+
+def wn13_series(spark, sf_dir):
+    return f.guides(fn03_frame_log(spark, sf_dir), 20, 100).withColumn("height", F.round("height", 6))
+
+
+def wn09_created_threads(spark, sf_dir):
+    t = d.fold_threads(modules.thread_log(views.thread_log(spark, sf_dir)))
+    return t.select(F.col("trace_id").cast("long"), "thread_id", "name", "priority", "group_name")
+
+
+def jn04_names(spark, sf_dir):
+    """Begins of scopes by timer or, for odd ids, by the metadata instance of half of it."""
+    e = views.scope_events(spark, sf_dir).where("is_begin")
+    refs = e.select("trace_id", "seq", (F.col("spec_id") % 2).cast("int").alias("ref_kind"), F.floor(F.col("spec_id") / 2).cast("long").alias("ref_id"))
+    instances = d.fold_metadata(views.metadata_log(spark, sf_dir)).select("trace_id", "id", "spec_id")
+    timers = d.replay_timers(views.trace_timer_specs(spark, sf_dir)).select("trace_id", "spec_id", "name")
+    return d.resolved(refs, timers, instances).select("trace_id", "seq", "name")
+
+
+def ag11_instances(spark, sf_dir):
+    return d.fold_metadata(views.metadata_log(spark, sf_dir))
+
+
+def ag11_specs(spark, sf_dir):
+    return d.metadata_specs(views.metadata_formats(spark, sf_dir)).select("trace_id", "id", "format", F.col("field_names")[0].alias("field_name"), "first_seq")
+
+
+def _ref_tree(spark, sf_dir):
+    named = scopes_of(spark, sf_dir).withColumn("ref", F.concat_ws("#", "name", "spec_id"))
+    return s.call_tree(s.with_children(s.in_frames(s.with_paths(named, "ref"), frames_of(spark, sf_dir))))
+
+
+def ag03_ref_tree(spark, sf_dir):
+    """Siblings are one node only when both name and timer are the same."""
+    return _ref_tree(spark, sf_dir).drop("path_hash", "parent_path_hash")
+
+
+def jn10_details(spark, sf_dir):
+    threads = _threads(spark, sf_dir).select("thread_id", "name").withColumn("trace_id", F.floor(F.col("thread_id") / 10))
+    return s.function_details(_ref_tree(spark, sf_dir), threads).select("trace_id", "frame_index", "path", "thread", fields.milliseconds("inclusive_us").alias("inclusive"), fields.milliseconds("exclusive_us").alias("exclusive"), fields.seconds("start_us").alias("start"))
+
+
+def wn10_chains(spark, sf_dir):
+    """The items on display, with the chain hidden below each and its badge."""
+    c = s.hidden_chains(s.visible_nodes(_ref_tree(spark, sf_dir)))
+    n = F.size("hidden_names")
+    return c.select("trace_id", "frame_index", "thread_id", "path", F.array_join("hidden_names", " -> ").alias("chain"), F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise("").alias("badge"))
+
+
+def src06_counts(spark, sf_dir):
+    """Events of each kind of each trace, of the logs of frames and threads."""
+    log = views.frame_log(spark, sf_dir).unionByName(views.thread_log(spark, sf_dir))
+    return modules.coverage(log).withColumn("trace_id", F.col("trace_id").cast("long"))
+
+
 def ag11_metadata(spark, sf_dir):
     return d.fold_metadata(views.metadata(spark, sf_dir))
 
@@ -192,9 +283,41 @@ THREADS = """
 tu AS (SELECT o_custkey // 1000 AS trace_id, o_orderkey AS seq, o_custkey AS thread_id, CASE WHEN o_orderstatus <> 'P' THEN 'Thread' || (o_orderkey % 97) END AS name, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Render' WHEN 'AUTOMOBILE' THEN 'ThreadPool' WHEN 'MACHINERY' THEN 'TaskGraphHigh' WHEN 'HOUSEHOLD' THEN 'TaskGraphNormal' ELSE c_mktsegment END AS group_name FROM orders JOIN customer ON o_custkey = c_custkey),
 th AS (SELECT trace_id, thread_id, coalesce(arg_max(name, seq) FILTER (WHERE name IS NOT NULL), 'UnnamedThread') AS name, arg_max(priority, seq) AS priority, arg_max(group_name, seq) AS group_name, row_number() OVER (PARTITION BY trace_id ORDER BY min(seq), thread_id) AS first_seen FROM tu GROUP BY 1, 2)"""
+TIMERS = "WITH p AS (SELECT *, p_partkey // {each} AS trace_id, p_partkey % {each} AS spec_id FROM part), a AS (SELECT trace_id, p_brand, min(p_partkey) AS first FROM p GROUP BY 1, 2), t AS (SELECT a.trace_id, a.p_brand, row_number() OVER (PARTITION BY a.trace_id ORDER BY first) AS timer_id, p_type AS source_file, CAST(p_size AS BIGINT) AS source_line FROM a JOIN p ON p.p_partkey = first) SELECT p.trace_id, spec_id, timer_id, p_brand AS name, t.source_file, t.source_line FROM p JOIN t USING (trace_id, p_brand)"
 BAR = "CASE WHEN hi = lo THEN 150.0 ELSE 4.0 + least(1.0, greatest(0.0, (us - lo) / CAST(hi - lo AS DOUBLE))) * 146.0 END"
 
+FRAMES2 = f"""
+fl AS (SELECT user_id // 10 AS trace_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 1 THEN 'Game' ELSE 'Rendering' END AS frame_type, event_id AS seq, epoch_us(ts) - {views.EPOCH_US} AS t_us, event_type = 'signup' AS is_begin FROM events WHERE event_type IN ('signup', 'error')),
+fn AS (SELECT *, sum(CASE WHEN is_begin THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, frame_type ORDER BY seq) - 1 AS frame_index FROM fl),
+frames2 AS (SELECT trace_id, frame_type, CAST(frame_index AS BIGINT) AS frame_index, min(t_us) FILTER (WHERE is_begin) AS start_us, arg_max(t_us, seq) FILTER (WHERE NOT is_begin) AS end_us FROM fn WHERE frame_index >= 0 GROUP BY ALL),
+done2 AS (SELECT *, row_number() OVER (PARTITION BY trace_id, frame_type ORDER BY frame_index) - 1 AS pos, count(*) OVER (PARTITION BY trace_id, frame_type) AS n FROM frames2 WHERE end_us IS NOT NULL),
+shown2 AS (SELECT trace_id, frame_type, frame_index, greatest(0, end_us - start_us) AS us FROM done2 WHERE pos >= least(n - 1, 2) AND pos < least(n - 1, 2) + 11)"""
+LOGGED = "se AS (SELECT user_id // 10 AS trace_id, user_id AS thread_id, event_id AS seq, epoch_us(ts) - {epoch} AS t_us, event_type IN ('click', 'view') AS is_begin, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'signup')".format(epoch=views.EPOCH_US)
+THREAD_LOG = """
+tl AS (SELECT o_custkey // 100 AS trace_id, o_custkey % 7 AS current, o_orderkey AS seq, o_custkey AS created, o_orderpriority AS g, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN -1 ELSE 0 END AS mv FROM orders),
+ts AS (SELECT *, sum(mv) OVER (PARTITION BY trace_id, current ORDER BY seq) AS st FROM tl),
+td AS (SELECT *, st - least(0, min(st) OVER (PARTITION BY trace_id, current ORDER BY seq)) AS dep FROM ts),
+cr AS (SELECT td.*, (SELECT arg_max(p.g, p.seq) FROM td p WHERE p.mv = 1 AND p.trace_id = td.trace_id AND p.current = td.current AND p.dep = td.dep AND p.seq < td.seq) AS top FROM td WHERE mv = 0)"""
+REF_TREE = TREE.replace("SELECT scope_id, name AS path FROM named", "SELECT scope_id, name || '#' || spec_id AS path FROM named").replace("p.path || '/' || n.name FROM named", "p.path || '/' || n.name || '#' || n.spec_id FROM named")
+REF_TREE = REF_TREE.replace("left(path, length(path) - length(name) - 1)", "left(path, length(path) - strpos(reverse(path), '/'))")
+CHAINS = REF_TREE + """,
+heads AS (SELECT trace_id, frame_index, thread_id, path AS head, path, name, depth, 0 AS step FROM nodes WHERE NOT hidden UNION ALL SELECT n.trace_id, n.frame_index, n.thread_id, h.head, n.path, n.name, n.depth, 1 FROM nodes n JOIN heads h ON n.trace_id = h.trace_id AND n.frame_index = h.frame_index AND n.thread_id = h.thread_id AND n.parent = h.path WHERE n.hidden)"""
+
 SQL = {
+    "src05_batches": f"WITH {LOGGED} SELECT trace_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS seq, t_us, is_begin, CASE WHEN is_begin THEN k END AS spec_id FROM se",
+    "wn08_merged": f"WITH {LOGGED} SELECT trace_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS seq, t_us, is_begin, CASE WHEN is_begin THEN CASE WHEN seq % 3 = 0 THEN 4294967295 - k ELSE k END END AS spec_id FROM se",
+    "fn03_frame_log": f"WITH {FRAMES2} SELECT * FROM frames2",
+    "ag05_series": f"WITH {FRAMES2}, b AS (SELECT *, greatest(0, end_us - start_us) AS d FROM done2) SELECT trace_id, frame_type, count(*) AS bars, min(d) AS min_us, max(d) AS max_us, median(d) AS median_us FROM b GROUP BY 1, 2",
+    "wn11_series": f"WITH {FRAMES2}, w AS (SELECT *, min(us) OVER (PARTITION BY trace_id, frame_type) AS lo, max(us) OVER (PARTITION BY trace_id, frame_type) AS hi FROM shown2) SELECT trace_id, frame_type, frame_index, us AS duration_us, round({BAR}, 6) AS height FROM w",
+    "wn13_series": f"WITH {FRAMES2}, w AS (SELECT trace_id, frame_type, min(us) AS lo, max(us) AS hi, median(us) AS mid FROM shown2 GROUP BY 1, 2), l AS (SELECT *, '30' AS guide, 1e6 / 30 AS us FROM w UNION ALL SELECT *, '60', 1e6 / 60 FROM w UNION ALL SELECT *, '120', 1e6 / 120 FROM w UNION ALL SELECT *, 'median', mid FROM w) SELECT trace_id, frame_type, guide, round({BAR}, 6) AS height FROM l",
+    "wn09_created_threads": f"WITH {THREAD_LOG} SELECT trace_id, created AS thread_id, 'UnnamedThread' AS name, CAST(arg_max(left(g, 1), seq) AS INTEGER) AS priority, arg_max(top, seq) FILTER (WHERE top IS NOT NULL) AS group_name FROM cr GROUP BY 1, 2",
+    "jn04_names": f"WITH {LOGGED}, i AS (SELECT conv_id // 100 AS trace_id, conv_id % 100 AS id, arg_max((conv_id + turn) % 100, turn) AS spec_id FROM conversations GROUP BY 1, 2), r AS (SELECT se.trace_id, seq, k % 2 AS kind, CASE WHEN k % 2 = 1 THEN i.spec_id ELSE k // 2 END AS spec_id FROM se LEFT JOIN i ON i.trace_id = se.trace_id AND i.id = k // 2 AND k % 2 = 1 WHERE is_begin) SELECT r.trace_id, r.seq, coalesce(p_brand, CASE WHEN kind = 1 AND spec_id IS NULL THEN '<unknown metadata>' ELSE '<unknown>' END) AS name FROM r LEFT JOIN part ON p_partkey // 100 = r.trace_id AND p_partkey % 100 = spec_id",
+    "ag11_instances": "SELECT conv_id // 100 AS trace_id, conv_id % 100 AS id, max(turn) AS seq, arg_max(text, turn) AS payload, arg_max((conv_id + turn) % 100, turn) AS spec_id FROM conversations GROUP BY 1, 2",
+    "ag11_specs": "WITH a AS (SELECT p_partkey // 100 AS trace_id, p_type AS format, p_brand AS field_name, min(p_partkey) AS first_seq FROM part GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY first_seq) - 1 AS id FROM a",
+    "ag03_ref_tree": f"WITH RECURSIVE {REF_TREE} SELECT * FROM tree",
+    "jn10_details": f"WITH RECURSIVE {REF_TREE}, {THREADS} SELECT tree.trace_id, frame_index, path, coalesce(th.name, 'UnnamedThread') AS thread, printf('%d.%03d ms', inclusive_us // 1000, inclusive_us % 1000) AS inclusive, printf('%d.%03d ms', exclusive_us // 1000, exclusive_us % 1000) AS exclusive, printf('%d.%06d', tree.start_us // 1000000, tree.start_us % 1000000) AS start FROM tree LEFT JOIN th USING (thread_id)",
+    "wn10_chains": f"WITH RECURSIVE {CHAINS} SELECT trace_id, frame_index, thread_id, head AS path, coalesce(string_agg(name, ' -> ' ORDER BY depth) FILTER (WHERE step = 1), '') AS chain, CASE WHEN sum(step) > 0 THEN '+' || CAST(sum(step) AS BIGINT) ELSE '' END AS badge FROM heads GROUP BY 1, 2, 3, 4",
+    "src06_counts": "WITH e AS (SELECT user_id // 10 AS trace_id, 'Misc.' || CASE event_type WHEN 'signup' THEN 'Begin' ELSE 'End' END || CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 2 THEN 'RenderFrame' ELSE 'Frame' END AS kind FROM events WHERE event_type IN ('signup', 'error') UNION ALL SELECT o_custkey // 100, 'Misc.' || CASE o_orderstatus WHEN 'F' THEN 'BeginThreadGroupScope' WHEN 'P' THEN 'EndThreadGroupScope' ELSE 'CreateThread' END FROM orders), c AS (SELECT trace_id, kind, count(*) AS events FROM e GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY events DESC, kind) AS rank FROM c QUALIFY rank <= 20",
     "ag01_frames": f"WITH {GAME} SELECT * FROM frames",
     "ag05_bar_statistics": f"WITH {GAME}, b AS (SELECT trace_id, greatest(0, end_us - start_us) AS d FROM done) SELECT trace_id, count(*) AS bars, min(d) AS min_us, max(d) AS max_us, median(d) AS median_us FROM b GROUP BY 1",
     "jn01_frame_at": f"WITH {SCOPES} SELECT trace_id, seq, t_us, (SELECT max(frame_index) FROM frames WHERE frames.trace_id = se.trace_id AND start_us < t_us) AS frame_index FROM se WHERE is_begin",
@@ -219,8 +342,8 @@ SQL = {
     "st01_thread_order": f"""WITH {THREADS}, g AS (SELECT *, CASE group_name WHEN 'Render' THEN 0 WHEN 'TaskGraphHigh' THEN 2 WHEN 'TaskGraphNormal' THEN 3 WHEN 'ThreadPool' THEN 6 END AS known FROM th),
 r AS (SELECT *, coalesce(CAST(known AS BIGINT), 8 + dense_rank() OVER (PARTITION BY trace_id ORDER BY CASE WHEN known IS NULL THEN lower(group_name) END NULLS FIRST)) AS group_rank FROM g)
 SELECT trace_id, thread_id, group_rank, row_number() OVER (PARTITION BY trace_id ORDER BY group_rank, priority, first_seen) AS position FROM r""",
-    "ag10_timers": "WITH a AS (SELECT p_brand AS name, min(p_partkey) AS first FROM part WHERE p_partkey < 80 GROUP BY 1), t AS (SELECT name, row_number() OVER (ORDER BY first) AS timer_id, p_type AS source_file, CAST(p_size AS BIGINT) AS source_line FROM a JOIN part ON p_partkey = first) SELECT p_partkey AS spec_id, timer_id, name, source_file, source_line FROM part JOIN t ON p_brand = name WHERE p_partkey < 80",
-    "ag10_trace_timers": "WITH p AS (SELECT *, p_partkey // 100 AS trace_id, p_partkey % 100 AS spec_id FROM part), a AS (SELECT trace_id, p_brand, min(p_partkey) AS first FROM p GROUP BY 1, 2), t AS (SELECT a.trace_id, a.p_brand, row_number() OVER (PARTITION BY a.trace_id ORDER BY first) AS timer_id, p_type AS source_file, CAST(p_size AS BIGINT) AS source_line FROM a JOIN p ON p.p_partkey = first) SELECT p.trace_id, spec_id, timer_id, p_brand AS name, t.source_file, t.source_line FROM p JOIN t USING (trace_id, p_brand)",
+    "ag10_timers": TIMERS.format(each=80),
+    "ag10_trace_timers": TIMERS.format(each=100),
     "ag11_metadata": "SELECT conv_id AS id, max(turn) AS seq, arg_max(text, turn) AS payload FROM conversations GROUP BY 1",
     "fn05_inferred_name": "SELECT item_id, CASE WHEN trim(text) <> '' THEN CASE WHEN regexp_extract(text, '^([^% (=]+)', 1) = '' THEN text ELSE regexp_extract(text, '^([^% (=]+)', 1) END END AS name FROM benchmark",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH_US = 1_704_067_200_000_000
@@ -25,15 +26,16 @@ def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 80")
-    return p.select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
+    """All of part; every fifth id has no spec."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").alias("seq"), F.floor(F.col("p_partkey") * 5 / 4).cast("long").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
 
 
-def trace_timer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of part, a hundred specs to a trace."""
+def trace_timer_specs(spark: SparkSession, sf_dir: str, each: int = 100) -> DataFrame:
+    """All of part, so many specs to a trace."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
-    return p.select(F.floor(k / 100).cast("long").alias("trace_id"), k.alias("seq"), (k % 100).cast("long").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
+    return p.select(F.floor(k / each).cast("long").alias("trace_id"), k.alias("seq"), (k % each).cast("long").alias("spec_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("source_file"), F.col("p_size").cast("long").alias("source_line"))
 
 
 def thread_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,3 +47,78 @@ def thread_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.col("text").alias("payload"))
+
+
+_LOG = "trace_id, thread_id, seq, logger, event_name, scope_phase, ts_seconds, cycle, seconds_per_cycle, fields, binary_fields, attachment".split(", ")
+
+
+def _log(rows: DataFrame, **columns) -> DataFrame:
+    """rows with the columns of an event log: those given, and empty ones."""
+    none = {"scope_phase": F.lit("None"), "ts_seconds": F.lit(0.0), "cycle": F.lit(None).cast("long"), "seconds_per_cycle": F.lit(1e-6), "fields": F.create_map().cast("map<string,string>"), "binary_fields": F.create_map().cast("map<string,binary>"), "attachment": F.lit(None).cast("binary")}
+    out = rows.withColumns(none | columns)
+    return out.select(F.col("trace_id").cast("string"), *_LOG[1:])
+
+
+def _varint(v: int) -> bytes:
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    return bytes(out) + bytes([v])
+
+
+def batches(events: DataFrame, version: int, size: int = 32) -> DataFrame:
+    """Begins and ends of each thread as a log of batches of so many records; a batch comes with its last record."""
+    order = Window.partitionBy("trace_id", "thread_id").orderBy("seq")
+    rows = events.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
+    rows = rows.groupBy("trace_id", "thread_id", "batch").agg(F.max("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "t_us", "is_begin", "spec_id"))).alias("records"))
+
+    @F.pandas_udf("binary")
+    def encode(lists: pd.Series) -> pd.Series:
+        def one(records):
+            out, last = b"", 0
+            for r in records:
+                t, begin = int(r["t_us"]), bool(r["is_begin"])
+                out += _varint((t - last if t - last < last else t) << (1 if version == 1 else 2) | begin) + (_varint(int(r["spec_id"]) << (version == 3)) if begin else b"")
+                last = t
+            return out
+
+        return lists.map(one)
+
+    return _log(rows, logger=F.lit("CpuProfiler"), event_name=F.lit("EventBatch" + ("" if version == 1 else f"V{version}")), cycle=F.col("records")[0]["t_us"], attachment=encode("records"))
+
+
+def logged_scopes(events: DataFrame) -> DataFrame:
+    """Begins and ends as events of a log, with their spec as type."""
+    return _log(events, logger=F.lit("Cpu"), event_name=F.lit("Scope"), scope_phase=F.when(F.col("is_begin"), "Enter").otherwise("Leave"), ts_seconds=F.col("t_us") / 1e6, cycle=F.col("t_us"), fields=F.create_map(F.lit("TypeId"), F.col("spec_id").cast("string")))
+
+
+def frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signup and error as begins and ends of frames: of the type by a field, by none, or by the event's name; the time is the
+    event's own or that of its cycle."""
+    e = _events(spark, sf_dir).where("event_type IN ('signup', 'error')")
+    begin, k = F.when(F.col("event_type") == "signup", "Begin").otherwise("End"), F.col("spec_id")
+    name = F.concat(begin, F.when(k % 3 == 2, "RenderFrame").otherwise("Frame"))
+    own = k % 2 == 0
+    field = F.create_map(F.lit("FrameType"), F.when(k % 3 == 0, F.lit("1")), F.lit("Cycle"), F.when(~own, F.col("t_us").cast("string")))
+    return _log(e, logger=F.lit("Misc"), event_name=name, ts_seconds=F.when(own, F.col("t_us") / 1e6).otherwise(0.0), fields=field)
+
+
+def thread_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as group scopes (begun, ended) and created threads of seven threads a trace."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = F.when(F.col("o_orderstatus") == "F", "BeginThreadGroupScope").when(F.col("o_orderstatus") == "P", "EndThreadGroupScope").otherwise("CreateThread")
+    rows = o.select(F.floor(F.col("o_custkey") / 100).alias("trace_id"), (F.col("o_custkey") % 7).alias("thread_id"), F.col("o_orderkey").alias("seq"), "o_custkey", "o_orderpriority", name.alias("event_name"))
+    field = F.when(F.col("event_name") == "BeginThreadGroupScope", F.create_map(F.lit("GroupName"), F.col("o_orderpriority"))).when(F.col("event_name") == "CreateThread", F.create_map(F.lit("CreatedThreadId"), F.col("o_custkey").cast("string"), F.lit("Priority"), F.substring("o_orderpriority", 1, 1))).otherwise(F.create_map().cast("map<string,string>"))
+    return _log(rows, logger=F.lit("Misc"), fields=field)
+
+
+def metadata_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as metadata instances of traces of a hundred conversations, with a spec each."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select(F.floor(F.col("conv_id") / 100).cast("long").alias("trace_id"), (F.col("conv_id") % 100).cast("long").alias("id"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("payload"), ((F.col("conv_id") + F.col("turn")) % 100).cast("long").alias("spec_id"))
+
+
+def metadata_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("trace_id"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("format"), F.array("p_brand").alias("field_names"))
