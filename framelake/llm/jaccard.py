@@ -9,9 +9,9 @@ hashes, or its whole word sequence if it has fewer than k words. Documents witho
    that link share one of the first n - ceil(t n) + 1: these prefixes alone are shuffled, and a walk over each
    list in order of size leaves star edges, cut where sizes are too far apart to link.
 3. Components of the stars are clumps: every link lies in one. The sets of clumps are gathered, and each clump is
-   searched by T-occurrence with DivideSkip: a set asks the sets before it; its short inverted lists are merged
-   and counted, those that reach T less the number of long lists are looked up in the long lists by binary
-   search, and a set already in the component of the asking one is skipped. A clump beyond a size is cut into
+   searched by T-occurrence with DivideSkip: a set asks the sets before it; its short inverted lists are merged by a
+   heap that skips what can't reach T less the number of long lists, the others are looked up in the long lists by
+   binary search, and a set already in the component of the asking one is skipped. A clump beyond a size is cut into
    chunks, and pairs of chunks whose sizes can link are searched apart.
 4. The links kept (a spanning forest of each search) are joined to components.
 
@@ -21,7 +21,9 @@ found by their sets and never are the smallest. Repeated rows have equal sets; a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -172,41 +174,74 @@ class _Forest:
         return i
 
 
+def merge_skip(postings: list[int], at: list[int], stop: list[int], t: int) -> Iterator[tuple[int, int]]:
+    """Members of at least t of the sorted lists postings[at : stop], and of how many, by a heap of the lists' heads. What
+    stands at fewer heads is passed over: t - 1 heads are popped together, and their lists go on by binary search at
+    the head that is left, which is the least that can still be in t lists."""
+    heap = [(postings[i], k) for k, i in enumerate(at)]
+    heapify(heap)
+    while len(heap) >= t:
+        least, popped = heap[0][0], []
+        while heap and heap[0][0] == least:
+            popped.append(heappop(heap)[1])
+        if (n := len(popped)) >= t:
+            yield least, n
+            after = least + 1
+        else:
+            while heap and len(popped) < t - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                return
+            after = heap[0][0]
+        for k in popped:
+            at[k] = i = bisect_left(postings, after, at[k], stop[k])
+            if i < stop[k]:
+                heappush(heap, (postings[i], k))
+
+
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, top: int, of: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets, which are in rising order of size; side 2 asks for pairs of all, sides 0
-    and 1 for pairs across. Sets of one side that link are joined by another search."""
+    and 1 for pairs across. Sets of one side that link are joined by another search.
+
+    Each set asks those before it for the least overlap that a link needs. The longest of its inverted lists are set apart,
+    the short ones merged by a heap; what occurs in enough of these is looked up in the long ones by binary search."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    at = at.ravel()
+    _, terms, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    terms = terms.ravel()
     n = len(sets)
-    # The inverted lists one after the other, each in order of the sets; key finds a set in a list.
-    key = np.sort(at * n + owner)
-    posting, begin, ends = key % n, np.cumsum(count) - count, np.cumsum(sizes)
+    # The inverted lists one after the other, each in order of the sets.
+    postings = (np.sort(terms * n + owner) % n).tolist()
+    begin, ends = np.cumsum(count) - count, np.cumsum(sizes)
     up, out = _Forest(n), []
     for q in range(1, n):
-        terms = at[ends[q] - sizes[q] : ends[q]]
-        terms = terms[count[terms] > 1]
+        mine = terms[ends[q] - sizes[q] : ends[q]]
+        mine = mine[count[mine] > 1]
         t = needed(int(sizes[q]), top, of)
-        if len(terms) < t:
-            continue
         low = int(np.searchsorted(sizes, t))  # the first set that is large enough
-        if low >= q:
+        if len(mine) < t or low >= q:
+            continue
+        mine = mine[np.argsort(count[mine], kind="stable")]
+        first, last = begin[mine], begin[mine] + count[mine]
+        first, last = first.tolist(), last.tolist()
+        # Of each list, the part from the first set that is large enough to the asking one.
+        if low:
+            first = [bisect_left(postings, low, a, z) for a, z in zip(first, last)]
+        last = [bisect_left(postings, q, a, z) for a, z in zip(first, last)]
+        lists = [(a, z) for a, z in zip(first, last) if a < z]
+        if len(lists) < t:
             continue
-        terms = terms[np.argsort(count[terms], kind="stable")]
-        n_long = min(t - 1, int(t / (0.01 * np.log2(int(count[terms[-1]]) + 2) + 1)))
-        short, long = terms[: len(terms) - n_long], terms[len(terms) - n_long :]
-        k = count[short]
-        merged = posting[np.repeat(begin[short] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-        found, hits = np.unique(merged[(merged >= low) & (merged < q)], return_counts=True)
-        ok = hits >= t - n_long
-        for r, got in zip(found[ok].tolist(), hits[ok].tolist()):
+        lists.sort(key=lambda x: x[1] - x[0])
+        n_long = min(t - 1, int(t / (0.01 * np.log2(lists[-1][1] - lists[-1][0] + 2) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        for r, got in merge_skip(postings, [a for a, _ in short], [z for _, z in short], t - n_long):
             if side[r] == side[q] != 2 or up.find(r) == up.find(q):
                 continue
             need = -(-top * int(sizes[q] + sizes[r]) // (top + of))  # of * shared >= top * union
             if got + n_long >= need:
-                probe = long * n + r
-                got += int((key[np.minimum(np.searchsorted(key, probe), len(key) - 1)] == probe).sum())
+                for a, z in long:
+                    i = bisect_left(postings, r, a, z)
+                    got += i < z and postings[i] == r
                 if got >= need:
                     out.append((q, r))
                     up.up[max(up.find(r), up.find(q))] = min(up.find(r), up.find(q))

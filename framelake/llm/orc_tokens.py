@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, saved, text_key, workspace
+from .common import documents, map_batches, saved, small, text_key, workspace
 from .tokens import encoder, tokenizer_path
 
 END = 0
@@ -78,7 +78,7 @@ def token_table(rows: DataFrame, index: str) -> DataFrame:
     placed = read.withColumn("at", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     totals = read.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return placed.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.join(small(before, before.count()), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def parts_for(docs: DataFrame) -> int:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, saved, slices, spark_to_arrow, workspace
+from .common import columns, documents, map_batches, saved, slices, small, spark_to_arrow, workspace
 from .tokens import binaries, encoder, tokenizer_path
 
 LENGTH, END = 2048, 1
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, ids:
     rows = saved(encoded(docs, path, end), f"{work}/ids")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))  # one row for each scan partition
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    placed = rows.join(F.broadcast(before), "part").select("doc_id", "n", (F.col("before") + F.col("at")).alias("at"), "ids")
+    placed = rows.join(small(before, before.count()), "part").select("doc_id", "n", (F.col("before") + F.col("at")).alias("at"), "ids")
 
     def cut(b):
         at, n = (b.column(c).to_numpy() for c in ("at", "n"))

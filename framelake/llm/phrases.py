@@ -38,7 +38,7 @@ from .jaccard import windows, word_hashes
 
 WINDOW, RUN = 13, 5
 #: Passages that one automaton is made for, about; those of one anchor stay together.
-SHARD = 20_000
+SHARD = 10_000
 #: Most passages of an anchor that a task gathers; those of more are told apart by window.
 HOT = 20_000
 LAST = (1 << 63) - 1
@@ -158,31 +158,12 @@ def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
         k = z + 1
 
 
-def _occurrences(rows: list[tuple]) -> list[tuple]:
-    """Of passages (h, id, key, first, n, words) of whole anchors, by (h, id): (id, key, first window, windows) to be
-    removed. Where all passages of an anchor are the same words, the phrase is the passage; the windows of the
-    others are confirmed one by one and located by an automaton."""
-    out, mixed, a = [], [], 0
-    while a < len(rows):
-        h, least, *_, words = rows[a]
-        z, alike = a + 1, True
-        while z < len(rows) and rows[z][0] == h:
-            alike &= rows[z][5] == words
-            z += 1
-        if alike:
-            out += [r[1:5] for r in rows[a:z] if r[1] > least]
-        else:
-            mixed += rows[a:z]
-        a = z
-    return out + _located(mixed)
-
-
 def _located(rows: list[tuple]) -> list[tuple]:
+    """Of passages (h, id, key, first, n, words) of whole anchors, by (h, id): (id, key, first window, windows) to be
+    removed. The windows that several documents have are confirmed word by word, with the smallest id, and compiled to
+    an automaton over word numbers; each passage runs through it, equal ones once, and what it finds is all there is."""
     number: dict[bytes, int] = {}
     text: dict[bytes, tuple] = {}
-    for r in rows:
-        if r[5] not in text:
-            text[r[5]] = tuple([number.setdefault(w, len(number)) for w in r[5].split(b" ")])
     owner: dict[tuple, int] = {}
     confirmed: dict[tuple, int] = {}
     ends: dict[bytes, int] = {}  # a passage met again under the same id, or a larger one, tells no more than the first two
@@ -190,7 +171,8 @@ def _located(rows: list[tuple]) -> list[tuple]:
         if ends.get(words, 0) == LAST:
             continue
         ends[words] = LAST if words in ends and ends[words] < i else i
-        s = text[words]
+        if (s := text.get(words)) is None:
+            s = text[words] = tuple([number.setdefault(w, len(number)) for w in words.split(b" ")])
         for j in range(n):
             w = s[j : j + WINDOW]
             if (least := owner.setdefault(w, i)) < i:
@@ -200,10 +182,13 @@ def _located(rows: list[tuple]) -> list[tuple]:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, least in confirmed.items():
         automaton.add_word(w, least)
+    owner.clear()
     automaton.make_automaton()
-    found = {words: [(end - WINDOW + 1, least) for end, least in automaton.iter(s)] for words, s in text.items()}
+    found: dict[bytes, list] = {}
     out = []
     for _, i, key, first, _, words in rows:
+        if words not in found:
+            found[words] = [(end - WINDOW + 1, least) for end, least in automaton.iter(text[words])]
         out += [(i, key, first + a, z) for a, z in _runs([j for j, least in found[words] if least < i])]
     return out
 
@@ -215,7 +200,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [columns({n: [r[k] for r in out] for k, n in enumerate(kinds.names)}, kinds)] if out else []
 
     def found(rows):
-        return marks(_occurrences(rows))
+        return marks(_located(rows))
 
     held: list[tuple] = []
     at, least = None, {}  # the hash that windows of hot anchors have just now, and the smallest id of each
