@@ -9,9 +9,9 @@ starts in a document with a smaller doc_id is removed. Windows are judged on the
 2. Documents meet their recurring anchors (texts travel compressed) and emit the passages around them. Of a hot
    anchor, a batch of documents marks the windows that a smaller document of the batch has at once; only the
    windows of the batch's smallest are emitted, each alone.
-3. Passages are dealt by anchor, HOT at most for each. A task takes runs of anchors in turn: it confirms the windows
-   that several documents share, word by word, compiles them to an Aho-Corasick automaton over word numbers, and
-   streams its passages through it; each occurrence of a phrase that a smaller document has marks words. Windows of
+3. Passages are dealt by anchor, HOT at most for each. A task takes runs of anchors in turn: it confirms the phrases
+   that several documents share, compiles them to an Aho-Corasick automaton over word numbers, and streams all
+   passages through it; each occurrence of a phrase that a smaller document has marks words. Windows of
    hot anchors are dealt by their own hash and stream by in order of doc_id, compared word by word with the first.
 4. The marks, a short list for each document, go back to the texts.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, documents, give_back, map_batches, slices, text_key, with_columns
-from .jaccard import windows, word_hashes
+from .jaccard import _mix, windows, word_hashes
 
 WINDOW, RUN = 13, 5
 #: Passages that one automaton is made for, about; those of one anchor stay together.
@@ -52,11 +52,12 @@ def anchors(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         return (np.empty(0, np.int64),) * 4
     h = windows(word_hashes(list(chain.from_iterable(docs))), RUN)
     doc = np.repeat(np.arange(len(docs)), sizes)
-    least, at = h[:total].copy(), np.zeros(total, np.int64)
-    for j in range(1, WINDOW - RUN + 1):
-        lower = h[j : j + total] < least
-        least[lower] = h[j : j + total][lower]
-        at[lower] = j
+    least, at, wide = h, np.zeros(len(h), np.int64), 1
+    while wide < WINDOW - RUN + 1:  # the first of the least hashes of ever longer stretches
+        step = min(wide, WINDOW - RUN + 1 - wide)
+        lower = least[step:] < least[:-step]
+        least, at = np.where(lower, least[step:], least[:-step]), np.where(lower, at[step:] + step, at[:-step])
+        wide += step
     start = np.flatnonzero(doc[:total] == doc[WINDOW - 1 :])  # windows inside one text
     place = at[start] + start
     new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(doc[start], prepend=-1) != 0))
@@ -160,36 +161,67 @@ def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
 
 def _located(rows: list[tuple]) -> list[tuple]:
     """Of passages (h, id, key, first, n, words) of whole anchors, by (h, id): (id, key, first window, windows) to be
-    removed. The windows that several documents have are confirmed word by word, with the smallest id, and compiled to
-    an automaton over word numbers; each passage runs through it, equal ones once, and what it finds is all there is."""
+    removed. Recurring phrases are confirmed and compiled to an automaton over word numbers; each passage runs through
+    it, equal ones once, and what it finds is all there is."""
+    if not rows:
+        return []
+    place: dict[bytes, int] = {}
+    low: list[int] = []  # of each distinct passage, the smallest id, and another one if it has
+    high: list[int] = []
+    for _, i, _, _, _, words in rows:  # rising ids within an anchor, and equal passages have one anchor
+        k = place.setdefault(words, len(low))
+        if k == len(low):
+            low.append(i)
+            high.append(i)
+        else:
+            high[k] = i
     number: dict[bytes, int] = {}
-    text: dict[bytes, tuple] = {}
-    owner: dict[tuple, int] = {}
-    confirmed: dict[tuple, int] = {}
-    ends: dict[bytes, int] = {}  # a passage met again under the same id, or a larger one, tells no more than the first two
-    for _, i, _, _, n, words in rows:  # rising ids within an anchor, and equal windows have one anchor
-        if ends.get(words, 0) == LAST:
-            continue
-        ends[words] = LAST if words in ends and ends[words] < i else i
-        if (s := text.get(words)) is None:
-            s = text[words] = tuple([number.setdefault(w, len(number)) for w in words.split(b" ")])
-        for j in range(n):
-            w = s[j : j + WINDOW]
-            if (least := owner.setdefault(w, i)) < i:
-                confirmed[w] = least
-    if not confirmed:
+    texts = [[number.setdefault(w, len(number)) for w in words.split(b" ")] for words in place]
+    phrases = _confirmed(texts, np.array(low), np.array(high))
+    if not phrases:
         return []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, least in confirmed.items():
-        automaton.add_word(w, least)
-    owner.clear()
+    for phrase, least in phrases:
+        automaton.add_word(phrase, (len(phrase), least))
     automaton.make_automaton()
-    found: dict[bytes, list] = {}
+    found = [[(end - n + 1, n - WINDOW + 1, least) for end, (n, least) in automaton.iter(tuple(t))] for t in texts]
     out = []
     for _, i, key, first, _, words in rows:
-        if words not in found:
-            found[words] = [(end - WINDOW + 1, least) for end, least in automaton.iter(text[words])]
-        out += [(i, key, first + a, z) for a, z in _runs([j for j, least in found[words] if least < i])]
+        spans = [(a, n) for a, n, least in found[place[words]] if least < i]
+        if len(spans) > 1:
+            spans = _runs(sorted({a + j for a, n in spans for j in range(n)}))
+        out += [(i, key, first + a, n) for a, n in spans]
+    return out
+
+
+def _confirmed(texts: list[list[int]], low: np.ndarray, high: np.ndarray) -> list[tuple[tuple, int]]:
+    """Phrases of word numbers that several documents have, with the smallest id: each run of windows that only one of the
+    distinct passages has (and several documents have that), and each window that several distinct passages share."""
+    sizes = np.array(list(map(len, texts)))
+    flat = np.fromiter(chain.from_iterable(texts), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.flatnonzero(owner[: len(flat) - WINDOW + 1] == owner[WINDOW - 1 :])  # windows inside one passage
+    seed = 1
+    while True:
+        h = windows(_mix(flat.astype(np.uint64) + np.uint64(seed << 40)), WINDOW)[at]
+        _, some, group, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count[group] > 1)
+        if all((flat[at[shared] + j] == flat[at[some[group[shared]]] + j]).all() for j in range(WINDOW)):
+            break  # equal hashes are equal words
+        seed += 1
+    own = owner[at]
+    least, most = np.full(len(some), LAST), np.full(len(some), -LAST - 1)
+    np.minimum.at(least, group, low[own])
+    np.maximum.at(most, group, high[own])
+    words, out = flat.tolist(), []
+    alone = (count[group] == 1) & (least < most)[group]
+    k = np.flatnonzero(alone)
+    if len(k):
+        breaks = np.flatnonzero((np.diff(at[k]) != 1) | (np.diff(own[k]) != 0)) + 1
+        begin, end = k[np.append(0, breaks)], k[np.append(breaks, len(k)) - 1]
+        out += [(tuple(words[a : z + WINDOW]), i) for a, z, i in zip(at[begin].tolist(), at[end].tolist(), least[group[begin]].tolist())]
+    g = np.flatnonzero((count > 1) & (least < most))
+    out += [(tuple(words[a : a + WINDOW]), i) for a, i in zip(at[some[g]].tolist(), least[g].tolist())]
     return out
 
 

@@ -459,3 +459,25 @@ def test_pipeline(spark, docs):
     rows = {r.doc_id: r.text for r in kept.collect()}
     assert 1 not in rows and 2 not in rows and 8 not in rows and 5 not in rows and rows[7] == "two"
     assert {r.doc_id for r in c.STAGES[-1][1](spark, kept, "").collect()} == set(rows)
+
+
+def test_located_equals_brute_force():
+    """Passages of mixed, shared and repeated windows, whose anchors several ids have."""
+    r = random.Random(11)
+    for _ in range(60):
+        base = [r.choice("abc") + str(r.randint(0, 2)) for _ in range(60)]
+        rows = []
+        for i in range(r.randint(2, 12)):
+            for _ in range(r.randint(1, 3)):
+                n, a = r.randint(1, 9), r.randint(0, 12)
+                w = base[a : a + n + 12]
+                if r.random() < 0.3:
+                    w[r.randint(0, len(w) - 1)] = "z"
+                rows.append((1, i, 5, a, n, " ".join(w).encode()))
+        first = {}
+        for _, i, _, _, n, w in rows:
+            for j in range(n):
+                first.setdefault(tuple(w.split()[j : j + 13]), i)
+        want = sorted({(i, key, a + j) for _, i, key, a, n, w in rows for j in range(n) if first[tuple(w.split()[j : j + 13])] < i})
+        got = sorted({(i, key, a + j) for i, key, a, n in phrases._located(rows) for j in range(n)})
+        assert got == want
