@@ -19,7 +19,7 @@ import pyarrow as pa
 from .common import held
 
 #: Pre-tokens that a worker's table holds (some 40 bytes each); of more, those met since it was last full stay.
-KEEP = 400_000
+KEEP = 200_000
 # Classes of characters; SEP stands between texts.
 LETTER, NUMBER, OTHER, SPACE, SEP, UNKNOWN = range(6)
 
