@@ -235,7 +235,7 @@ class Coder(Chunked):
 
 def coder(path: str, shared) -> Coder:
     """One for each worker, from the broadcast tables."""
-    return held(f"coder {path}", lambda: Coder(path, shared.value))
+    return held(f"coder {path}", lambda: Coder(path, shared.value), on=True)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

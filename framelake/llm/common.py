@@ -21,13 +21,13 @@ BROADCAST_ROWS = 1_000_000
 _held: dict[str, Any] = {}
 
 
-def held(name: str, make: Callable[[], Any]) -> Any:
-    """What a worker keeps from task to task, such as a tokenizer and the words it has met. Of one operator at a time:
-    a worker that serves the next one lets go of the last one's."""
+def held(name: str, make: Callable[[], Any], on: bool = False) -> Any:
+    """What a worker keeps between batches and, if it is to last on, from task to task, such as a tokenizer. Of one operator
+    at a time: a worker that serves the next one lets go of the last one's."""
     if name not in _held:
         _held.clear()
-        _held[name] = make()
-    return _held[name]
+        _held[name] = on, make()
+    return _held[name][1]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,9 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schem
 
 
 def give_back() -> None:
-    """Returns freed memory to the system: workers idle between tasks, several to an executor."""
+    """At the end of a task, returns freed memory to the system: workers idle between tasks, several to an executor."""
+    for name in [n for n, (on, _) in _held.items() if not on]:
+        del _held[name]
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
         trim(0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, saved, spark_to_arrow
+from .common import columns, give_back, saved, spark_to_arrow
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +37,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = forest(batch.column("a").to_numpy(), batch.column("b").to_numpy())
             yield columns({"a": a, "b": b}, kinds)
+        give_back()
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 

@@ -21,6 +21,7 @@ found by their sets and never are the smallest. Repeated rows have equal sets; a
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -33,13 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, held, map_batches, packed, saved, slices, small, spark_to_arrow, text_key, workspace
+from .common import columns, documents, give_back, held, map_batches, packed, saved, slices, small, spark_to_arrow, text_key, workspace
 from .components import components
 
 #: Counters of the sketch: 64 MB in a task, 16 MB as broadcast, whatever the input.
 SKETCH_BITS = 24
 #: Shingles of a clump, and of a chunk of a larger one, that one task holds (8 bytes each).
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,6 +158,7 @@ def _stars(docs: DataFrame, k: int, top: int, of: int, bits: int, sketch) -> Dat
             if edge.any():
                 edges = np.unique(np.stack([s[edge], head[edge]], 1), axis=0)
                 yield columns({"a": edges[:, 0], "b": edges[:, 1]}, kinds)
+        give_back()
 
     lists = docs.select("text").mapInArrow(prefixes, kind).repartition("h").sortWithinPartitions("h", "n", "sid")
     return lists.mapInArrow(walk, "a long, b long")
@@ -174,7 +176,7 @@ class _Forest:
         return i
 
 
-def merge_skip(postings: list[int], at: list[int], stop: list[int], t: int) -> Iterator[tuple[int, int]]:
+def merge_skip(postings: array, at: list[int], stop: list[int], t: int) -> Iterator[tuple[int, int]]:
     """Members of at least t of the sorted lists postings[at : stop], and of how many, by a heap of the lists' heads. What
     stands at fewer heads is passed over: t - 1 heads are popped together, and their lists go on by binary search at
     the head that is left, which is the least that can still be in t lists."""
@@ -211,7 +213,7 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, top: int, of: int) ->
     terms = terms.ravel()
     n = len(sets)
     # The inverted lists one after the other, each in order of the sets.
-    postings = (np.sort(terms * n + owner) % n).tolist()
+    postings = array("q", (np.sort(terms * n + owner) % n).tobytes())
     begin, ends = np.cumsum(count) - count, np.cumsum(sizes)
     up, out = _Forest(n), []
     for q in range(1, n):
@@ -255,6 +257,9 @@ def _searcher(k: int, top: int, of: int):
         sets = [shingles(unzip.decompress(z).decode(), k) for z in part["z"]]
         ids = part["sid"].to_numpy()
         links = divide_skip(sets, part["side"].to_numpy(), top, of)
+        if len(sets) > 1_000:
+            sets.clear()
+            give_back()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"])
 
     return search

@@ -106,6 +106,8 @@ def train(docs: DataFrame) -> Model:
                     tables[lang][0] += np.bincount(bucket, n[word], BUCKETS).astype(np.int64)
                     tables[lang][1] += np.bincount(scripts(list(c)), n, len(_NAMES)).astype(np.int64)
         if tables:
+            words = c = n = bucket = word = None
+            give_back()
             yield columns({"lang": list(tables), "counts": [t[0].tobytes() for t in tables.values()], "scripts": [t[1].tobytes() for t in tables.values()]}, kinds)
 
     def add(part: pd.DataFrame) -> pd.DataFrame:

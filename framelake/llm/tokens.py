@@ -242,7 +242,7 @@ class Encoder(Chunked):
 
 def encoder(path: str) -> Encoder:
     """One for each worker."""
-    return held(f"encoder {path}", lambda: Encoder(path))
+    return held(f"encoder {path}", lambda: Encoder(path), on=True)
 
 
 def binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
