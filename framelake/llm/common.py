@@ -18,6 +18,8 @@ from ..storage import saved, workspace  # noqa: F401 (the operators take them fr
 
 #: Most rows of ids or hashes (8 to 24 bytes each) that a join may broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Most bytes of a batch that a session sends to a worker, unless the session sets another bound.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 _held: dict[str, Any] = {}
 
 
@@ -104,6 +106,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 1 <
 
 
 def spark_to_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    """The schema that a function on batches returns. The session sends it batches of bounded size from here on."""
+    name, size = BATCH_BYTES
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
