@@ -272,7 +272,8 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     scan = saved(_scan(docs, k, bits), f"{path}/scan")
     table = scan.where("block is null").select("doc_id", "key", "n", "sid")
     sketch = spark.sparkContext.broadcast(_sketch(scan, bits))  # 2^bits bytes
-    clumps = saved(components(_stars(docs, k, top, of, bits, sketch), f"{path}/clumps"), f"{path}/clump-of")
+    stars = saved(_stars(docs, k, top, of, bits, sketch), f"{path}/stars")  # its own stage: one worker for each task
+    clumps = saved(components(stars, f"{path}/clumps"), f"{path}/clump-of")
     clumps = saved(clumps.select(F.col("node").alias("sid"), F.col("component").alias("clump")).unionByName(clumps.select(F.col("component").alias("sid"), F.col("component").alias("clump")).distinct()), f"{path}/members")
     n_members = clumps.count()
     # One document for each set of a clump; its text travels to the search and becomes a set there.
