@@ -6,7 +6,8 @@ hot source or a large group of copies spreads over all buckets. A bucket that ho
 repeated rows can't split and may exceed the limit.
 
 Sizes are summed per prefix of a few more bits than an even split needs, and the levels above are summed from
-that table. The documents are shuffled once, to write the shards.
+that table. The documents are shuffled once, to write the shards; if the directory is too large to broadcast, their
+hashes alone look it up by shuffles, and the documents are joined to them first.
 
 Null text has no bytes, null doc_ids hash like any other value, an empty table has no shard.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved, small, workspace
+from .common import BROADCAST_ROWS, documents, saved, small, workspace
 
 #: Bytes of text in a shard.
 LIMIT = 32 << 20
@@ -70,9 +71,13 @@ def shard(docs: DataFrame, out: str, limit: int = LIMIT) -> DataFrame:
     depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # 63 at most
     # A document's bucket is the one of its prefixes that is in the directory.
     own = F.explode(F.array(*(_prefix(d) for d in sorted(depths)))) if depths else F.lit(0).cast("long")
-    names = small(buckets.select(F.col("bucket").alias("shard_id")), buckets.count())
-    placed = rows.drop("bytes").withColumn("shard_id", own).join(names, "shard_id").drop("h")
-    placed.repartition("shard_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{out}/shards")
+    names = buckets.select(F.col("bucket").alias("shard_id"))
+    if buckets.count() <= BROADCAST_ROWS:
+        placed = rows.drop("bytes").withColumn("shard_id", own).join(F.broadcast(names), "shard_id")
+    else:  # a row for each prefix: of hashes, not of texts
+        found = saved(keys.select("h").distinct().withColumn("shard_id", own).join(names, "shard_id"), f"{out}/found")
+        placed = rows.drop("bytes").join(found, "h")
+    placed.drop("h").repartition("shard_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{out}/shards")
     return buckets
 
 
