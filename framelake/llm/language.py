@@ -35,10 +35,6 @@ BUCKETS, GRAMS = 1 << 15, (2, 3, 4)
 SWITCH, FOREIGN = 12.0, 60.0
 #: A script counts as a language's own from this share of its words.
 OWN = 0.01
-#: Log odds for each n-gram, against chance, below which a text is in none of the languages: its n-grams are seven times rarer
-#: than if all buckets were alike. Random letters come to about -3, plain sentences to 0 and more; a language that was learned
-#: from fewer than 100,000 n-grams rejects nothing.
-LEAST = -2.0
 #: Words whose scores a worker remembers.
 KEEP = 200_000
 #: First code points of ranges of letters by script (fixed values); each range goes on to the next.
@@ -83,17 +79,15 @@ class Model:
     weights: np.ndarray  # log probability by bucket and language
     own: np.ndarray  # whether a language uses a script
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words x languages, the best being 0; how much likelier than by chance (each bucket alike) a word's n-grams are in
-        its best language, as log odds; the number of its n-grams."""
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Words x languages; the best is 0."""
         bucket, word = grams(words)
         order = np.argsort(word, kind="stable")
         begin = np.searchsorted(word[order], np.arange(len(words)))
         out = np.add.reduceat(self.weights[bucket[order]], begin, axis=0)
         own = self.own[:, scripts(words)].T
         out -= FOREIGN * (~own & own.any(axis=1)[:, None])
-        top, n = out.max(axis=1), np.bincount(word, minlength=len(words))
-        return out - top[:, None], top + n * np.log(BUCKETS), n
+        return out - out.max(axis=1, keepdims=True)
 
 
 def train(docs: DataFrame) -> Model:
@@ -162,43 +156,36 @@ def viterbi(numbers: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
 
 
 def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and evidence (the log odds by which the labelled words' n-grams are likelier than by chance,
-    for each n-gram; null without letters, 0 where nothing was learned), and spans (language and number of words of each) if
-    asked for. Columns of docs with such names are a clash; ``packed`` keeps them apart."""
+    """docs with lang_pred and score, and spans (language and number of words of each) if asked for. Columns of docs with
+    such names are a clash; ``packed`` keeps them apart."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    more = "lang_pred string, score double, evidence double" + ", spans array<struct<lang:string,words:int>>" * spans
+    more = "lang_pred string, score double" + ", spans array<struct<lang:string,words:int>>" * spans
     schema, names = with_columns(docs, docs.columns, more), docs.columns
     kinds = spark_to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number: dict[str, int] = {}
-        table, gain = np.empty((0, len(m.langs)), np.float32), np.empty((0, 2))
+        table = np.empty((0, len(m.langs)), np.float32)
         for b in slices(batches, 3_000, 4 << 20):
-            words = [letters(t.lower()) if t else [] for t in b.column("text").to_pylist()]
-            if not m.langs:
-                yield columns({c: b.column(c) for c in names} | {"lang_pred": ["und"] * len(words), "score": [0.0] * len(words), "evidence": [0.0 if w else None for w in words], "spans": [[]] * len(words)}, kinds)
-                continue
+            words = [letters(t.lower()) if t and m.langs else [] for t in b.column("text").to_pylist()]
             if len(number) > KEEP:
-                number, table, gain = {}, table[:0], gain[:0]
+                number, table = {}, table[:0]
             if new := [w for w in set().union(*words) if w not in number]:
                 number.update(zip(new, range(len(number), len(number) + len(new))))
-                best, *more = m.scores(new)
-                table, gain = np.concatenate([table, best.astype(np.float32)]), np.concatenate([gain, np.stack(more, 1)])
-            numbers = [np.array(list(map(number.__getitem__, w)), np.int64) for w in words]
-            langs, scores, evidence, runs = [], [], [], []
-            for w, i, x in zip(words, numbers, viterbi(numbers, table)):
+                table = np.concatenate([table, m.scores(new).astype(np.float32)])
+            labels = viterbi([np.array(list(map(number.__getitem__, w)), np.int64) for w in words], table) if m.langs else [[]] * len(words)
+            langs, scores, runs = [], [], []
+            for w, x in zip(words, labels):
                 share = np.bincount(x, [len(y) for y in w], len(m.langs)) if w else np.zeros(1)
                 langs.append(m.langs[int(share.argmax())] if w else "und")
                 scores.append(float(share.max() / share.sum()) if w else 0.0)
-                odds, n = gain[i].sum(axis=0)
-                evidence.append(float((odds + table[i, x].sum()) / n) if w else None)
                 if spans:
                     cuts = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if w else []
                     runs.append([{"lang": m.langs[x[a]], "words": int(z - a)} for a, z in zip(cuts[:-1], cuts[1:])])
-            yield columns({c: b.column(c) for c in names} | {"lang_pred": langs, "score": scores, "evidence": evidence, "spans": runs}, kinds)
+            yield columns({c: b.column(c) for c in names} | {"lang_pred": langs, "score": scores, "spans": runs}, kinds)
         number.clear()
-        table = gain = words = numbers = None
+        table = words = labels = None
         give_back()
 
     return docs.mapInArrow(run, schema)
@@ -208,13 +195,16 @@ def fitted(docs: DataFrame) -> Model:
     return train(docs.where(~held_out()))
 
 
-def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents whose words, labelled span by span, have at least the given evidence of being language. Texts of several
-    languages stay, whatever their shares; those without letters go. Where nothing was learned, all with letters stay."""
-    return label(packed(docs, "text"), fitted(docs)).where(F.col("evidence") >= least).select("row.*")
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents that get a language, mixed ones too, whatever its share; those without letters go. A label is relative to
+    the others, so texts in a language that wasn't learned stay. Where nothing was learned, all texts with letters stay."""
+    model, rows = fitted(docs), packed(docs, "text")
+    if not model.langs:
+        return rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select("row.*")  # what ``letters`` takes
+    return label(rows, model).where("lang_pred <> 'und'").select("row.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fitted(docs)
-    return label(docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model).drop("text", "evidence")
+    return label(docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model).drop("text")
