@@ -14,8 +14,8 @@ from framelake.llm.tokens import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents that aren't held out; texts without letters and those whose words are far rarer than
-    chance in every language go, texts of several languages stay."""
+    """Learns from the labelled documents that aren't held out; texts without letters go, those of several languages
+    stay."""
     return language.identified(docs)
 
 
