@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ["trace_id", "frame_type"]
+#: Frames of a slice of time in which frames are looked up together.
+SLICE = 1_000
 
 
 def pair_frames(events: DataFrame) -> DataFrame:
@@ -29,12 +31,39 @@ def frame_bars(frames: DataFrame) -> DataFrame:
     return frames.withColumn("duration_us", duration())
 
 
-def frame_at(probes: DataFrame, frames: DataFrame, keys: list[str], time: str, index: str, name: str = "frame_index") -> DataFrame:
+def sliced(frames: DataFrame, keys: list[str], index: str, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """Cuts the time of each key into slices, one for each so many frames. Returns the spans (keys, _lo, _hi, _k slices), and
+    the starts to look up in each slice: keys, _slice, _at, _f (the index). A slice after the first also has the last frame
+    that starts in those before it, so that a slice is looked up alone, however many probes a key has."""
+    span = frames.groupBy(*keys).agg(F.min("start_us").alias("_lo"), F.max("start_us").alias("_hi"), F.ceil(F.count("*") / size).cast("long").alias("_k"))
+    starts = frames.join(span, keys).select(*keys, _slice("start_us").alias("_slice"), F.col("start_us").alias("_at"), F.col(index).alias("_f"))
+    last = starts.groupBy(*keys, "_slice").agg(F.max(F.struct("_at", "_f")).alias("_last"))
+    each = span.where("_k > 1").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_slice"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.join(last, [*keys, "_slice"], "left").withColumn("_last", F.max("_last").over(before)).where("_last is not null")
+    return span, starts.unionByName(carried.select(*keys, "_slice", "_last.*"))
+
+
+def _slice(time: str) -> Column:
+    """The slice of a time, from the span beside it; earlier and later times belong to the first and last."""
+    at = F.floor((F.col(time) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_k")).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("_k") - 1, at))
+
+
+def looked_up(probes: DataFrame, starts: DataFrame, keys: list[str], time: str, name: str) -> DataFrame:
+    """probes (with their span) and the index of the last start strictly before their time, or null. One sorted pass over
+    probes and starts together: a probe sorts before a start of its time."""
+    rows = probes.withColumns({"_slice": _slice(time), "_f": F.lit(None).cast("long")})
+    rows = rows.unionByName(starts.withColumnRenamed("_at", time), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy(time, F.col("_f").isNotNull(), "_f").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last("_f", ignorenulls=True).over(w)).where("_f is null").drop("_f", "_slice")
+
+
+def frame_at(probes: DataFrame, frames: DataFrame, keys: list[str], time: str, index: str, name: str = "frame_index", size: int = SLICE) -> DataFrame:
     """probes with the index of the last frame that starts strictly before their time, or null; frames' ends don't
-    matter. One sorted pass over probes and frames together: a probe sorts before a frame of its time."""
-    rows = probes.withColumn("_f", F.lit(None).cast("long")).unionByName(frames.select(*keys, F.col("start_us").alias(time), F.col(index).alias("_f")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time, F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last("_f", ignorenulls=True).over(w)).where("_f is null").drop("_f")
+    matter."""
+    span, starts = sliced(frames, keys, index, size)
+    return looked_up(probes.join(span, keys, "left"), starts, keys, time, name).drop("_lo", "_hi", "_k")
 
 
 def intersecting(frames: DataFrame, ranges: DataFrame) -> DataFrame:

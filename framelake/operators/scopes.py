@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved, workspace
-from .frames import completed, frame_at
+from .frames import SLICE, completed, looked_up, sliced
 
 THREAD = ["trace_id", "thread_id"]
 
@@ -73,14 +73,17 @@ def with_paths(scopes: DataFrame, by: str = "name") -> DataFrame:
     return out.select(*scopes.columns, "path_hash", "parent_path_hash", "path")
 
 
-def in_frames(scopes: DataFrame, frames: DataFrame) -> DataFrame:
+def in_frames(scopes: DataFrame, frames: DataFrame, size: int = SLICE) -> DataFrame:
     """A row for each completed frame that a scope is visible in: the scope clipped to it. A scope that is still open (no end)
     lasts to the end of the last frame."""
-    done = completed(frames).where("frame_type = 'Game'").select("trace_id", "frame_index", "pos", "start_us", "end_us")
-    last = done.groupBy("trace_id").agg(F.max("end_us").alias("_last"))
-    s = scopes.join(last, "trace_id").withColumn("end_us", F.coalesce("end_us", F.greatest("_last", "start_us") + 1)).drop("_last").withColumn("_t", F.col("start_us"))
-    s = frame_at(s, done, ["trace_id"], "_t", "pos", "_i0").withColumn("_t", F.col("end_us"))
-    s = frame_at(s, done, ["trace_id"], "_t", "pos", "_i1").drop("_t")
+    path = workspace(scopes.sparkSession)
+    done = saved(completed(frames.where("frame_type = 'Game'")).select("trace_id", "frame_index", "pos", "start_us", "end_us"), f"{path}/frames")
+    span, starts = sliced(done, ["trace_id"], "pos", size)
+    starts = saved(starts, f"{path}/starts")
+    span = span.join(done.groupBy("trace_id").agg(F.max("end_us").alias("_last")), "trace_id")
+    s = scopes.join(span, "trace_id").withColumn("end_us", F.coalesce("end_us", F.greatest("_last", "start_us") + 1)).withColumn("_t", F.col("start_us"))
+    s = looked_up(s, starts, ["trace_id"], "_t", "_i0").withColumn("_t", F.col("end_us"))
+    s = looked_up(s, starts, ["trace_id"], "_t", "_i1").drop("_t", "_lo", "_hi", "_k", "_last")
     each = s.withColumn("pos", F.explode(F.sequence(F.coalesce("_i0", F.lit(0)), F.coalesce("_i1", F.lit(0))))).drop("_i0", "_i1")
     f = done.select("trace_id", "pos", "frame_index", F.col("start_us").alias("_fs"), F.col("end_us").alias("_fe"))
     v = each.join(f, ["trace_id", "pos"])

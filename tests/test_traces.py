@@ -22,6 +22,25 @@ def test_frame_lookup_is_strict(spark):
     assert got == {10: None, 11: 0, 16: 0, 20: 1}
 
 
+def test_lookup_by_slices(spark):
+    """However finely time is cut, with gaps, equal starts and probes outside, the same frame is found."""
+    rng, rows, probes = random.Random(9), [], []
+    for trace in (1, 2):
+        at = sorted(rng.choice([rng.randint(0, 50), rng.randint(900, 1000)]) for _ in range(40))
+        rows += [(trace, "Game", i, a, a + 3) for i, a in enumerate(at)]
+        probes += [(trace, t) for t in range(-3, 1010, 7)] + [(trace, t) for t in at[::3]]
+    f = spark.createDataFrame([*rows, (4, "Game", 0, 5, 8)], "trace_id long, frame_type string, frame_index long, start_us long, end_us long")
+    probes += [(1, None), (3, 5), (4, 5), (4, 6)]
+    want = sorted((k, t, max((i for trace, _, i, a, _ in [*rows, (4, "", 0, 5, 8)] if trace == k and t is not None and a < t), default=None)) for k, t in probes if t is not None)
+    p = spark.createDataFrame(probes, "trace_id long, t long")
+    for size in (1, 7, 1000):
+        got = [tuple(r) for r in frames.frame_at(p, f, ["trace_id"], "t", "frame_index", size=size).select("trace_id", "t", "frame_index").collect()]
+        assert sorted(r for r in got if r[1] is not None) == want and (1, None, None) in got
+    s = spark.createDataFrame([(k, 1, i, 1, "s", a, a + rng.randint(0, 400), None) for i, (k, a) in enumerate((k, rng.randint(-5, 1000)) for k in (1, 2, 3) for _ in range(60))], "trace_id long, thread_id long, scope_id long, depth long, name string, start_us long, end_us long, parent_scope_id long")
+    one, fine = (sorted(map(str, scopes.in_frames(s, f, size).collect())) for size in (1000, 3))
+    assert one == fine and len(one) > 60
+
+
 def test_intersecting_takes_the_frame_before(spark):
     f = frame_rows(spark, (100, 200), (200, 300))
     r = spark.createDataFrame([(1, 195, 250)], "trace_id long, lo_us long, hi_us long")
