@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import bpe, exact, fingerprints, jaccard, language, orc_tokens, packing, phrases, quotes, sharding
+from . import bpe, decontamination, divergence, exact, fingerprints, jaccard, language, orc_tokens, packing, periodic, phrases, quotes, sharding
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
-SQL = {"op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op10_exact_dedup": exact.OP10_SQL, "op12_divergence": divergence.OP12_SQL, "op13_decontamination": decontamination.OP13_SQL}
