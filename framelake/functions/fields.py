@@ -77,3 +77,16 @@ def milliseconds(us: str) -> Column:
 
 def seconds(us: str) -> Column:
     return F.format_string("%d.%06d", F.floor(F.col(us) / 1_000_000).cast("long"), F.pmod(F.col(us), F.lit(1_000_000)).cast("long"))
+
+
+def truth(flag: str) -> Column:
+    return F.when(F.col(flag), "true").otherwise("false")
+
+
+def guide_label(us: Column) -> Column:
+    """A duration as text in ms with two digits."""
+    return F.concat(F.call_function("format_number", us / 1000, F.lit("0.00")), F.lit(" ms"))
+
+
+def frame_tooltip(index: str = "frame_index", us: str = "duration_us") -> Column:
+    return F.concat(F.lit("Frame "), F.col(index).cast("string"), F.lit(": "), milliseconds(us))

@@ -22,7 +22,7 @@ from ..functions.fields import bytes_field, long_field
 #: Seconds that a record may lie behind its batch's time; the batch ends there.
 LEAD = 3600.0
 TIMER, METADATA, LOGGED = 0, 1, 2
-RECORDS = "trace_id string, thread_id long, seq long, event_seq long, kind string, t_us long, is_begin boolean, ref_kind int, ref_id long"
+RECORDS = "trace_id string, thread_id long, seq long, event_seq long, kind string, t_us long, is_begin boolean, ref_kind int, ref_id long, instance long"
 
 
 def numbers(data: bytes) -> list[int]:
@@ -39,35 +39,40 @@ def numbers(data: bytes) -> list[int]:
 
 
 class _Thread:
-    """State of a thread between its events; out collects (kind, t_us, is_begin, ref_kind, ref_id)."""
+    """State of a thread between its events; out collects (kind, t_us, is_begin, ref_kind, ref_id, instance)."""
 
     def __init__(self):
         self.last, self.ended, self.late, self.latest = 0, False, False, float("-inf")
         self.waiting: list[tuple] = []
         self.out: list[tuple] = []
 
-    def logged(self, cycle, seconds, begin, type_id) -> None:
+    def logged(self, cycle, seconds, begin, type_id, seq) -> None:
         """A logged scope waits for the batches; one that goes back in time makes the thread do without them."""
         if self.late or cycle is None or (not cycle and not seconds):
             return
         if seconds < self.latest:
-            self.late = True
-            self.waiting.clear()
+            self.give_up()
             return
         self.latest = seconds
-        self.waiting.append((cycle, seconds, begin, 4294967295 - (type_id or 0)))
+        self.waiting.append((cycle, seconds, begin, 4294967295 - (type_id or 0), seq))
+
+    def give_up(self) -> None:
+        """What waits is left out from here on, but its times have counted: the latest one tells."""
+        self.late = True
+        self.out.append(("time", round(self.latest * 1e6), False, None, None, None))
+        self.waiting.clear()
 
     def release(self, until: float, begin: bool) -> None:
         """What waits from before a record; at its cycle too if the record begins a scope."""
         n = 0
-        for cycle, seconds, is_begin, spec in self.waiting:
+        for cycle, seconds, is_begin, spec, seq in self.waiting:
             if cycle > until or (cycle == until and not begin):
                 break
             if cycle < self.last:
-                self.late, n = True, len(self.waiting)
-                break
+                self.give_up()
+                return
             self.last = cycle
-            self.out.append(("scope", round(seconds * 1e6), is_begin, LOGGED if is_begin else None, spec if is_begin else None))
+            self.out.append(("scope", round(seconds * 1e6), is_begin, *((LOGGED, spec, seq) if is_begin else (None,) * 3)))
             n += 1
         del self.waiting[:n]
 
@@ -95,7 +100,7 @@ class _Thread:
                 if (i := next(values, None)) is None:
                     return
                 ref = (i & 1, i >> 1) if version == 3 else (TIMER, i)
-            self.out.append((kind, round(seconds * 1e6), begin and kind == "scope", *ref))
+            self.out.append((kind, round(seconds * 1e6), begin and kind == "scope", *ref, None))
             self.last = cycle
 
     def end(self, cycle, rate) -> None:
@@ -103,13 +108,13 @@ class _Thread:
             return
         t = round((self.last if cycle is None else cycle) * rate * 1e6)
         self.release(float("inf"), True)
-        self.out.append(("end", t, False, None, None))
+        self.out.append(("end", t, False, None, None, None))
         self.ended, self.waiting = True, []
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["trace_id", "thread_id", "seq", "event_seq", "kind", "t_us", "is_begin", "ref_kind", "ref_id"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
+    names = ["trace_id", "thread_id", "seq", "event_seq", "kind", "t_us", "is_begin", "ref_kind", "ref_id", "instance"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
     at, n, state = None, 0, None
 
     def flush(event_seq):
@@ -131,7 +136,7 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if what == "end":
                 state.end(cycle, rate or 0.0)
             elif what in ("enter", "leave"):
-                state.logged(cycle, seconds or 0.0, what == "enter", type_id)
+                state.logged(cycle, seconds or 0.0, what == "enter", type_id, seq)
             elif data:
                 state.batch(int(what), data, cycle or 0, rate or 0.0, seconds or 0.0)
             out += flush(seq)
@@ -148,7 +153,8 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def records(events: DataFrame) -> DataFrame:
     """RECORDS of an event log: kind scope (a begin or an end), time (only its time counts) or end (of the thread). seq
-    orders a thread's rows; event_seq is that of the event they come from; ref tells a begin's timer or metadata.
+    orders a thread's rows; event_seq is that of the event they come from; ref tells a begin's timer or metadata, and
+    instance a logged begin's own event.
 
     Events without a cycle or a rate count as cycle 0, empty batches as none; a batch cut in a record stops there."""
     version = F.when(F.col("event_name") == "EventBatch", "1").when(F.col("event_name") == "EventBatchV2", "2").when(F.col("event_name") == "EventBatchV3", "3").when(F.col("event_name") == "EndThread", "end")

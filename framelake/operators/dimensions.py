@@ -25,10 +25,11 @@ def fold_threads(updates: DataFrame) -> DataFrame:
 
 
 def group_rank(group: str = "group_name") -> Column:
-    """Known groups first, then others by name, then none."""
-    known = F.create_map(*(x for i, g in enumerate(GROUPS) for x in (F.lit(g), F.lit(i))))
-    other = F.dense_rank().over(Window.partitionBy("trace_id").orderBy(F.when(~F.coalesce(F.col(group), F.lit("")).isin(*GROUPS), F.lower(group)).asc_nulls_first()))
-    return F.when(F.col(group).isNull(), F.lit(NO_GROUP)).otherwise(F.coalesce(known[F.col(group)].cast("long"), (len(GROUPS) - 1 + other).cast("long")))
+    """Known groups first, then the others of a trace by name, from 10 on, then none."""
+    known = F.create_map(*(x for i, g in enumerate(GROUPS) for x in (F.lit(g), F.lit(i))))[F.col(group)].cast("long")
+    unknown = F.col(group).isNotNull() & known.isNull()
+    other = F.dense_rank().over(Window.partitionBy("trace_id", unknown).orderBy(F.lower(group)))
+    return F.when(F.col(group).isNull(), F.lit(NO_GROUP)).when(unknown, (len(GROUPS) + other).cast("long")).otherwise(known)
 
 
 def ordered_threads(threads: DataFrame) -> DataFrame:
@@ -92,6 +93,24 @@ def metadata_specs(rows: DataFrame) -> DataFrame:
     return first.withColumn("id", F.row_number().over(order).cast("long") - 1)
 
 
+def with_formats(timers: DataFrame, rows: DataFrame) -> DataFrame:
+    """timers (trace_id, spec_id, timer_id, and others) with metadata_spec_id, format and field_names of the metadata spec
+    that defined any of a timer's specs last; null where none did. rows as for metadata_specs, with the spec_id."""
+    used = rows.join(timers.select("trace_id", "spec_id", "timer_id"), ["trace_id", "spec_id"])
+    last = used.groupBy("trace_id", "timer_id").agg(F.max_by(F.struct("format", "field_names"), "seq").alias("f"))
+    ids = metadata_specs(rows).select(F.col("trace_id").alias("_trace"), F.col("id").alias("metadata_spec_id"), F.struct("format", "field_names").alias("_f"))
+    last = last.join(ids, (F.col("trace_id") == F.col("_trace")) & F.col("f").eqNullSafe(F.col("_f")))
+    return timers.join(last.select("trace_id", "timer_id", "metadata_spec_id", "f.*"), ["trace_id", "timer_id"], "left")
+
+
+def registry(timers: DataFrame, traces: DataFrame) -> DataFrame:
+    """A row for each timer of timers, with its specs in order, and the timer 0 that each of the traces has without any."""
+    rest = [c for c in timers.columns if c not in ("trace_id", "timer_id", "spec_id")]
+    own = timers.groupBy("trace_id", "timer_id").agg(F.sort_array(F.collect_list("spec_id")).alias("spec_ids"), *(F.first(c).alias(c) for c in rest))
+    default = traces.select("trace_id").distinct().select("trace_id", F.lit(0).cast("long").alias("timer_id"), F.array().cast("array<long>").alias("spec_ids"), F.lit("<default>").alias("name"), F.lit(0).cast("long").alias("source_line"))
+    return own.unionByName(default, allowMissingColumns=True)
+
+
 def resolved(refs: DataFrame, timers: DataFrame, instances: DataFrame) -> DataFrame:
     """refs (trace_id, ref_kind, ref_id) with the name of their timer: of the spec itself, or of the metadata instance's
     (ref_kind 1) at the end of the log; <unknown> where there is none. timers: trace_id, spec_id, name; instances:

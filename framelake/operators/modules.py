@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as f
+from ..storage import saved, workspace
 from . import batches, dimensions, frames, scopes
 
 Tables = dict[str, DataFrame]
@@ -103,16 +104,23 @@ def spec_log(events: DataFrame, records: DataFrame) -> DataFrame:
     return merged.unionByName(unique).unionByName(logged).unionByName(used)
 
 
-def metadata_log(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Metadata instances (trace_id, id, seq, payload, spec_id; an instance that is used but never defined has no spec and
-    an empty payload) and metadata specs."""
+def metadata_rows(events: DataFrame) -> DataFrame:
+    """Metadata specs of the log, for metadata_specs and with_formats."""
+    names = F.element_at("field_arrays", "FieldNames") if "field_arrays" in events.columns else F.lit(None).cast("array<string>")
+    e = events.where(f.of_cpu()).where("event_name = 'MetadataSpec'")
+    return e.select("trace_id", "seq", f.long_field("Id", 0).alias("spec_id"), f.text_field("NameFormat").alias("format"), F.coalesce(names, F.array().cast("array<string>")).alias("field_names"))
+
+
+def metadata_log(events: DataFrame, records: DataFrame) -> DataFrame:
+    """Metadata instances: trace_id, id, seq, payload, spec_id. An instance that is used but never defined has no spec and
+    an empty payload; each logged scope that begins is an instance without an id, told by its event (seq)."""
     e = events.where(f.of_cpu())
     rows = e.where("event_name = 'Metadata'").select("trace_id", f.long_field("Id", 0).alias("id"), "seq", f.bytes_field("Metadata").alias("payload"), f.long_field("SpecId", 0).alias("spec_id"))
     uses = records.where(f"ref_kind = {batches.METADATA}").groupBy("trace_id", F.col("ref_id").alias("id")).agg(F.min("event_seq").alias("seq"))
     uses = uses.join(rows.select("trace_id", "id").distinct(), ["trace_id", "id"], "left_anti").select("*", F.lit(b"").alias("payload"), F.lit(None).cast("long").alias("spec_id"))
-    names = F.element_at("field_arrays", "FieldNames") if "field_arrays" in events.columns else F.lit(None).cast("array<string>")
-    specs = e.where("event_name = 'MetadataSpec'").select("trace_id", "seq", f.text_field("NameFormat").alias("format"), F.coalesce(names, F.array().cast("array<string>")).alias("field_names"))
-    return dimensions.fold_metadata(rows).unionByName(uses), dimensions.metadata_specs(specs)
+    begun = records.where(f"ref_kind = {batches.LOGGED}").select("trace_id", F.col("instance").alias("seq"), F.col("ref_id").alias("spec_id"))
+    logged = e.where("logger = 'Cpu'").select("trace_id", "seq", F.coalesce(f.bytes_field("Payload"), F.lit(b"")).alias("payload")).join(begun, ["trace_id", "seq"])
+    return dimensions.fold_metadata(rows).unionByName(uses).unionByName(logged.withColumn("id", F.lit(None).cast("long")))
 
 
 def _frames(events: DataFrame) -> Tables:
@@ -125,9 +133,12 @@ def _threads(events: DataFrame) -> Tables:
 
 
 def _cpu(events: DataFrame) -> Tables:
-    records = batches.records(events)
-    instances, specs = metadata_log(events, records)
-    return {"records": records, "timers": dimensions.replay_timers(spec_log(events, records)), "metadata_instances": instances, "metadata_specs": specs}
+    """Records are decoded once and saved: all other tables read them from there."""
+    path = workspace(events.sparkSession)
+    records = saved(batches.records(events), f"{path}/records")
+    rows = metadata_rows(events)
+    timers = saved(dimensions.with_formats(dimensions.replay_timers(spec_log(events, records)), rows), f"{path}/timers")
+    return {"records": records, "timers": timers, "timer_definitions": dimensions.registry(timers, events), "metadata_instances": metadata_log(events, records), "metadata_specs": dimensions.metadata_specs(rows)}
 
 
 MODULES = (Module("frames", f.of_frames, _frames), Module("threads", f.of_threads, _threads), Module("cpu", f.of_cpu, _cpu))
@@ -135,7 +146,8 @@ MODULES = (Module("frames", f.of_frames, _frames), Module("threads", f.of_thread
 
 def analyze(events: DataFrame, modules: tuple[Module, ...] = MODULES) -> Tables:
     """The tables of all modules, and those that need several: threads, scopes (closed, with names) and durations. events
-    are read once for each module: hand over a saved table."""
+    are read once for each module: hand over a saved table. A scope's ref_kind, ref_id and instance tell what it is merged by
+    (scopes.with_paths)."""
     out: Tables = {}
     for m in modules:
         out |= m.tables(events.where(m.handles()))
@@ -146,9 +158,9 @@ def analyze(events: DataFrame, modules: tuple[Module, ...] = MODULES) -> Tables:
         out["threads"] = inferred_game_thread(dimensions.fold_threads(out["thread_updates"].unionByName(seen)))
         out["durations"] = scopes.durations(r, out["frame_events"])
         timers = out["timers"].select("trace_id", "spec_id", "name")
-        pairs = scopes.pair_scopes(r.where("kind = 'scope'").withColumn("spec_id", F.struct("ref_kind", "ref_id")))
+        pairs = scopes.pair_scopes(r.where("kind = 'scope'").withColumn("spec_id", F.struct("ref_kind", "ref_id", "instance")))
         ends = r.where("kind = 'end'").groupBy("trace_id", "thread_id").agg(F.min("t_us").alias("thread_end_us"))
-        closed = scopes.close_open(pairs, out["durations"], ends).select("*", "spec_id.ref_kind", "spec_id.ref_id").drop("spec_id")
+        closed = scopes.close_open(pairs, out["durations"], ends).select("*", "spec_id.*").drop("spec_id")
         out["scopes"] = dimensions.resolved(closed, timers, out["metadata_instances"])
         out["summary"] = summary(events, out)
     return out

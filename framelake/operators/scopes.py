@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved, workspace
-from .frames import SLICE, completed, looked_up, sliced
+from .chunks import CHUNK, PART, carried, chunked, earlier, running
+from .frames import SLICE, completed, count_to, looked_up, slice_of, sliced
 
 THREAD = ["trace_id", "thread_id"]
-
-
-def leveled(events: DataFrame) -> DataFrame:
-    """Events with their stack level, without ends on an empty stack; times never go back."""
-    w = Window.partitionBy(*THREAD).orderBy("seq")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_s", F.sum(F.when(F.col("is_begin"), 1).otherwise(-1)).over(run))
-    e = e.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(run)))
-    e = e.withColumn("_before", F.lag("_depth", 1, 0).over(w))
-    e = e.where("is_begin or _before > 0").withColumn("depth", F.when(F.col("is_begin"), F.col("_depth")).otherwise(F.col("_before")).cast("long"))
-    return e.withColumn("t_us", F.max("t_us").over(run)).drop("_s", "_depth", "_before")
-
-
-def pair_scopes(events: DataFrame) -> DataFrame:
-    """trace_id, thread_id, scope_id, depth, spec_id, start_us, end_us (null while open), parent_scope_id."""
-    e = leveled(events)
-    ended = e.withColumn("end_us", F.lead("t_us").over(Window.partitionBy(*THREAD, "depth").orderBy("seq"))).where("is_begin")
-    scopes = ended.select(*THREAD, F.col("seq").alias("scope_id"), "depth", "spec_id", F.col("t_us").alias("start_us"), "end_us")
+TREE = ["trace_id", "frame_index", "thread_id"]
+
+
+def leveled(events: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Events with their stack level, without ends on an empty stack; times never go back. A thread falls into chunks of seq:
+    each is reduced to its sum of begins and ends and the lowest level it comes to, and a scan over chunks gives the level
+    at which each begins."""
+    path = workspace(events.sparkSession)
+    step = F.when(F.col("is_begin"), 1).otherwise(-1).cast("long")
+    run = running(THREAD)
+    e = chunked(events, size).withColumn("_s", F.sum(step).over(run)).withColumn("_m", F.min("_s").over(run))
+    chunks = e.groupBy(*THREAD, PART).agg(F.sum(step).alias("_sum"), F.min("_m").alias("_low"))
+    before = earlier(THREAD)
+    chunks = chunks.withColumn("_p", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    chunks = chunks.withColumn("_q", F.least(F.lit(0), F.min(F.col("_p") + F.col("_low")).over(before)))  # least skips nulls
+    e = e.join(chunks.select(*THREAD, PART, "_p", "_q"), [*THREAD, PART])
+    e = e.withColumn("_depth", F.col("_p") + F.col("_s") - F.least("_q", F.col("_p") + F.col("_m")))
+    last = F.lag("_depth").over(Window.partitionBy(*THREAD, PART).orderBy("seq"))
+    e = e.withColumn("_before", F.coalesce(last, F.col("_p") - F.col("_q"))).where("is_begin or _before > 0")
+    e = e.withColumn("depth", F.when(F.col("is_begin"), F.col("_depth")).otherwise(F.col("_before")))
+    e = saved(e.drop("_s", "_m", "_p", "_q", "_depth", "_before"), f"{path}/levels")
+    e = carried(e.withColumn("_run", F.max("t_us").over(run)), THREAD, _latest=(F.max, "_run"))
+    return e.withColumn("t_us", F.greatest("_run", "_latest")).drop("_run", "_latest")
+
+
+def pair_scopes(events: DataFrame, size: int = CHUNK) -> DataFrame:
+    """trace_id, thread_id, scope_id, depth, spec_id, start_us, end_us and end_seq (null while open), parent_scope_id.
+
+    Chunks match inside. Of a level of a chunk only a begin without an end after it and an end without a begin before it are
+    left, and meet across chunks; a scope begun right under one that was open before its chunk asks for it there."""
+    e = leveled(events, size)
+    at = Window.partitionBy(*THREAD, PART, "depth").orderBy("seq")
+    e = e.withColumns({"end_us": F.lead("t_us").over(at), "end_seq": F.lead("seq").over(at), "_first": F.lag("seq").over(at).isNull()})
     # A scope's parent is the last one begun a level above: each scope stands at its level and asks one above.
-    rest = F.struct("depth", "spec_id", "start_us", "end_us")
-    level = scopes.select(*THREAD, "depth", F.col("scope_id").alias("at"), F.col("scope_id").alias("own"), F.when(F.lit(False), rest).alias("s"))
-    asks = scopes.select(*THREAD, (F.col("depth") - 1).alias("depth"), F.col("scope_id").alias("at"), F.lit(None).cast("long").alias("own"), rest.alias("s"))
-    last = F.last("own", ignorenulls=True).over(Window.partitionBy(*THREAD, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return level.unionByName(asks).withColumn("parent_scope_id", last).where("s is not null").select(*THREAD, F.col("at").alias("scope_id"), "s.*", "parent_scope_id")
+    begun = e.where("is_begin").select(*THREAD, PART, F.col("seq").alias("scope_id"), "depth", "spec_id", F.col("t_us").alias("start_us"), "end_us", "end_seq")
+    rest = F.struct("depth", "spec_id", "start_us", "end_us", "end_seq")
+    stands, asks = F.struct(F.col("depth").alias("level"), F.col("scope_id").alias("own"), F.when(F.lit(False), rest).alias("s")), F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("long").alias("own"), rest.alias("s"))
+    both = begun.select(*THREAD, PART, "scope_id", F.inline(F.array(stands, asks)))
+    above = F.last("own", ignorenulls=True).over(Window.partitionBy(*THREAD, PART, "level").orderBy("scope_id").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.withColumn("parent_scope_id", above).where("s is not null").select(*THREAD, PART, "scope_id", "s.*", "parent_scope_id")
+    own = saved(own, f"{workspace(events.sparkSession)}/chunks")
+    # Across chunks: by level, the scopes that chunks leave open, the ends that come without a begin, and the chunks that ask.
+    none = F.lit(None).cast("long")
+    opened = own.where("end_seq is null").select(*THREAD, "depth", F.col("scope_id").alias("seq"), F.col("scope_id").alias("own"), none.alias("t_us"))
+    ended = e.where("not is_begin and _first").select(*THREAD, "depth", "seq", none.alias("own"), "t_us")
+    level = Window.partitionBy(*THREAD, "depth").orderBy("seq")
+    ends = opened.unionByName(ended).withColumns({"_t": F.lead("t_us").over(level), "_e": F.lead("seq").over(level)})
+    ends = ends.where("own is not null and _t is not null").select(*THREAD, F.col("own").alias("scope_id"), "_t", "_e")
+    asked = own.where("parent_scope_id is null and depth > 1").groupBy(*THREAD, (F.col("depth") - 1).alias("depth"), PART).agg(F.min("scope_id").alias("seq"))
+    ups = opened.drop("t_us").withColumn(PART, none).unionByName(asked.withColumn("own", none))
+    ups = ups.withColumn("_up", F.last("own", ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("own").isNull())
+    out = own.join(ups.select(*THREAD, PART, (F.col("depth") + 1).alias("depth"), "_up"), [*THREAD, PART, "depth"], "left").join(ends, [*THREAD, "scope_id"], "left")
+    names = ("scope_id", "depth", "spec_id", "start_us")
+    return out.select(*THREAD, *names, F.coalesce("end_us", "_t").alias("end_us"), F.coalesce("end_seq", "_e").alias("end_seq"), F.coalesce("parent_scope_id", "_up").alias("parent_scope_id"))
 
 
 def durations(scope_events: DataFrame, frame_events: DataFrame) -> DataFrame:
@@ -54,37 +85,79 @@ def close_open(scopes: DataFrame, duration: DataFrame, ends: DataFrame | None =
     return s.withColumn("is_open", F.col("end_us").isNull()).withColumn("end_us", F.coalesce("end_us", "_close")).drop("_close", "duration_us", "thread_end_us")
 
 
-def with_paths(scopes: DataFrame, by: str = "name") -> DataFrame:
-    """scopes (with the column by, which scopes are merged by) and path_hash, parent_path_hash, path, by pointer doubling: each step puts the names known of the
-    scope above before the own ones. Rows meet by scope, so no thread is gathered, however long its stack is in use."""
-    path = workspace(scopes.sparkSession)
-    s = saved(scopes, f"{path}/scopes")
-    now, done, k = s.select(*THREAD, "scope_id", F.col("parent_scope_id").alias("up"), F.array(by).alias("names")), None, 0
-    while True:
-        ended, going = now.where("up is null"), now.where("up is not null")
-        done = done.unionByName(ended) if done else ended
-        if going.isEmpty():
-            break
-        above = done.unionByName(going).select(*THREAD, F.col("scope_id").alias("up"), F.col("up").alias("_up"), F.col("names").alias("_names"))
-        step = going.join(above, [*THREAD, "up"]).select(*THREAD, "scope_id", F.col("_up").alias("up"), F.concat("_names", "names").alias("names"))
-        now, k = saved(step, f"{path}/step-{k}"), k + 1
-    above = F.when(F.size("names") == 1, F.lit(0)).otherwise(F.xxhash64(F.slice("names", 1, F.greatest(F.size("names") - 1, F.lit(0)))))
-    out = s.join(done.drop("up"), [*THREAD, "scope_id"]).withColumns({"path_hash": F.xxhash64("names"), "parent_path_hash": above, "path": F.array_join("names", "/")})
-    return out.select(*scopes.columns, "path_hash", "parent_path_hash", "path")
-
-
-def in_frames(scopes: DataFrame, frames: DataFrame, size: int = SLICE) -> DataFrame:
+def merge_key(scopes: DataFrame, merge_by: str = "ref") -> Column:
+    """What makes sibling scopes one node, as text: name alone, or ref, the name and the timer (ref_kind 0) or metadata
+    instance. A logged scope is an instance of its own, so that it is merged with no other."""
+    if merge_by == "name" or "ref_kind" not in scopes.columns:
+        return F.col("name")
+    own = F.col("instance") if "instance" in scopes.columns else F.col("scope_id")
+    ref = F.when(F.col("ref_kind") == 1, F.concat(F.lit("m"), F.col("ref_id"))).when(F.col("ref_kind") == 2, F.concat(F.lit("i"), own)).otherwise(F.col("ref_id").cast("string"))
+    return F.concat_ws("#", "name", ref)
+
+
+def with_paths(scopes: DataFrame, merge_by: str = "ref", text: bool = True, size: int = CHUNK) -> DataFrame:
+    """Closed scopes (of pair_scopes, with name, and for ref with ref_kind and ref_id) and step (merge_key), path_hash and
+    parent_path_hash (0 above a root), and if asked for the path as text. A call tree needs no text of scopes.
+
+    A path is a set of pairs of a level and what is on it, so its hash is the exclusive or of theirs: a begin puts its own
+    on that of its thread, and its end takes it off again. One running value over the begins and ends of a thread, chunk by
+    chunk, gives the hash of every path, however deep it is."""
+    s = scopes.withColumn("step", merge_key(scopes, merge_by)).withColumn("_x", F.xxhash64("step", "depth"))
+    at = F.array(F.struct(F.col("scope_id").alias("_at"), F.lit(True).alias("_begin")), F.struct(F.col("end_seq").alias("_at"), F.lit(False).alias("_begin")))
+    rows = s.select(F.struct(*s.columns).alias("s"), *THREAD, F.col("_x").alias("x"), F.inline(at)).where("_at is not null")
+    rows = rows.withColumn("s", F.when(F.col("_begin"), F.col("s")))
+    rows = chunked(rows, size, "_at").withColumn("_h", F.bit_xor("x").over(running(THREAD, "_at")))
+    rows = carried(rows, THREAD, _before=(F.bit_xor, "x")).where("s is not null")
+    h = F.col("_h").bitwiseXOR(F.coalesce("_before", F.lit(0)))
+    out = rows.select("s.*", h.alias("path_hash"), h.bitwiseXOR(F.col("x")).alias("parent_path_hash")).drop("_x")
+    return with_text(out) if text else out
+
+
+def with_text(tree: DataFrame) -> DataFrame:
+    """Nodes of a tree, or scopes, with path: the steps of all above and their own, joined by /. Each path of a trace is built once, by pointer
+    doubling: every round puts what is known of the node above before it, so that a depth of 3,000 takes 12 rounds."""
+    path = workspace(tree.sparkSession)
+    t = saved(tree, f"{path}/tree")
+    nodes = t.groupBy("trace_id", "path_hash").agg(F.first("parent_path_hash").alias("up"), F.first(F.col("step").cast("string")).alias("text"), F.first("depth").alias("left"))
+    texts = jumped(nodes, ["trace_id"], "path_hash", F.concat_ws("/", "above.text", "own.text"), "text", path)
+    return t.join(texts.select("trace_id", "path_hash", F.col("text").alias("path")), ["trace_id", "path_hash"])
+
+
+def jumped(nodes: DataFrame, keys: list[str], key: str, join: Column, value: str, path: str) -> DataFrame:
+    """nodes (keys, key, up, left, value) with value joined along the way up: left steps to the end, where up leads to no
+    node. Each round, written to path, joins a node with what its pointer has, and the pointer jumps twice as far. Columns of
+    the two are own.* and above.*; nodes at their ends are not moved any more, but asked."""
+    now, k = saved(nodes, f"{path}/jump-0"), 0
+    longest = now.agg(F.max("left")).first()[0] or 0
+    while 1 << k < longest:
+        # After k rounds a pointer has jumped 2^k steps, or to the end.
+        far = F.col("left") > 1 << k
+        own = now.where(far).alias("own").join(now.select(*keys, F.col(key).alias("up"), F.col("up").alias("_up"), value).alias("above"), [*keys, "up"])
+        own = own.select(*keys, F.col(f"own.{key}").alias(key), F.col("_up").alias("up"), "own.left", join.alias(value))
+        now, k = saved(now.where(~far).unionByName(own), f"{path}/jump-{k + 1}"), k + 1
+    return now
+
+
+def in_frames(scopes: DataFrame, frames: DataFrame, size: int = SLICE, only: DataFrame | None = None) -> DataFrame:
     """A row for each completed frame that a scope is visible in: the scope clipped to it. A scope that is still open (no end)
-    lasts to the end of the last frame."""
+    lasts to the end of the last frame. Of only (trace_id, pos; few for each trace) no other frames: the sorted positions are
+    cut to a scope's first and last frame before they become rows."""
     path = workspace(scopes.sparkSession)
     done = saved(completed(frames.where("frame_type = 'Game'")).select("trace_id", "frame_index", "pos", "start_us", "end_us"), f"{path}/frames")
-    span, starts = sliced(done, ["trace_id"], "pos", size)
-    starts = saved(starts, f"{path}/starts")
-    span = span.join(done.groupBy("trace_id").agg(F.max("end_us").alias("_last")), "trace_id")
-    s = scopes.join(span, "trace_id").withColumn("end_us", F.coalesce("end_us", F.greatest("_last", "start_us") + 1)).withColumn("_t", F.col("start_us"))
-    s = looked_up(s, starts, ["trace_id"], "_t", "_i0").withColumn("_t", F.col("end_us"))
-    s = looked_up(s, starts, ["trace_id"], "_t", "_i1").drop("_t", "_lo", "_hi", "_k", "_last")
-    each = s.withColumn("pos", F.explode(F.sequence(F.coalesce("_i0", F.lit(0)), F.coalesce("_i1", F.lit(0))))).drop("_i0", "_i1")
+    bounds, starts = sliced(done, ["trace_id"], "pos", size)
+    bounds, starts = saved(bounds.join(done.groupBy("trace_id").agg(F.max("end_us").alias("_last")), "trace_id"), f"{path}/bounds"), saved(starts, f"{path}/starts")
+    s = scopes.join(bounds, "trace_id").withColumn("end_us", F.coalesce("end_us", F.greatest("_last", "start_us") + 1))
+    s = s.withColumns({"_s0": slice_of("start_us"), "_s1": slice_of("end_us")}).drop("_bounds", "_last")
+    s = looked_up(s, starts, ["trace_id"], "start_us", "_s0", "_i0")
+    s = looked_up(s, starts, ["trace_id"], "end_us", "_s1", "_i1").drop("_s0", "_s1")
+    i0, i1 = F.coalesce("_i0", F.lit(0).cast("long")), F.coalesce("_i1", F.lit(0).cast("long"))
+    if only is None:
+        shown = F.sequence(i0, i1)
+    else:
+        s = s.join(only.groupBy("trace_id").agg(F.sort_array(F.collect_set("pos")).alias("_c")), "trace_id")
+        before = count_to(F.col("_c"), i0 - 1)
+        shown = F.slice("_c", before + 1, count_to(F.col("_c"), i1) - before)
+    each = s.withColumn("pos", F.explode(shown)).drop("_i0", "_i1", "_c")
     f = done.select("trace_id", "pos", "frame_index", F.col("start_us").alias("_fs"), F.col("end_us").alias("_fe"))
     v = each.join(f, ["trace_id", "pos"])
     v = v.withColumn("clip_start_us", F.greatest("start_us", "_fs")).withColumn("clip_end_us", F.least("end_us", "_fe")).withColumn("inclusive_us", F.col("clip_end_us") - F.col("clip_start_us"))
@@ -105,22 +178,47 @@ def thread_frames(visible: DataFrame) -> DataFrame:
 
 
 def call_tree(visible: DataFrame) -> DataFrame:
-    """Scopes of one path in a frame and thread as one node."""
+    """Scopes of one path in a frame and thread as one node; with_text gives nodes their path as text."""
     sums = (F.sum(f"{n}_us").alias(f"{n}_us") for n in ("inclusive", "exclusive", "children"))
-    return visible.groupBy("trace_id", "frame_index", "thread_id", "path_hash").agg(F.first("parent_path_hash").alias("parent_path_hash"), F.first("path").alias("path"), F.first("name").alias("name"), F.first("depth").alias("depth"), *sums, F.min("clip_start_us").alias("start_us"), F.max("clip_end_us").alias("end_us"), F.bool_or("started_before").alias("started_before"), F.bool_or("ended_after").alias("ended_after"))
+    return visible.groupBy(*TREE, "path_hash", "depth").agg(F.first("parent_path_hash").alias("parent_path_hash"), F.first("step").alias("step"), F.first("name").alias("name"), *sums, F.min("clip_start_us").alias("start_us"), F.max("clip_end_us").alias("end_us"), F.bool_or("started_before").alias("started_before"), F.bool_or("ended_after").alias("ended_after"))
 
 
 def ranked_siblings(tree: DataFrame) -> DataFrame:
-    w = Window.partitionBy("trace_id", "frame_index", "thread_id", "parent_path_hash").orderBy(F.desc("inclusive_us"), "name")
+    w = Window.partitionBy(*TREE, "parent_path_hash").orderBy(F.desc("inclusive_us"), "name", "step")
     return tree.withColumn("sibling_rank", F.row_number().over(w).cast("long"))
 
 
+def in_preorder(tree: DataFrame) -> DataFrame:
+    """Nodes with sibling_rank, descendants (with itself) and preorder, from 0 on in each frame and thread: a node stands
+    before those below it, and those before its later siblings.
+
+    Descendants by doubling: those less than 2^k below a node are added to those of the node 2^k above. A node comes after
+    its parent by one and all descendants of the siblings before it, so that its place is the sum of these along the way up."""
+    path = workspace(tree.sparkSession)
+    t = saved(ranked_siblings(tree), f"{path}/tree")
+    key = [*TREE, "path_hash"]
+    now, k = saved(t.select(*key, F.col("parent_path_hash").alias("up"), "depth", F.lit(1).cast("long").alias("n")), f"{path}/below-0"), 0
+    deepest = now.agg(F.max("depth")).first()[0] or 0
+    while 1 << k < deepest:
+        # Pointers lead 2^k up; a node of a smaller depth has none.
+        far = now.where(F.col("depth") > 1 << k)
+        more = far.groupBy(*TREE, F.col("up").alias("path_hash")).agg(F.sum("n").alias("more"))
+        above = now.select(*TREE, F.col("path_hash").alias("up"), F.col("up").alias("_up"))
+        step = now.join(more, key, "left").join(above, [*TREE, "up"], "left")
+        now, k = saved(step.select(*key, F.col("_up").alias("up"), "depth", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), f"{path}/below-{k + 1}"), k + 1
+    t = t.join(now.select(*key, F.col("n").alias("descendants")), key)
+    before = Window.partitionBy(*TREE, "parent_path_hash").orderBy("sibling_rank").rowsBetween(Window.unboundedPreceding, -1)
+    t = saved(t.withColumn("_after", F.coalesce(F.sum("descendants").over(before), F.lit(0)) + F.when(F.col("depth") > 1, 1).otherwise(0)), f"{path}/sized")
+    nodes = t.select(*key, F.col("parent_path_hash").alias("up"), F.col("depth").alias("left"), F.col("_after").alias("at"))
+    places = jumped(nodes, TREE, "path_hash", F.col("own.at") + F.col("above.at"), "at", path)
+    return t.drop("_after").join(places.select(*key, F.col("at").alias("preorder")), key)
+
+
 def visible_nodes(tree: DataFrame) -> DataFrame:
     """hidden: whether a node is left out of the display: it has a parent with one child, and one child at most."""
-    key = ["trace_id", "frame_index", "thread_id"]
-    n = tree.where("depth > 1").groupBy(*key, F.col("parent_path_hash").alias("path_hash")).agg(F.count("*").alias("children"))
-    t = tree.join(n, [*key, "path_hash"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
-    siblings = F.count("*").over(Window.partitionBy(*key, "parent_path_hash"))
+    n = tree.where("depth > 1").groupBy(*TREE, F.col("parent_path_hash").alias("path_hash")).agg(F.count("*").alias("children"))
+    t = tree.join(n, [*TREE, "path_hash"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    siblings = F.count("*").over(Window.partitionBy(*TREE, "parent_path_hash"))
     return t.withColumn("hidden", (F.col("depth") > 1) & (siblings == 1) & (F.col("children") <= 1))
 
 
@@ -132,22 +230,22 @@ def default_frame(threads: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def hidden_chains(nodes: DataFrame) -> DataFrame:
-    """Of visible_nodes: the nodes that stay, with the names of the chain hidden below each, in order. A hidden node's chain
-    goes up, one parent at a time for all of them at once, until a node that stays."""
-    key = ["trace_id", "frame_index", "thread_id"]
+    """Of visible_nodes: the nodes that stay, with the names of the chain hidden below each, in order. Chains are ranked by
+    doubling: a pointer to a node that is hidden jumps on to where that one's leads, and steps add up, so that a chain of n
+    takes log n rounds."""
     path = workspace(nodes.sparkSession)
     n = saved(nodes, f"{path}/nodes")
-    now, done, k = n.where("hidden").select(*key, "name", "depth", F.col("parent_path_hash").alias("up")), None, 0
-    above = n.select(*key, F.col("path_hash").alias("up"), "hidden", F.col("parent_path_hash").alias("_up"))
-    while True:
-        step = saved(now.join(above, [*key, "up"]), f"{path}/chain-{k}")
-        ended = step.where("not hidden").select(*key, "name", "depth", F.col("up").alias("path_hash"))
-        done = ended if done is None else done.unionByName(ended)
-        now, k = step.where("hidden").select(*key, "name", "depth", F.col("_up").alias("up")), k + 1
-        if now.isEmpty():
+    now, k = n.where("hidden").select(*TREE, "path_hash", "name", F.col("parent_path_hash").alias("up"), F.lit(1).cast("long").alias("steps")), 0
+    longest = (n.where("hidden").agg(F.max("depth")).first()[0] or 0) - 1
+    while 1 << k < longest:
+        above = now.select(*TREE, F.col("path_hash").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        step = now.join(above, [*TREE, "up"], "left")
+        step = saved(step.select(*TREE, "path_hash", "name", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_up").isNotNull().alias("moved")), f"{path}/chain-{k}")
+        now, k = step.drop("moved"), k + 1
+        if step.where("moved").isEmpty():  # the deepest node may be in a shorter chain
             break
-    chains = done.groupBy(*key, "path_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]).alias("hidden_names"))
-    out = n.where("not hidden").join(chains, [*key, "path_hash"], "left")
+    chains = now.groupBy(*TREE, F.col("up").alias("path_hash")).agg(F.transform(F.sort_array(F.collect_list(F.struct("steps", "name"))), lambda x: x["name"]).alias("hidden_names"))
+    out = n.where("not hidden").join(chains, [*TREE, "path_hash"], "left")
     return out.withColumn("hidden_names", F.coalesce("hidden_names", F.array().cast("array<string>")))
 
 
@@ -155,4 +253,11 @@ def function_details(tree: DataFrame, threads: DataFrame) -> DataFrame:
     """Nodes with the name of their thread; threads: trace_id, thread_id, name."""
     t = threads.select("trace_id", "thread_id", F.col("name").alias("thread"))
     out = tree.join(t, ["trace_id", "thread_id"], "left").withColumn("thread", F.coalesce("thread", F.lit("UnnamedThread")))
-    return out.select("trace_id", "frame_index", "thread_id", "path", "name", "thread", "inclusive_us", "exclusive_us", "children_us", "start_us", "end_us", "started_before", "ended_after")
+    return out.select(*TREE, "path", "name", "thread", "inclusive_us", "exclusive_us", "children_us", "start_us", "end_us", "started_before", "ended_after")
+
+
+def names_in_order(nodes: DataFrame) -> DataFrame:
+    """The different names of nodes (of in_preorder) of each frame and thread that aren't blank, with the position of each by
+    the first node that has it."""
+    n = nodes.where(F.trim("name") != "").groupBy(*TREE, "name").agg(F.min("preorder").alias("_at"))
+    return n.withColumn("position", F.row_number().over(Window.partitionBy(*TREE).orderBy("_at")).cast("long")).drop("_at")

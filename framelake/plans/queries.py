@@ -10,6 +10,7 @@ from ..operators import batches, modules
 from ..operators import dimensions as d
 from ..operators import frames as f
 from ..operators import scopes as s
+from ..storage import saved, workspace
 from . import views
 
 GAME = f"""
@@ -58,7 +59,7 @@ def scopes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, frame_events = views.scope_events(spark, sf_dir), views.frame_events(spark, sf_dir)
     scopes = s.close_open(s.pair_scopes(events), s.durations(events, frame_events))
     names = views.timer_specs(spark, sf_dir).select("spec_id", "name")
-    return scopes.join(names, "spec_id", "left").withColumn("name", F.coalesce("name", F.format_string("<unknown %d>", "spec_id")))
+    return scopes.join(names, "spec_id", "left").withColumn("name", F.coalesce("name", F.format_string("<unknown %d>", "spec_id"))).withColumns({"ref_kind": F.lit(0), "ref_id": F.col("spec_id")})
 
 
 def visible_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,11 @@ def visible_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes_of(spark, sf_dir)), frames_of(spark, sf_dir))))
+    return s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), "name", text=False), frames_of(spark, sf_dir))))
+
+
+def text_tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.with_text(tree_of(spark, sf_dir)).drop("step")
 
 
 def ag01_frames(spark, sf_dir):
@@ -98,7 +103,7 @@ def wn13_guides(spark, sf_dir):
 
 
 def wn05_scopes(spark, sf_dir):
-    return s.pair_scopes(views.scope_events(spark, sf_dir))
+    return s.pair_scopes(views.scope_events(spark, sf_dir)).drop("end_seq")
 
 
 def ag02_duration(spark, sf_dir):
@@ -115,11 +120,11 @@ def st02_active_threads(spark, sf_dir):
 
 
 def ag03_call_tree(spark, sf_dir):
-    return tree_of(spark, sf_dir).drop("path_hash", "parent_path_hash")
+    return text_tree_of(spark, sf_dir).drop("path_hash", "parent_path_hash")
 
 
 def wn10_hidden(spark, sf_dir):
-    return s.visible_nodes(tree_of(spark, sf_dir)).select("trace_id", "frame_index", "thread_id", "path", "children", "hidden")
+    return s.visible_nodes(text_tree_of(spark, sf_dir)).select("trace_id", "frame_index", "thread_id", "path", "children", "hidden")
 
 
 def ag12_tree_size(spark, sf_dir):
@@ -128,17 +133,29 @@ def ag12_tree_size(spark, sf_dir):
 
 
 def st03_siblings(spark, sf_dir):
-    return s.ranked_siblings(tree_of(spark, sf_dir)).select("trace_id", "frame_index", "thread_id", "path", "sibling_rank")
+    return s.ranked_siblings(s.with_text(tree_of(spark, sf_dir))).select("trace_id", "frame_index", "thread_id", "path", "sibling_rank")
+
+
+def st03_preorder(spark, sf_dir):
+    """The nodes of each tree in the order of display, and the number of nodes below each."""
+    t = s.with_text(s.in_preorder(tree_of(spark, sf_dir)))
+    return t.select("trace_id", "frame_index", "thread_id", "path", "preorder", "descendants")
 
 
 def st04_default_frame(spark, sf_dir):
-    return s.default_frame(s.thread_frames(visible_of(spark, sf_dir)), f.candidates(frames_of(spark, sf_dir)))
+    """Only root scopes count, and only where candidate frames show them."""
+    events, frame_events = views.scope_events(spark, sf_dir), views.frame_events(spark, sf_dir)
+    frames = frames_of(spark, sf_dir)
+    tried = f.candidates(frames)
+    roots = s.close_open(s.pair_scopes(events), s.durations(events, frame_events)).where("depth = 1")
+    return s.default_frame(s.thread_frames(s.in_frames(roots, frames, only=tried)), tried)
 
 
 def st05_hottest_root(spark, sf_dir):
-    tree = tree_of(spark, sf_dir)
-    roots = s.ranked_siblings(tree.where("depth = 1")).where("sibling_rank = 1")
-    top = s.thread_frames(visible_of(spark, sf_dir)).where("rank = 1").select("trace_id", "frame_index", "thread_id")
+    """A thread's total is that of its root nodes, so the tree tells both."""
+    roots = saved(tree_of(spark, sf_dir).where("depth = 1"), f"{workspace(spark)}/roots")
+    top = s.thread_frames(roots).where("rank = 1").select("trace_id", "frame_index", "thread_id")
+    roots = s.ranked_siblings(roots).where("sibling_rank = 1")
     return roots.join(top, ["trace_id", "frame_index", "thread_id"]).select("trace_id", "frame_index", "thread_id", "name", "inclusive_us")
 
 
@@ -244,8 +261,7 @@ def ag11_specs(spark, sf_dir):
 
 
 def _ref_tree(spark, sf_dir):
-    named = scopes_of(spark, sf_dir).withColumn("ref", F.concat_ws("#", "name", "spec_id"))
-    return s.call_tree(s.with_children(s.in_frames(s.with_paths(named, "ref"), frames_of(spark, sf_dir))))
+    return s.with_text(s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), text=False), frames_of(spark, sf_dir))))).drop("step")
 
 
 def ag03_ref_tree(spark, sf_dir):
@@ -279,6 +295,72 @@ def fn05_inferred_name(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", d.inferred_name("text").alias("name"))
 
 
+def jn02_many_ranges(spark, sf_dir):
+    """The bars of a week after each begin of a scope."""
+    ranges = views.scope_events(spark, sf_dir).where("is_begin").select("trace_id", "seq", F.col("t_us").alias("lo_us"), (F.col("t_us") + F.lit(604_800_000_000)).alias("hi_us"))
+    return f.frame_bars(frames_of(spark, sf_dir), ranges).select("trace_id", "seq", "frame_index", "duration_us")
+
+
+def wn11_every_viewport(spark, sf_dir):
+    return f.every_viewport(fn03_frame_log(spark, sf_dir), 100).drop("pos")
+
+
+def wn13_every_guide(spark, sf_dir):
+    return f.every_guide(f.every_viewport(fn03_frame_log(spark, sf_dir), 100)).withColumn("height", F.round("height", 6))
+
+
+def so03_names_in_order(spark, sf_dir):
+    return s.names_in_order(s.in_preorder(tree_of(spark, sf_dir)))
+
+
+def ag03_logged_tree(spark, sf_dir):
+    """Scopes of every third spec as logged ones, which are merged with no other."""
+    scopes = scopes_of(spark, sf_dir).withColumn("ref_kind", F.when(F.col("spec_id") % 3 == 0, batches.LOGGED).otherwise(batches.TIMER))
+    tree = s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes, text=False), frames_of(spark, sf_dir))))
+    return s.with_text(tree).select("trace_id", "frame_index", "thread_id", "path", "inclusive_us", "exclusive_us", "started_before", "ended_after")
+
+
+def ag08_import_summary(spark, sf_dir):
+    """The summary of an import: logs of frames and threads, and scopes in batches, through all modules."""
+    log = views.frame_log(spark, sf_dir).unionByName(views.thread_log(spark, sf_dir)).unionByName(views.batches(views.scope_events(spark, sf_dir), 2))
+    log = saved(log, f"{workspace(spark)}/log")
+    return modules.analyze(log)["summary"].withColumn("trace_id", F.col("trace_id").cast("long"))
+
+
+def ag11_formats(spark, sf_dir):
+    """The metadata format of each timer, from the spec that defined it last."""
+    rows = views.metadata_formats(spark, sf_dir).withColumn("spec_id", F.col("seq") % 100)
+    t = d.with_formats(d.replay_timers(views.trace_timer_specs(spark, sf_dir)), rows)
+    return t.select("trace_id", "spec_id", "timer_id", "metadata_spec_id", "format", F.col("field_names")[0].alias("field_name"))
+
+
+def ag10_redefined(spark, sf_dir):
+    return d.replay_timers(views.redefined_specs(spark, sf_dir))
+
+
+def ag02_discarded(spark, sf_dir):
+    """Logged scopes that are given up count for the duration, up to the one that goes back."""
+    r = batches.records(views.discarded_log(spark, sf_dir)).withColumn("trace_id", F.col("trace_id").cast("long"))
+    return s.durations(r, views.frame_events(spark, sf_dir))
+
+
+def wn07_clamped(spark, sf_dir):
+    return s.pair_scopes(views.clamped_events(spark, sf_dir)).select("trace_id", "thread_id", "scope_id", "depth", "start_us", "end_us", "parent_scope_id")
+
+
+def wn02_running_cycles(spark, sf_dir):
+    frames = f.pair_frames(modules.frame_log(views.cycle_log(spark, sf_dir)))
+    return frames.withColumn("trace_id", F.col("trace_id").cast("long"))
+
+
+def fn14_texts(spark, sf_dir):
+    """The tooltip of each bar, and the label of the median guide of its series."""
+    frames = saved(frames_of(spark, sf_dir), f"{workspace(spark)}/frames")
+    label = f.bar_statistics(frames).select("trace_id", fields.guide_label(F.col("median_us")).alias("label"))
+    bars = f.frame_bars(frames.where("end_us is not null")).withColumn("long", F.col("duration_us") > 100_000_000_000)
+    return bars.join(label, "trace_id").select("trace_id", fields.frame_tooltip().alias("tooltip"), "label", fields.truth("long").alias("long"))
+
+
 THREADS = """
 tu AS (SELECT o_custkey // 1000 AS trace_id, o_orderkey AS seq, o_custkey AS thread_id, CASE WHEN o_orderstatus <> 'P' THEN 'Thread' || (o_orderkey % 97) END AS name, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Render' WHEN 'AUTOMOBILE' THEN 'ThreadPool' WHEN 'MACHINERY' THEN 'TaskGraphHigh' WHEN 'HOUSEHOLD' THEN 'TaskGraphNormal' ELSE c_mktsegment END AS group_name FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -303,7 +385,44 @@ REF_TREE = REF_TREE.replace("left(path, length(path) - length(name) - 1)", "left
 CHAINS = REF_TREE + """,
 heads AS (SELECT trace_id, frame_index, thread_id, path AS head, path, name, depth, 0 AS step FROM nodes WHERE NOT hidden UNION ALL SELECT n.trace_id, n.frame_index, n.thread_id, h.head, n.path, n.name, n.depth, 1 FROM nodes n JOIN heads h ON n.trace_id = h.trace_id AND n.frame_index = h.frame_index AND n.thread_id = h.thread_id AND n.parent = h.path WHERE n.hidden)"""
 
+WALK = TREE + """,
+walk AS (SELECT *, [sibling_rank] AS key FROM nodes WHERE depth = 1 UNION ALL SELECT n.*, list_append(w.key, n.sibling_rank) FROM nodes n JOIN walk w ON n.trace_id = w.trace_id AND n.frame_index = w.frame_index AND n.thread_id = w.thread_id AND n.parent = w.path),
+pre AS (SELECT *, row_number() OVER (PARTITION BY trace_id, frame_index, thread_id ORDER BY key) - 1 AS preorder FROM walk)"""
+LOGGED_TREE = REF_TREE.replace("|| '#' || spec_id", "|| '#' || CASE WHEN spec_id % 3 = 0 THEN 'i' || scope_id ELSE spec_id::VARCHAR END").replace("|| '#' || n.spec_id", "|| '#' || CASE WHEN n.spec_id % 3 = 0 THEN 'i' || n.scope_id ELSE n.spec_id::VARCHAR END")
+EVERY = "every AS (SELECT trace_id, frame_type, frame_index, count(*) OVER w AS bars, min(greatest(0, end_us - start_us)) OVER w AS min_us, max(greatest(0, end_us - start_us)) OVER w AS max_us, median(greatest(0, end_us - start_us)) OVER w AS median_us FROM done2 WINDOW w AS (PARTITION BY trace_id, frame_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING))"
+#: The replay of timer specs, a spec event at a time for all traces at once: of (spec to timer), names (name to timer), timers.
+REPLAY = """
+ev AS (SELECT p_partkey // 100 AS trace_id, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS step, p_partkey % 100 % 40 AS spec, CASE p_partkey % 7 WHEN 0 THEN 'unique' WHEN 3 THEN 'use' ELSE 'merged' END AS rule, p_brand AS name, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS file, CAST(p_size AS BIGINT) AS line FROM part),
+st AS (SELECT DISTINCT trace_id, CAST(0 AS BIGINT) AS step, CAST(MAP {} AS MAP(BIGINT, BIGINT)) AS spec_of, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS names, CAST([] AS STRUCT(name VARCHAR, file VARCHAR, line BIGINT)[]) AS timers FROM ev
+UNION ALL SELECT trace_id, step, map_concat(spec_of, MAP {spec: timer}), CASE WHEN rule = 'merged' AND NOT map_contains(names, name) THEN map_concat(names, MAP {name: timer}) ELSE names END,
+  CASE WHEN timer > len(timers) THEN list_append(timers, CASE WHEN rule = 'use' THEN struct_pack(name := '<unknown ' || spec || '>', file := CAST(NULL AS VARCHAR), line := CAST(0 AS BIGINT)) ELSE struct_pack(name := name, file := file, line := line) END)
+       WHEN rule = 'unique' OR (rule = 'merged' AND old IS NOT NULL) THEN list_transform(timers, lambda x, i : CASE WHEN i = timer THEN struct_pack(name := name, file := coalesce(file, x.file), line := line) ELSE x END)
+       ELSE timers END
+  FROM (SELECT st.trace_id, ev.step, spec_of, names, timers, spec, rule, ev.name, file, line, spec_of[spec] AS old, coalesce(spec_of[spec], CASE WHEN rule = 'merged' THEN names[ev.name] END, len(timers) + 1) AS timer FROM st JOIN ev ON ev.trace_id = st.trace_id AND ev.step = st.step + 1)),
+fin AS (SELECT trace_id, spec_of, timers FROM st QUALIFY step = max(step) OVER (PARTITION BY trace_id)),
+each AS (SELECT trace_id, timers, unnest(map_entries(spec_of)) AS e FROM fin)"""
+
 SQL = {
+    "jn02_many_ranges": f"WITH {SCOPES}, rg AS (SELECT trace_id, seq, t_us AS lo, t_us + 604800000000 AS hi, (SELECT max(frame_index) FROM frames x WHERE x.trace_id = se.trace_id AND x.start_us < t_us) AS last FROM se WHERE is_begin) SELECT rg.trace_id, rg.seq, frame_index, CASE WHEN end_us IS NOT NULL THEN greatest(0, end_us - start_us) END AS duration_us FROM rg JOIN frames USING (trace_id) WHERE start_us <= hi AND (start_us >= lo OR (frame_index = last AND coalesce(end_us > lo, true)))",
+    "wn11_every_viewport": f"WITH {FRAMES2}, {EVERY} SELECT * FROM every",
+    "wn13_every_guide": f"WITH {FRAMES2}, {EVERY}, l AS (SELECT *, '30' AS guide, 1e6 / 30 AS us FROM every UNION ALL SELECT *, '60', 1e6 / 60 FROM every UNION ALL SELECT *, '120', 1e6 / 120 FROM every UNION ALL SELECT *, 'median', median_us FROM every) SELECT trace_id, frame_type, frame_index, guide, round({BAR.replace('hi', 'max_us').replace('lo', 'min_us')}, 6) AS height FROM l",
+    "so03_names_in_order": f"WITH RECURSIVE {WALK}, first AS (SELECT trace_id, frame_index, thread_id, name, min(preorder) AS p FROM pre WHERE trim(name) <> '' GROUP BY ALL) SELECT trace_id, frame_index, thread_id, name, row_number() OVER (PARTITION BY trace_id, frame_index, thread_id ORDER BY p) AS position FROM first",
+    "ag03_logged_tree": f"WITH RECURSIVE {LOGGED_TREE} SELECT trace_id, frame_index, thread_id, path, inclusive_us, exclusive_us, started_before, ended_after FROM tree",
+    "ag08_import_summary": f"""WITH {FRAMES2}, {LOGGED},
+b AS (SELECT trace_id, thread_id, CAST(ceil(count(*) / 32) AS BIGINT) AS n FROM se GROUP BY 1, 2),
+n AS (SELECT trace_id, count(*) AS n FROM fl GROUP BY 1 UNION ALL SELECT o_custkey // 100, count(*) FROM orders GROUP BY 1 UNION ALL SELECT trace_id, sum(n) FROM b GROUP BY 1),
+e AS (SELECT trace_id, CAST(sum(n) AS BIGINT) AS events FROM n GROUP BY 1),
+fr AS (SELECT trace_id, count(*) FILTER (WHERE frame_type = 'Game') AS game_frames, count(*) FILTER (WHERE frame_type <> 'Game') AS rendering_frames, count(end_us) FILTER (WHERE frame_type = 'Game') AS completed_game_frames FROM frames2 GROUP BY 1),
+th AS (SELECT trace_id, count(*) AS threads FROM (SELECT trace_id, thread_id FROM b UNION SELECT o_custkey // 100, o_custkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P')) GROUP BY 1),
+tl AS (SELECT trace_id, count(*) AS timelines FROM b GROUP BY 1),
+du AS (SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM (SELECT trace_id, t_us FROM fl UNION ALL SELECT trace_id, t_us FROM se) GROUP BY 1)
+SELECT trace_id, events, coalesce(game_frames, 0) AS game_frames, coalesce(rendering_frames, 0) AS rendering_frames, coalesce(completed_game_frames, 0) AS completed_game_frames, coalesce(threads, 0) AS threads, coalesce(timelines, 0) AS timelines, coalesce(duration_us, 0) AS duration_us FROM e LEFT JOIN fr USING (trace_id) LEFT JOIN th USING (trace_id) LEFT JOIN tl USING (trace_id) LEFT JOIN du USING (trace_id)""",
+    "ag11_formats": f"WITH tm AS ({TIMERS.format(each=100)}), fo AS (SELECT p_partkey // 100 AS trace_id, timer_id, arg_max(p_type, p_partkey) AS format, arg_max(p_brand, p_partkey) AS field_name FROM part JOIN tm ON tm.trace_id = p_partkey // 100 AND tm.spec_id = p_partkey % 100 GROUP BY 1, 2), a AS (SELECT p_partkey // 100 AS trace_id, p_type AS format, p_brand AS field_name, min(p_partkey) AS first_seq FROM part GROUP BY 1, 2, 3), i AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY first_seq) - 1 AS id FROM a) SELECT tm.trace_id, spec_id, tm.timer_id, i.id AS metadata_spec_id, format, field_name FROM tm JOIN fo USING (trace_id, timer_id) JOIN i USING (trace_id, format, field_name)",
+    "ag10_redefined": f"WITH RECURSIVE {REPLAY} SELECT trace_id, e.key AS spec_id, e.value AS timer_id, timers[e.value].name AS name, timers[e.value].file AS source_file, timers[e.value].line AS source_line FROM each",
+    "ag02_discarded": f"WITH {GAME}, {LOGGED}, lg AS (SELECT trace_id, t_us + CASE WHEN seq % 13 = 0 THEN 1000000000000 ELSE 0 END AS t_us, coalesce(sum(CASE WHEN seq % 13 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM se WHERE seq % 2 = 0), al AS (SELECT trace_id, t_us FROM fe UNION ALL SELECT trace_id, t_us FROM se WHERE seq % 2 = 1 UNION ALL SELECT trace_id, t_us FROM lg WHERE ahead = 0) SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM al GROUP BY 1",
+    "wn07_clamped": f"WITH {SCOPES.replace('sp AS (SELECT *, lead(t_us)', 'sc AS (SELECT * REPLACE (max(t_us - seq % 5 * 86400000000) OVER (PARTITION BY thread_id ORDER BY seq) AS t_us) FROM sl), sp AS (SELECT *, lead(t_us)').replace('ORDER BY seq) AS end_us FROM sl)', 'ORDER BY seq) AS end_us FROM sc)')} SELECT trace_id, thread_id, scope_id, depth, start_us, end_us, parent_scope_id FROM scopes",
+    "wn02_running_cycles": f"WITH {FRAMES2.replace('% 3 = 1 THEN', '% 3 <> 2 THEN')} SELECT * FROM frames2",
+    "fn14_texts": f"WITH {GAME}, b AS (SELECT *, greatest(0, end_us - start_us) AS us FROM done), m AS (SELECT trace_id, printf('%.2f ms', median(us) / 1000) AS label FROM b GROUP BY 1) SELECT trace_id, printf('Frame %d: %d.%03d ms', frame_index, us // 1000, us % 1000) AS tooltip, label, CASE WHEN us > 100000000000 THEN 'true' ELSE 'false' END AS long FROM b JOIN m USING (trace_id)",
     "src05_batches": f"WITH {LOGGED} SELECT trace_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS seq, t_us, is_begin, CASE WHEN is_begin THEN k END AS spec_id FROM se",
     "wn08_merged": f"WITH {LOGGED} SELECT trace_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS seq, t_us, is_begin, CASE WHEN is_begin THEN CASE WHEN seq % 3 = 0 THEN 4294967295 - k ELSE k END END AS spec_id FROM se",
     "fn03_frame_log": f"WITH {FRAMES2} SELECT * FROM frames2",
@@ -332,6 +451,7 @@ SQL = {
     "wn10_hidden": f"WITH RECURSIVE {TREE} SELECT trace_id, frame_index, thread_id, path, children, hidden FROM nodes",
     "ag12_tree_size": f"WITH RECURSIVE {TREE} SELECT trace_id, frame_index, count(*) + count(DISTINCT thread_id) AS items FROM nodes WHERE NOT hidden GROUP BY 1, 2",
     "st03_siblings": f"WITH RECURSIVE {TREE} SELECT trace_id, frame_index, thread_id, path, sibling_rank FROM nodes",
+    "st03_preorder": f"WITH RECURSIVE {WALK} SELECT trace_id, frame_index, thread_id, path, preorder, (SELECT count(*) FROM walk b WHERE b.trace_id = w.trace_id AND b.frame_index = w.frame_index AND b.thread_id = w.thread_id AND b.key[: len(w.key)] = w.key) AS descendants FROM pre w",
     "st04_default_frame": f"WITH {VISIBLE}, {CANDIDATES}, p AS (SELECT trace_id, frame_index, count(*) AS threads, CAST(sum(total_us) AS BIGINT) AS total_us FROM tf GROUP BY 1, 2) SELECT trace_id, frame_index, threads, total_us FROM p JOIN cand USING (trace_id, frame_index) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY threads DESC, total_us DESC, frame_index) = 1",
     "st05_hottest_root": f"WITH RECURSIVE {TREE} SELECT trace_id, frame_index, thread_id, name, inclusive_us FROM nodes JOIN tf USING (trace_id, frame_index, thread_id) WHERE depth = 1 AND sibling_rank = 1 AND rank = 1",
     "so01_candidates": f"WITH {GAME}, {CANDIDATES} SELECT trace_id, frame_index, pos FROM cand",
@@ -340,7 +460,7 @@ SQL = {
     "ag08_summary": f"WITH {SCOPES}, a AS (SELECT trace_id, count(*) AS events, count(DISTINCT thread_id) AS threads FROM se GROUP BY 1), b AS (SELECT trace_id, count(*) AS frames, count(end_us) AS completed FROM frames GROUP BY 1) SELECT a.trace_id, events, threads, duration_us, frames, completed FROM a JOIN dur USING (trace_id) LEFT JOIN b USING (trace_id)",
     "ag09_threads": f"WITH {THREADS} SELECT * FROM th",
     "st01_thread_order": f"""WITH {THREADS}, g AS (SELECT *, CASE group_name WHEN 'Render' THEN 0 WHEN 'TaskGraphHigh' THEN 2 WHEN 'TaskGraphNormal' THEN 3 WHEN 'ThreadPool' THEN 6 END AS known FROM th),
-r AS (SELECT *, coalesce(CAST(known AS BIGINT), 8 + dense_rank() OVER (PARTITION BY trace_id ORDER BY CASE WHEN known IS NULL THEN lower(group_name) END NULLS FIRST)) AS group_rank FROM g)
+r AS (SELECT *, coalesce(CAST(known AS BIGINT), 9 + dense_rank() OVER (PARTITION BY trace_id, known IS NULL ORDER BY lower(group_name))) AS group_rank FROM g)
 SELECT trace_id, thread_id, group_rank, row_number() OVER (PARTITION BY trace_id ORDER BY group_rank, priority, first_seen) AS position FROM r""",
     "ag10_timers": TIMERS.format(each=80),
     "ag10_trace_timers": TIMERS.format(each=100),

@@ -122,3 +122,38 @@ def metadata_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("trace_id"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("format"), F.array("p_brand").alias("field_names"))
+
+
+def discarded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events in batches, even ones as logged scopes, of which every thirteenth is far ahead: the next one goes back, and
+    the thread does without logged scopes from there on."""
+    e = scope_events(spark, sf_dir)
+    own = e.where("seq % 2 = 0").withColumn("t_us", F.col("t_us") + F.when(F.col("seq") % 13 == 0, F.lit(10**12)).otherwise(0))
+    return batches(e.where("seq % 2 = 1"), 2).unionByName(logged_scopes(own))
+
+
+def clamped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope events whose times go back by up to four days."""
+    return scope_events(spark, sf_dir).withColumn("t_us", F.col("t_us") - F.col("seq") % 5 * F.lit(86_400_000_000))
+
+
+def cycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signup and error as frame events of which some have their time, and the others, in an attachment, the cycles since the
+    last one of the same kind that has one."""
+    e = _events(spark, sf_dir).where("event_type IN ('signup', 'error')")
+    begin, k = F.when(F.col("event_type") == "signup", "Begin").otherwise("End"), F.col("spec_id")
+    e = e.withColumns({"event_name": F.concat(begin, F.when(k % 3 == 2, "RenderFrame").otherwise("Frame")), "_own": k % 2 == 0, "_kind": k % 3 == 2})
+    last = F.lag("t_us", 1, 0).over(Window.partitionBy("trace_id", "_own", "_kind").orderBy("seq"))
+    e = e.withColumn("_delta", F.when(~F.col("_own"), F.col("t_us") - last))
+    encode = F.pandas_udf(lambda v: v.map(lambda x: None if pd.isna(x) else _varint(int(x))), "binary")
+    return _log(e, logger=F.lit("Misc"), ts_seconds=F.when(F.col("_own"), F.col("t_us") / 1e6).otherwise(0.0), attachment=encode("_delta"))
+
+
+def redefined_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of part, a hundred to a trace, as events of forty specs each: definitions by name, definitions of a spec's own, and
+    uses, some without a file."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    rule = F.when(k % 7 == 0, "unique").when(k % 7 == 3, "use").otherwise("merged")
+    named = rule != "use"
+    return p.select(F.floor(k / 100).cast("long").alias("trace_id"), k.alias("seq"), rule.alias("rule"), (k % 100 % 40).cast("long").alias("spec_id"), F.when(named, F.col("p_brand")).alias("name"), F.when(named & (k % 5 != 0), F.col("p_type")).alias("source_file"), F.when(named, F.col("p_size").cast("long")).otherwise(0).alias("source_line"))

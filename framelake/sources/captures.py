@@ -16,6 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from ..storage import saved, workspace
 
 # Fixed values of the format.
 MAGIC = 0x54524332
@@ -30,7 +33,7 @@ HANDSHAKE = "trace_id string, control_port int, session_guid binary, trace_guid
 PACKETS = "trace_id string, packet_index long, thread_id int, payload binary, error string"
 EVENTS = "trace_id string, seq long, thread_id int, logger string, event_name string, scope_phase string, ts_seconds double, cycle long, seconds_per_cycle double, fields map<string,string>, binary_fields map<string,binary>, attachment binary"
 DEFINITIONS = "trace_id string, uid int, logger string, event_name string, flags int, fixed_size int, fields array<struct<name:string,offset:int,size:int,kind:int>>"
-SHARED = "trace_id string, definitions array<binary>, start_cycle long, frequency long"
+SHARED = "bodies array<binary>, start_cycle long, frequency long"
 
 
 class Damaged(ValueError):
@@ -303,45 +306,45 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(cycle=out["cycle"].astype("Int64"))
 
 
-def trace_events(parts: DataFrame) -> DataFrame:
-    """The event log of packets; the clock is that of the shared threads."""
+def decoded(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The event log of packets, with the clock of the shared threads, and a row for each event definition, the last of a uid:
+    its size and its fields. Every packet is decoded once: the shared threads of a trace become one written table of tagged
+    rows, their events and what the other threads need to know of them."""
     good = parts.where("error is null")
-    first = good.where(F.col("thread_id").isin(*SHARED_THREADS))
+    tagged = StructType.fromDDL(f"tag string, {EVENTS}, {SHARED}").add("definitions", ArrayType(StructType.fromDDL(DEFINITIONS)))
 
-    def decode_first(part: pd.DataFrame) -> tuple[Decoder, list[tuple]]:
-        d, out = Decoder({}), []
+    def shared_threads(part: pd.DataFrame) -> pd.DataFrame:
+        d, rows, trace = Decoder({}), [], part["trace_id"].iloc[0]
         for index, thread, data in part.sort_values("packet_index")[["packet_index", "thread_id", "payload"]].itertuples(index=False):
-            out += d.run(part["trace_id"].iloc[0], thread, [(index, data)], d.shared, 0)
-        return d, out
-
-    def dictionary(part: pd.DataFrame) -> pd.DataFrame:
-        d, _ = decode_first(part)
-        return pd.DataFrame({"trace_id": part["trace_id"].iloc[:1].tolist(), "definitions": [list(d.bodies.values())], "start_cycle": [d.start], "frequency": [d.frequency]})
+            rows += d.run(trace, thread, [(index, data)], d.shared, 0)
+        fields = [c.split()[0] for c in DEFINITIONS.split(", ")]
+        known = [dict(zip(fields, (trace, x.uid, x.logger, x.name, x.flags, x.size, [(n, at, size, kind) for n, at, size, kind in x.fields]))) for x in d.definitions.values()]
+        head = pd.DataFrame({"tag": ["shared"], "trace_id": [trace], "bodies": [list(d.bodies.values())], "start_cycle": [d.start], "frequency": [d.frequency], "definitions": [known]})
+        out = pd.concat([head, _frame(rows).assign(tag="event")]) if rows else head
+        out = out.reindex(columns=tagged.names).astype(object)
+        return out.where(out.notna(), None).astype({c: "Int64" for c in ("seq", "thread_id", "cycle", "start_cycle", "frequency")})
 
     def rest(part: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if part.empty:
             return _frame([])
-        bodies, start, rate = ([], 0, 0) if shared.empty else shared[["definitions", "start_cycle", "frequency"]].iloc[0]
+        bodies, start, rate = ([], 0, 0) if shared.empty else shared[["bodies", "start_cycle", "frequency"]].iloc[0]
         known = [Definition.parse(bytes(b)) for b in bodies]
         d, part = Decoder({x.uid: x for x in known}, int(start), int(rate)), part.sort_values("packet_index")
         return _frame(d.run(part["trace_id"].iloc[0], part["thread_id"].iloc[0], zip(part["packet_index"], part["payload"]), d.packet, 1))
 
+    first = good.where(F.col("thread_id").isin(*SHARED_THREADS)).groupBy("trace_id").applyInPandas(shared_threads, tagged)
+    first = saved(first, f"{workspace(parts.sparkSession)}/shared")
     others = good.where(~F.col("thread_id").isin(*SHARED_THREADS, SYNC_THREAD))
-    shared = first.groupBy("trace_id").applyInPandas(dictionary, SHARED)
-    each = others.select("trace_id", F.col("thread_id").alias("_thread")).distinct().join(shared, "trace_id").withColumnRenamed("trace_id", "_trace")
+    shared = first.where("tag = 'shared'").select(F.col("trace_id").alias("_trace"), "bodies", "start_cycle", "frequency")
+    each = others.select("trace_id", F.col("thread_id").alias("_thread")).distinct().join(shared, F.col("trace_id") == F.col("_trace")).drop("trace_id")
     later = others.groupBy("trace_id", "thread_id").cogroup(each.groupBy("_trace", "_thread")).applyInPandas(rest, EVENTS)
-    return first.groupBy("trace_id").applyInPandas(lambda p: _frame(decode_first(p)[1]), EVENTS).unionByName(later)
+    events = first.where("tag = 'event'").select(*later.columns).unionByName(later)
+    return events, first.where("tag = 'shared'").select(F.inline("definitions"))
 
 
-def event_definitions(parts: DataFrame) -> DataFrame:
-    """A row for each event definition of each trace, the last of a uid: its size and its fields."""
-    first = parts.where("error is null").where(F.col("thread_id").isin(*SHARED_THREADS))
+def trace_events(parts: DataFrame) -> DataFrame:
+    return decoded(parts)[0]
 
-    def read(part: pd.DataFrame) -> pd.DataFrame:
-        d = Decoder({})
-        for thread, data in part.sort_values("packet_index")[["thread_id", "payload"]].itertuples(index=False):
-            d.run(None, thread, [(0, data)], d.shared, 0)
-        rows = [(part["trace_id"].iloc[0], x.uid, x.logger, x.name, x.flags, x.size, [(n, at, size, kind) for n, at, size, kind in x.fields]) for x in d.definitions.values()]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DEFINITIONS.split(", ")])
 
-    return first.groupBy("trace_id").applyInPandas(read, DEFINITIONS)
+def event_definitions(parts: DataFrame) -> DataFrame:
+    return decoded(parts)[1]

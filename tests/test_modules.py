@@ -87,7 +87,7 @@ def test_logged_scopes_stand_between_records(spark):
     assert [(t, b, k, i) for _, t, b, k, i in timeline(log)] == [(10_000, True, 0, 1), (12_000, True, 2, 4294967292), (18_000, False, None, None), (20_000, False, None, None)]
     assert {r.name for r in modules.analyze(log.frame())["scopes"].collect()} == {"<unknown 1>", "Wait"}
     back = Log(spark).add("A", "Cpu", phase="Enter", ts=0.2, cycle=200).add("A", "Cpu", phase="Leave", ts=0.1, cycle=100).add("EventBatch", rate=0.001, data=batch(1, (300, 1)))
-    assert [(t, b) for _, t, b, *_ in timeline(back)] == [(300_000, True)]
+    assert [(k, t, b) for k, t, b, *_ in timeline(back)] == [("time", 200_000, False), ("scope", 300_000, True)]
 
 
 def test_end_of_thread_closes_its_scopes(spark):
