@@ -178,9 +178,20 @@ def thread_frames(visible: DataFrame) -> DataFrame:
 
 
 def call_tree(visible: DataFrame) -> DataFrame:
-    """Scopes of one path in a frame and thread as one node; with_text gives nodes their path as text."""
-    sums = (F.sum(f"{n}_us").alias(f"{n}_us") for n in ("inclusive", "exclusive", "children"))
-    return visible.groupBy(*TREE, "path_hash", "depth").agg(F.first("parent_path_hash").alias("parent_path_hash"), F.first("step").alias("step"), F.first("name").alias("name"), *sums, F.min("clip_start_us").alias("start_us"), F.max("clip_end_us").alias("end_us"), F.bool_or("started_before").alias("started_before"), F.bool_or("ended_after").alias("ended_after"))
+    """Scopes of one path in a frame and thread as one node; with_text gives nodes their path as text.
+
+    Without children_us (of with_children) it is worked out from the nodes, which are fewer: what is right below a node's
+    scopes is what its child nodes are made of. Scopes lie inside those above them and beside each other, so that no scope's
+    children take longer than itself, and the rest of a node is that of its scopes."""
+    known = [n for n in ("exclusive", "children") if f"{n}_us" in visible.columns]
+    sums = (F.sum(f"{n}_us").alias(f"{n}_us") for n in ("inclusive", *known))
+    # Names are keys, though the path tells them: Spark can't hash rows whose aggregates hold text.
+    tree = visible.groupBy(*TREE, "path_hash", "depth", "parent_path_hash", "step", "name").agg(*sums, F.min("clip_start_us").alias("start_us"), F.max("clip_end_us").alias("end_us"), F.bool_or("started_before").alias("started_before"), F.bool_or("ended_after").alias("ended_after"))
+    if known:
+        return tree
+    children = tree.where("depth > 1").groupBy(*TREE, F.col("parent_path_hash").alias("path_hash")).agg(F.sum("inclusive_us").alias("children_us"))
+    tree = tree.join(children, [*TREE, "path_hash"], "left").withColumn("children_us", F.coalesce("children_us", F.lit(0)))
+    return tree.withColumn("exclusive_us", F.col("inclusive_us") - F.col("children_us"))
 
 
 def ranked_siblings(tree: DataFrame) -> DataFrame:

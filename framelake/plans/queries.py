@@ -67,7 +67,7 @@ def visible_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), "name", text=False), frames_of(spark, sf_dir))))
+    return s.call_tree(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), "name", text=False), frames_of(spark, sf_dir)))
 
 
 def text_tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ def ag11_specs(spark, sf_dir):
 
 
 def _ref_tree(spark, sf_dir):
-    return s.with_text(s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), text=False), frames_of(spark, sf_dir))))).drop("step")
+    return s.with_text(s.call_tree(s.in_frames(s.with_paths(scopes_of(spark, sf_dir), text=False), frames_of(spark, sf_dir)))).drop("step")
 
 
 def ag03_ref_tree(spark, sf_dir):
@@ -316,7 +316,7 @@ def so03_names_in_order(spark, sf_dir):
 def ag03_logged_tree(spark, sf_dir):
     """Scopes of every third spec as logged ones, which are merged with no other."""
     scopes = scopes_of(spark, sf_dir).withColumn("ref_kind", F.when(F.col("spec_id") % 3 == 0, batches.LOGGED).otherwise(batches.TIMER))
-    tree = s.call_tree(s.with_children(s.in_frames(s.with_paths(scopes, text=False), frames_of(spark, sf_dir))))
+    tree = s.call_tree(s.in_frames(s.with_paths(scopes, text=False), frames_of(spark, sf_dir)))
     return s.with_text(tree).select("trace_id", "frame_index", "thread_id", "path", "inclusive_us", "exclusive_us", "started_before", "ended_after")
 
 
@@ -419,7 +419,7 @@ du AS (SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM (SELECT trace
 SELECT trace_id, events, coalesce(game_frames, 0) AS game_frames, coalesce(rendering_frames, 0) AS rendering_frames, coalesce(completed_game_frames, 0) AS completed_game_frames, coalesce(threads, 0) AS threads, coalesce(timelines, 0) AS timelines, coalesce(duration_us, 0) AS duration_us FROM e LEFT JOIN fr USING (trace_id) LEFT JOIN th USING (trace_id) LEFT JOIN tl USING (trace_id) LEFT JOIN du USING (trace_id)""",
     "ag11_formats": f"WITH tm AS ({TIMERS.format(each=100)}), fo AS (SELECT p_partkey // 100 AS trace_id, timer_id, arg_max(p_type, p_partkey) AS format, arg_max(p_brand, p_partkey) AS field_name FROM part JOIN tm ON tm.trace_id = p_partkey // 100 AND tm.spec_id = p_partkey % 100 GROUP BY 1, 2), a AS (SELECT p_partkey // 100 AS trace_id, p_type AS format, p_brand AS field_name, min(p_partkey) AS first_seq FROM part GROUP BY 1, 2, 3), i AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY first_seq) - 1 AS id FROM a) SELECT tm.trace_id, spec_id, tm.timer_id, i.id AS metadata_spec_id, format, field_name FROM tm JOIN fo USING (trace_id, timer_id) JOIN i USING (trace_id, format, field_name)",
     "ag10_redefined": f"WITH RECURSIVE {REPLAY} SELECT trace_id, e.key AS spec_id, e.value AS timer_id, timers[e.value].name AS name, timers[e.value].file AS source_file, timers[e.value].line AS source_line FROM each",
-    "ag02_discarded": f"WITH {GAME}, {LOGGED}, lg AS (SELECT trace_id, t_us + CASE WHEN seq % 13 = 0 THEN 1000000000000 ELSE 0 END AS t_us, coalesce(sum(CASE WHEN seq % 13 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM se WHERE seq % 2 = 0), al AS (SELECT trace_id, t_us FROM fe UNION ALL SELECT trace_id, t_us FROM se WHERE seq % 2 = 1 UNION ALL SELECT trace_id, t_us FROM lg WHERE ahead = 0) SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM al GROUP BY 1",
+    "ag02_discarded": f"WITH {GAME}, {LOGGED}, lg AS (SELECT trace_id, thread_id, seq, t_us + CASE WHEN seq % 13 = 0 THEN 1000000000000 ELSE 0 END AS t_us FROM se WHERE seq % 2 = 0), lm AS (SELECT *, t_us < max(t_us) OVER (PARTITION BY thread_id ORDER BY seq) AS back FROM lg), lb AS (SELECT *, sum(CASE WHEN back THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq) AS given_up FROM lm), al AS (SELECT trace_id, t_us FROM fe UNION ALL SELECT trace_id, t_us FROM se WHERE seq % 2 = 1 UNION ALL SELECT trace_id, t_us FROM lb WHERE given_up = 0) SELECT trace_id, greatest(0, max(t_us)) AS duration_us FROM al GROUP BY 1",
     "wn07_clamped": f"WITH {SCOPES.replace('sp AS (SELECT *, lead(t_us)', 'sc AS (SELECT * REPLACE (max(t_us - seq % 5 * 86400000000) OVER (PARTITION BY thread_id ORDER BY seq) AS t_us) FROM sl), sp AS (SELECT *, lead(t_us)').replace('ORDER BY seq) AS end_us FROM sl)', 'ORDER BY seq) AS end_us FROM sc)')} SELECT trace_id, thread_id, scope_id, depth, start_us, end_us, parent_scope_id FROM scopes",
     "wn02_running_cycles": f"WITH {FRAMES2.replace('% 3 = 1 THEN', '% 3 <> 2 THEN')} SELECT * FROM frames2",
     "fn14_texts": f"WITH {GAME}, b AS (SELECT *, greatest(0, end_us - start_us) AS us FROM done), m AS (SELECT trace_id, printf('%.2f ms', median(us) / 1000) AS label FROM b GROUP BY 1) SELECT trace_id, printf('Frame %d: %d.%03d ms', frame_index, us // 1000, us % 1000) AS tooltip, label, CASE WHEN us > 100000000000 THEN 'true' ELSE 'false' END AS long FROM b JOIN m USING (trace_id)",
