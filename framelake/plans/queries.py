@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
@@ -10,6 +10,7 @@ from ..operators import batches, modules
 from ..operators import dimensions as d
 from ..operators import frames as f
 from ..operators import scopes as s
+from ..sources import captures
 from ..storage import saved, workspace
 from . import views
 
@@ -361,6 +362,45 @@ def fn14_texts(spark, sf_dir):
     return bars.join(label, "trace_id").select("trace_id", fields.frame_tooltip().alias("tooltip"), "label", fields.truth("long").alias("long"))
 
 
+def src01_handshakes(spark, sf_dir):
+    h = captures.handshakes(views.capture_files(spark, sf_dir))
+    return h.select(F.col("trace_id").cast("long"), "control_port", F.lower(F.hex("trace_guid")).alias("trace_guid"), "transport", "protocol", "error")
+
+
+def src02_packets(spark, sf_dir):
+    """The packets of each thread put together."""
+    p = captures.packets(views.capture_files(spark, sf_dir))
+    t = p.groupBy("trace_id", "thread_id").agg(F.count("*").alias("packets"), F.sort_array(F.collect_list(F.struct("packet_index", "payload"))).alias("p"))
+    text = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"])).cast("string")
+    return t.select(F.col("trace_id").cast("long"), "thread_id", "packets", text.alias("text"))
+
+
+def src03_definitions(spark, sf_dir):
+    d = captures.event_definitions(captures.packets(views.definition_files(spark, sf_dir)))
+    return d.select(F.col("trace_id").cast("long"), "uid", "logger", "event_name", "flags", "fixed_size", F.size("fields").cast("long").alias("fields"))
+
+
+def src04_events(spark, sf_dir):
+    """The events of captures, in order, with their times."""
+    return _in_order(captures.trace_events(captures.packets(views.capture_logs(spark, sf_dir))).where("thread_id > 1"), "Text")
+
+
+def wn03_times(spark, sf_dir):
+    """The clock of each trace and the base times of its threads, on events without times."""
+    return _in_order(captures.timed(views.raw_log(spark, sf_dir)).where("thread_id > 1"))
+
+
+def _in_order(events, *fields_too):
+    n = F.row_number().over(Window.partitionBy("trace_id", "thread_id").orderBy("seq")).cast("long")
+    more = [F.element_at("fields", x).alias(x.lower()) for x in fields_too]
+    return events.select(F.col("trace_id").cast("long"), "thread_id", n.alias("n"), "event_name", "scope_phase", "cycle", F.round("ts_seconds", 6).alias("ts_seconds"), F.element_at("fields", "Id").cast("long").alias("id"), *more)
+
+
+def fn09_attached(spark, sf_dir):
+    t = d.fold_threads(modules.thread_log(views.attached_log(spark, sf_dir)))
+    return t.select(F.col("trace_id").cast("long"), "thread_id", "name", "priority", "group_name")
+
+
 THREADS = """
 tu AS (SELECT o_custkey // 1000 AS trace_id, o_orderkey AS seq, o_custkey AS thread_id, CASE WHEN o_orderstatus <> 'P' THEN 'Thread' || (o_orderkey % 97) END AS name, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Render' WHEN 'AUTOMOBILE' THEN 'ThreadPool' WHEN 'MACHINERY' THEN 'TaskGraphHigh' WHEN 'HOUSEHOLD' THEN 'TaskGraphNormal' ELSE c_mktsegment END AS group_name FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -402,7 +442,21 @@ UNION ALL SELECT trace_id, step, map_concat(spec_of, MAP {spec: timer}), CASE WH
 fin AS (SELECT trace_id, spec_of, timers FROM st QUALIFY step = max(step) OVER (PARTITION BY trace_id)),
 each AS (SELECT trace_id, timers, unnest(map_entries(spec_of)) AS e FROM fin)"""
 
+CAPTURED = f"""
+ce AS (SELECT user_id // 10 AS trace_id, user_id, event_id AS seq, event_type AS kind, epoch_us(ts) - {views.EPOCH_US} AS t FROM events),
+cs AS (SELECT *, sum(CASE kind WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS st FROM ce),
+cd AS (SELECT *, st - least(0, min(st) OVER (PARTITION BY user_id ORDER BY seq)) AS dep FROM cs),
+cb AS (SELECT *, lag(dep, 1, 0) OVER (PARTITION BY user_id ORDER BY seq) AS bef, nullif(greatest(0, 100 + trace_id + last_value(CASE WHEN kind = 'signup' THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS base FROM cd),
+cc AS (SELECT *, CASE kind WHEN 'view' THEN 17 + coalesce(base, 100 + trace_id) WHEN 'error' THEN t WHEN 'purchase' THEN t ELSE base END AS cycle FROM cb WHERE kind <> 'purchase' OR bef > 0)"""
+CAPTURED_ROWS = "trace_id, CAST(2 + user_id % 10 AS INTEGER) AS thread_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n, CASE kind WHEN 'click' THEN 'Click' WHEN 'signup' THEN 'ThreadTiming' WHEN 'error' THEN 'BeginFrame' ELSE 'View' END AS event_name, CASE kind WHEN 'view' THEN 'Enter' WHEN 'purchase' THEN 'Leave' ELSE 'None' END AS scope_phase, cycle, round(coalesce(cycle / 1e6, 0.0), 6) AS ts_seconds, CASE WHEN kind <> 'purchase' THEN seq END AS id"
+
 SQL = {
+    "src01_handshakes": "SELECT DISTINCT conv_id AS trace_id, CAST(conv_id % 65536 AS INTEGER) AS control_port, md5(CAST(conv_id AS VARCHAR)) AS trace_guid, 4 AS transport, 7 AS protocol, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE text <> ''",
+    "src02_packets": "SELECT conv_id AS trace_id, CAST(turn + 2 AS INTEGER) AS thread_id, CAST(sum(ceil(strlen(text) / 20000)) AS BIGINT) AS packets, string_agg(text, '' ORDER BY text) AS text FROM conversations WHERE text <> '' GROUP BY 1, 2",
+    "src03_definitions": "WITH p AS (SELECT p_partkey // 100 AS trace_id, CAST(20 + p_partkey % 70 AS INTEGER) AS uid, p_brand AS logger, p_type AS event_name, 4 AS flags, p_size % 9 AS n, p_partkey FROM part) SELECT trace_id, uid, logger, event_name, flags, CAST(4 * n AS INTEGER) AS fixed_size, CAST(n AS BIGINT) AS fields FROM p QUALIFY row_number() OVER (PARTITION BY trace_id, uid ORDER BY p_partkey DESC) = 1",
+    "src04_events": f"WITH {CAPTURED} SELECT {CAPTURED_ROWS}, CASE WHEN kind = 'view' THEN 'text ' || seq END AS text FROM cc",
+    "wn03_times": f"WITH {CAPTURED} SELECT {CAPTURED_ROWS} FROM cc WHERE kind <> 'purchase'",
+    "fn09_attached": "SELECT c_custkey // 100 AS trace_id, c_custkey AS thread_id, c_name AS name, 2147483647 AS priority, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS group_name FROM customer",
     "jn02_many_ranges": f"WITH {SCOPES}, rg AS (SELECT trace_id, seq, t_us AS lo, t_us + 604800000000 AS hi, (SELECT max(frame_index) FROM frames x WHERE x.trace_id = se.trace_id AND x.start_us < t_us) AS last FROM se WHERE is_begin) SELECT rg.trace_id, rg.seq, frame_index, CASE WHEN end_us IS NOT NULL THEN greatest(0, end_us - start_us) END AS duration_us FROM rg JOIN frames USING (trace_id) WHERE start_us <= hi AND (start_us >= lo OR (frame_index = last AND coalesce(end_us > lo, true)))",
     "wn11_every_viewport": f"WITH {FRAMES2}, {EVERY} SELECT * FROM every",
     "wn13_every_guide": f"WITH {FRAMES2}, {EVERY}, l AS (SELECT *, '30' AS guide, 1e6 / 30 AS us FROM every UNION ALL SELECT *, '60', 1e6 / 60 FROM every UNION ALL SELECT *, '120', 1e6 / 120 FROM every UNION ALL SELECT *, 'median', median_us FROM every) SELECT trace_id, frame_type, frame_index, guide, round({BAR.replace('hi', 'max_us').replace('lo', 'min_us')}, 6) AS height FROM l",

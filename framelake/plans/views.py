@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +160,112 @@ def redefined_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(k % 7 == 0, "unique").when(k % 7 == 3, "use").otherwise("merged")
     named = rule != "use"
     return p.select(F.floor(k / 100).cast("long").alias("trace_id"), k.alias("seq"), rule.alias("rule"), (k % 100 % 40).cast("long").alias("spec_id"), F.when(named, F.col("p_brand")).alias("name"), F.when(named & (k % 5 != 0), F.col("p_type")).alias("source_file"), F.when(named, F.col("p_size").cast("long")).otherwise(0).alias("source_line"))
+
+
+def _packet(thread: int, body: bytes, squeezed: bool = False, trailed: bool = False) -> bytes:
+    flags = thread | (0x8000 if squeezed else 0) | (0x4000 if trailed else 0)
+    z = struct.pack("<H", len(body)) + pa.compress(body, codec="lz4_raw", asbytes=True) if squeezed else body
+    return struct.pack("<HH", 4 + len(z), flags) + z + bytes(8 if trailed else 0)
+
+
+def _head(port: int, guid: bytes) -> bytes:
+    tags = struct.pack("<HH", 2, port) + struct.pack("<H", 16 | 2 << 8) + guid
+    return struct.pack("<IH", 0x54524332, len(tags)) + tags + bytes([4, 7])
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as captures: a text is the packets of a thread, of 20,000 bytes each, some compressed and some with a
+    trailer."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''")
+    rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").cast("binary").alias("text")))).alias("turns"))
+
+    @F.pandas_udf("binary")
+    def write(conv: pd.Series, guid: pd.Series, turns: pd.Series) -> pd.Series:
+        def one(i, g, rows):
+            parts = ((int(r["turn"]), r["text"][a : a + 20_000]) for r in rows for a in range(0, len(r["text"]), 20_000))
+            return _head(i % 65536, bytes(g)) + b"".join(_packet(t + 2, bytes(x), t % 3 == 0, t % 5 == 0) for t, x in parts)
+
+        return pd.Series([one(int(i), g, r) for i, g, r in zip(conv, guid, turns)])
+
+    guid = F.unhex(F.md5(F.col("conv_id").cast("string")))
+    return rows.select(F.col("conv_id").cast("string").alias("trace_id"), write("conv_id", guid, "turns").alias("content"))
+
+
+#: Event types of events.parquet, and what they are in capture_logs: uid, flags, logger, name and fields (name, offset, size, kind).
+CAPTURED = {
+    "click": (21, 4, "Stat", "Click", (("Id", 0, 8, 3), ("K", 8, 2, 1))),
+    "view": (22, 6, "Cpu", "View", (("Id", 0, 8, 3), ("Text", 0, 0, 0x88))),
+    "signup": (23, 4, "$Trace", "ThreadTiming", (("BaseTimestamp", 0, 8, 3), ("Id", 8, 8, 3))),
+    "error": (24, 0, "Misc", "BeginFrame", (("Cycle", 0, 8, 3), ("Id", 8, 8, 3))),
+}
+
+
+def _definition(uid: int, flags: int, logger: str, name: str, fields: tuple) -> bytes:
+    body = struct.pack("<HBBBB", uid, len(fields), flags, len(logger), len(name)) + b"".join(struct.pack("<BBHHBB", 0, 0, at, n, kind, len(f)) for f, at, n, kind in fields)
+    body += (logger + name + "".join(f for f, *_ in fields)).encode()
+    return struct.pack("<HH", 0, len(body)) + body
+
+
+def _captured(kind: str, i: int, t: int, k: int) -> bytes:
+    """An event's bytes: a click, the begin of a scope (from the thread's base time, with a text), the base time, a frame of
+    its own cycle, or the end of a scope (stamped)."""
+    if kind == "purchase":
+        return struct.pack("<Q", t << 8 | 7 << 1)
+    head = struct.pack("<H", CAPTURED[kind][0] << 1 | 1)
+    if kind == "click":
+        return head + struct.pack("<QH", i, k)
+    if kind == "view":
+        text = f"text {i}".encode()
+        return struct.pack("<Q", 17 << 8 | 8 << 1) + head + struct.pack("<Q", i) + struct.pack("<I", len(text) << 13 | 1 << 8 | 1) + text + b"\x03"
+    return head + (b"" if kind == "signup" else bytes(3)) + struct.pack("<QQ", t, i)
+
+
+def capture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as captures: a trace's definitions and clock, then a packet for each event of its ten threads."""
+    e = _events(spark, sf_dir)
+    rows = e.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("seq", "thread_id", "event_type", "t_us", "spec_id"))).alias("events"))
+
+    @F.pandas_udf("binary")
+    def write(trace: pd.Series, events: pd.Series) -> pd.Series:
+        def one(i, rows):
+            clock = (10, 1, "$Trace", "NewTrace", (("StartCycle", 0, 8, 3), ("CycleFrequency", 8, 8, 3)))
+            shared = _packet(0, _definition(*clock) + struct.pack("<HHQQ", 10, 16, 100 + i, 1_000_000)) + _packet(1, b"".join(_definition(*d) for d in CAPTURED.values()), True)
+            return _head(i % 65536, bytes(16)) + shared + b"".join(_packet(2 + int(r["thread_id"]) % 10, _captured(r["event_type"], int(r["seq"]), int(r["t_us"]), int(r["spec_id"]))) for r in rows)
+
+        return pd.Series([one(int(i), r) for i, r in zip(trace, events)])
+
+    return rows.select(F.col("trace_id").cast("string"), write("trace_id", "events").alias("content"))
+
+
+def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as captures of a hundred event definitions each."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("trace")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", "p_type", "p_size"))).alias("parts"))
+
+    @F.pandas_udf("binary")
+    def write(parts: pd.Series) -> pd.Series:
+        def one(rows):
+            return _head(1, bytes(16)) + b"".join(_packet(int(r["p_partkey"]) % 2, _definition(20 + int(r["p_partkey"]) % 70, 4, r["p_brand"], r["p_type"], tuple((f"f{j}", 4 * j, 4, 2) for j in range(int(r["p_size"]) % 9)))) for r in rows)
+
+        return parts.map(one)
+
+    return rows.select(F.col("trace").cast("string").alias("trace_id"), write("parts").alias("content"))
+
+
+def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of capture_logs as a decoder leaves them, with threads by user."""
+    e = _events(spark, sf_dir).where("event_type <> 'purchase'")
+    kind, text = F.col("event_type"), lambda c: F.col(c).cast("string")
+    fields = F.when(kind == "signup", F.create_map(F.lit("BaseTimestamp"), text("t_us"), F.lit("Id"), text("seq"))).when(kind == "error", F.create_map(F.lit("Cycle"), text("t_us"), F.lit("Id"), text("seq"))).otherwise(F.create_map(F.lit("Id"), text("seq")))
+    named = lambda k: F.create_map(*(F.lit(x) for n, d in CAPTURED.items() for x in (n, d[k])))[kind]
+    rows = e.select(F.col("trace_id").cast("string"), (F.col("seq") + 1).alias("seq"), (F.col("thread_id") % 10 + 2).cast("int").alias("thread_id"), named(2).alias("logger"), named(3).alias("event_name"), F.when(kind == "view", "Enter").otherwise("None").alias("scope_phase"), F.when(kind == "view", F.lit(17).cast("long")).alias("stamp"), (kind == "view").alias("from_base"), (named(1).bitwiseAND(4) > 0).alias("unsynced"), fields.alias("fields"))
+    clock = e.select("trace_id").distinct().select(F.col("trace_id").cast("string"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("thread_id"), F.lit("$Trace").alias("logger"), F.lit("NewTrace").alias("event_name"), F.lit("None").alias("scope_phase"), F.lit(None).cast("long").alias("stamp"), F.lit(False).alias("from_base"), F.lit(False).alias("unsynced"), F.create_map(F.lit("StartCycle"), (F.col("trace_id") + 100).cast("string"), F.lit("CycleFrequency"), F.lit("1000000")).alias("fields"))
+    return rows.unionByName(clock).withColumns({"binary_fields": F.create_map().cast("map<string,binary>"), "attachment": F.lit(None).cast("binary")})
+
+
+def attached_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as created threads whose names, and groups of threads, are attachments."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(F.col("c_custkey") / 100).alias("trace_id"), F.col("c_custkey").alias("thread_id"), F.col("c_custkey").alias("seq"), "c_name", "c_mktsegment")
+    made = _log(c, logger=F.lit("Misc"), event_name=F.lit("CreateThread"), attachment=F.encode(F.concat("c_name", F.lit("\0")), "UTF-16LE"))
+    grouped = c.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1_000_000_000)
+    return made.unionByName(_log(grouped, logger=F.lit("Misc"), event_name=F.lit("SetThreadGroup"), attachment=F.encode(F.concat("c_mktsegment", F.lit("\0\0")), "UTF-8")))

@@ -1,9 +1,9 @@
 """Capture files to tables: handshakes, packets and the event log.
 
 A file is one row of Spark's binaryFile source, so it is read whole by one task (2 GB at most, the bound of that
-source); everything after the packets is dealt by trace and thread. Events of the two threads that carry
-definitions and the clock are decoded for each trace; their result, a row for each trace, goes to the trace's other
-threads by a co-group. A damaged file gives an error row; a damaged packet loses its own rest only.
+source); everything after the packets is dealt by trace and thread. Python takes bytes apart only, to events as they stand;
+clocks, base times and the order of all are joins and windows on the events. The two threads that carry definitions are taken
+apart for each trace; their definitions, a row for each trace, go to the trace's other threads by a co-group. A damaged file gives an error row; a damaged packet loses its own rest only.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions.fields import long_field
+from ..operators.chunks import CHUNK, PART, carried, chunked
 from ..storage import saved, workspace
 
 # Fixed values of the format.
@@ -31,9 +33,10 @@ BATCHES = ("EventBatch", "EventBatchV2", "EventBatchV3")
 
 HANDSHAKE = "trace_id string, control_port int, session_guid binary, trace_guid binary, transport int, protocol int, error string"
 PACKETS = "trace_id string, packet_index long, thread_id int, payload binary, error string"
+RAW = "trace_id string, seq long, thread_id int, logger string, event_name string, scope_phase string, stamp long, from_base boolean, unsynced boolean, fields map<string,string>, binary_fields map<string,binary>, attachment binary"
 EVENTS = "trace_id string, seq long, thread_id int, logger string, event_name string, scope_phase string, ts_seconds double, cycle long, seconds_per_cycle double, fields map<string,string>, binary_fields map<string,binary>, attachment binary"
 DEFINITIONS = "trace_id string, uid int, logger string, event_name string, flags int, fixed_size int, fields array<struct<name:string,offset:int,size:int,kind:int>>"
-SHARED = "bodies array<binary>, start_cycle long, frequency long"
+SHARED = "bodies array<binary>"
 
 
 class Damaged(ValueError):
@@ -158,29 +161,23 @@ class Definition:
 class Event:
     definition: Definition
     phase: str
-    seconds: float
-    cycle: int | None
+    stamp: int | None = None
+    from_base: bool = False
     fields: dict = field(default_factory=dict)
     attachment: bytes = b""
 
 
 class Decoder:
-    """Events of one thread; definitions and clock are shared by the threads of a trace."""
+    """Bytes of one thread to events, without their times: the threads of a trace share definitions."""
 
-    def __init__(self, definitions: dict[int, Definition], start: int = 0, frequency: int = 0):
-        self.definitions, self.start, self.frequency = definitions, start, frequency
+    def __init__(self, definitions: dict[int, Definition]):
+        self.definitions = definitions
         self.bodies: dict[int, bytes] = {}
-        self.base, self.open, self.enter, self.stack, self.rows = 0, None, None, [], []
-
-    def second(self) -> float | None:
-        return 1.0 / self.frequency if self.frequency else None
-
-    def time(self, cycle: int) -> float:
-        return cycle * self.second() if self.frequency else 0.0
+        self.open, self.enter, self.stack, self.rows = None, None, [], []
 
     def begin(self, d: Definition, body: bytes) -> Event:
-        (phase, seconds, cycle), self.enter = self.enter or ("None", 0.0, None), None
-        e = Event(d, phase, seconds, cycle)
+        (phase, *stamp), self.enter = self.enter or ("None", None, False), None
+        e = Event(d, phase, *stamp)
         for name, at, n, kind in d.fields:
             if n and at + n <= len(body) and name:
                 raw, form = body[at : at + n], NUMBERS.get(kind)
@@ -207,29 +204,13 @@ class Decoder:
         return at, False
 
     def emit(self, e: Event) -> None:
-        d, f, rate = e.definition, e.fields, self.second()
-        whole = lambda name: x if isinstance(x := f.get(name), int) else None
-        if e.phase != "Enter" and rate and not e.seconds:
-            if (c := whole("Cycle")) is not None:
-                e.seconds, e.cycle = self.time(c), c
-            elif d.flags & UNSYNCED and self.base:
-                e.seconds, e.cycle = self.time(self.base), self.base
-        if d.logger == "CpuProfiler" and d.name in (*BATCHES, "EndThread"):
-            own = f.pop("Cycle" if d.name == "EndThread" else "BaseCycle", None)
-            e.cycle, rate = e.cycle if own is None else int(own), f.pop("SecondsPerCycle", rate)
-            if d.name != "EndThread" and not e.seconds and e.cycle is not None and rate is not None:
-                e.seconds = e.cycle * rate
-        if (d.logger, d.name) == ("$Trace", "NewTrace"):
-            self.start, self.frequency = whole("StartCycle") or self.start, whole("CycleFrequency") or self.frequency
-        elif (d.logger, d.name) == ("$Trace", "ThreadTiming") and (c := whole("BaseTimestamp")) is not None:
-            self.base = max(0, self.start + c)
         if e.phase == "Enter":
-            self.stack.append(d)
-        self.add(d, e.phase, e.seconds, e.cycle, rate, f, e.attachment)
+            self.stack.append(e.definition)
+        self.add(e.definition, e.phase, e.stamp, e.from_base, e.fields, e.attachment)
 
-    def add(self, d, phase, seconds, cycle, rate, fields, attachment) -> None:
+    def add(self, d, phase, stamp, from_base, fields, attachment) -> None:
         text = {k: str(v) for k, v in fields.items() if not isinstance(v, bytes)}
-        self.rows.append((d.logger, d.name, phase, seconds, cycle, rate, text, {k: v for k, v in fields.items() if isinstance(v, bytes)}, attachment))
+        self.rows.append((d.logger, d.name, phase, stamp, from_base, bool(d.flags & UNSYNCED), text, {k: v for k, v in fields.items() if isinstance(v, bytes)}, attachment))
 
     def shared(self, data: bytes) -> None:
         """A packet of the shared threads: each event has its size, and event 0 defines another."""
@@ -275,14 +256,11 @@ class Decoder:
             raise Damaged(f"unexpected marker {kind}")
         if not 4 <= kind <= 9:
             return at + 1
-        seconds, cycle = 0.0, None
-        if kind > 5:
-            cycle = (number(data, at, "<Q", "stamp") >> 8) + ((self.base or self.start) if kind > 7 else 0)
-            seconds = self.time(cycle)
+        stamp = number(data, at, "<Q", "stamp") >> 8 if kind > 5 else None
         if kind % 2 == 0:
-            self.enter = ("Enter", seconds, cycle)
+            self.enter = ("Enter", stamp, kind > 7)
         elif self.stack:
-            self.add(self.stack.pop(), "Leave", seconds, cycle, self.second(), {}, b"")
+            self.add(self.stack.pop(), "Leave", stamp, kind > 7, {}, b"")
         return at + (8 if kind > 5 else 1)
 
     def run(self, trace, thread, rows, read, phase: int) -> list[tuple]:
@@ -302,16 +280,17 @@ class Decoder:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
-    return out.assign(cycle=out["cycle"].astype("Int64"))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
+    return out.assign(stamp=out["stamp"].astype("Int64"))
 
 
 def decoded(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The event log of packets, with the clock of the shared threads, and a row for each event definition, the last of a uid:
-    its size and its fields. Every packet is decoded once: the shared threads of a trace become one written table of tagged
-    rows, their events and what the other threads need to know of them."""
+    """The event log of packets, with times by the clock of the shared threads, and a row for each event definition, the last
+    of a uid: its size and its fields. Every packet is decoded once: the shared threads of a trace become one written table of
+    tagged rows, their events and what the other threads need to know of them. Events of the shared threads come before
+    those of the others, and what a trace ends with after them."""
     good = parts.where("error is null")
-    tagged = StructType.fromDDL(f"tag string, {EVENTS}, {SHARED}").add("definitions", ArrayType(StructType.fromDDL(DEFINITIONS)))
+    tagged = StructType.fromDDL(f"tag string, {RAW}, {SHARED}").add("definitions", ArrayType(StructType.fromDDL(DEFINITIONS)))
 
     def shared_threads(part: pd.DataFrame) -> pd.DataFrame:
         d, rows, trace = Decoder({}), [], part["trace_id"].iloc[0]
@@ -319,27 +298,76 @@ def decoded(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows += d.run(trace, thread, [(index, data)], d.shared, 0)
         fields = [c.split()[0] for c in DEFINITIONS.split(", ")]
         known = [dict(zip(fields, (trace, x.uid, x.logger, x.name, x.flags, x.size, [(n, at, size, kind) for n, at, size, kind in x.fields]))) for x in d.definitions.values()]
-        head = pd.DataFrame({"tag": ["shared"], "trace_id": [trace], "bodies": [list(d.bodies.values())], "start_cycle": [d.start], "frequency": [d.frequency], "definitions": [known]})
+        head = pd.DataFrame({"tag": ["shared"], "trace_id": [trace], "bodies": [list(d.bodies.values())], "definitions": [known]})
         out = pd.concat([head, _frame(rows).assign(tag="event")]) if rows else head
         out = out.reindex(columns=tagged.names).astype(object)
-        return out.where(out.notna(), None).astype({c: "Int64" for c in ("seq", "thread_id", "cycle", "start_cycle", "frequency")})
+        return out.where(out.notna(), None).astype({c: "Int64" for c in ("seq", "thread_id", "stamp")})
 
     def rest(part: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if part.empty:
             return _frame([])
-        bodies, start, rate = ([], 0, 0) if shared.empty else shared[["bodies", "start_cycle", "frequency"]].iloc[0]
-        known = [Definition.parse(bytes(b)) for b in bodies]
-        d, part = Decoder({x.uid: x for x in known}, int(start), int(rate)), part.sort_values("packet_index")
+        known = [Definition.parse(bytes(b)) for b in ([] if shared.empty else shared["bodies"].iloc[0])]
+        d, part = Decoder({x.uid: x for x in known}), part.sort_values("packet_index")
         return _frame(d.run(part["trace_id"].iloc[0], part["thread_id"].iloc[0], zip(part["packet_index"], part["payload"]), d.packet, 1))
 
     first = good.where(F.col("thread_id").isin(*SHARED_THREADS)).groupBy("trace_id").applyInPandas(shared_threads, tagged)
     first = saved(first, f"{workspace(parts.sparkSession)}/shared")
     others = good.where(~F.col("thread_id").isin(*SHARED_THREADS, SYNC_THREAD))
-    shared = first.where("tag = 'shared'").select(F.col("trace_id").alias("_trace"), "bodies", "start_cycle", "frequency")
+    shared = first.where("tag = 'shared'").select(F.col("trace_id").alias("_trace"), "bodies")
     each = others.select("trace_id", F.col("thread_id").alias("_thread")).distinct().join(shared, F.col("trace_id") == F.col("_trace")).drop("trace_id")
-    later = others.groupBy("trace_id", "thread_id").cogroup(each.groupBy("_trace", "_thread")).applyInPandas(rest, EVENTS)
-    events = first.where("tag = 'event'").select(*later.columns).unionByName(later)
-    return events, first.where("tag = 'shared'").select(F.inline("definitions"))
+    later = others.groupBy("trace_id", "thread_id").cogroup(each.groupBy("_trace", "_thread")).applyInPandas(rest, RAW)
+    raw = saved(first.where("tag = 'event'").select(*later.columns).unionByName(later), f"{workspace(parts.sparkSession)}/raw")
+    return timed(raw), first.where("tag = 'shared'").select(F.inline("definitions"))
+
+
+def clocks(raw: DataFrame) -> DataFrame:
+    """trace_id, start and frequency (null or above 0) that the shared threads of a trace end with."""
+    e = raw.where(_is("$Trace", "NewTrace") & F.col("thread_id").isin(*SHARED_THREADS))
+    return e.groupBy("trace_id").agg(*(F.max_by(c, F.when(c.isNotNull(), F.col("seq"))).alias(n) for n, c in _clock().items()))
+
+
+def _is(logger: str, *names: str) -> Column:
+    return (F.col("logger") == logger) & F.col("event_name").isin(*names)
+
+
+def _clock() -> dict[str, Column]:
+    return {n: F.when(F.nullif(long_field(k), F.lit(0).cast("long")).isNotNull(), long_field(k)) for n, k in (("start", "StartCycle"), ("frequency", "CycleFrequency"))}
+
+
+def _latest(rows: DataFrame, keys: list[str], values: dict[str, Column], size: int) -> DataFrame:
+    """rows with the last value, of those that aren't null, before each row by seq: chunk by chunk, and from earlier chunks."""
+    run = Window.partitionBy(*keys, PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    r = chunked(rows, size).withColumns({f"_{n}": F.when(c.isNotNull(), F.struct("seq", c.alias("v"))) for n, c in values.items()})
+    r = carried(r, keys, **{f"_{n}_before": (F.max, f"_{n}") for n in values})
+    return r.withColumns({n: F.coalesce(F.max(f"_{n}").over(run), f"_{n}_before")["v"] for n in values}).drop(PART, *(x for n in values for x in (f"_{n}", f"_{n}_before")))
+
+
+def timed(raw: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The event log from events without times. The clock is the last one before an event in its thread (the shared threads
+    have one together), else that of its trace; a thread's base time, from its timing events, stamps the later events that
+    are out of sync and have no time, and the scope markers that count from it."""
+    path = workspace(raw.sparkSession)
+    e = raw.withColumn("_of", F.when(F.col("thread_id").isin(*SHARED_THREADS), F.lit(-1)).otherwise(F.col("thread_id")))
+    e = _latest(e, ["trace_id", "_of"], {n: F.when(_is("$Trace", "NewTrace"), c) for n, c in _clock().items()}, size)
+    known = clocks(raw).select("trace_id", F.col("start").alias("_start"), F.col("frequency").alias("_frequency"))
+    e = e.join(known, "trace_id", "left")
+    own = F.col("_of") == -1
+    e = e.withColumns({"start": F.coalesce("start", F.when(~own, F.col("_start")), F.lit(0)), "frequency": F.coalesce("frequency", F.when(~own, F.col("_frequency")))})
+    e = saved(e.drop("_of", "_start", "_frequency"), f"{path}/clock")
+    e = _latest(e, ["trace_id", "thread_id"], {"base": F.when(_is("$Trace", "ThreadTiming"), F.greatest(F.lit(0), F.col("start") + long_field("BaseTimestamp")))}, size)
+    base, rate = F.nullif(F.col("base"), F.lit(0).cast("long")), F.lit(1.0) / F.col("frequency")
+    marked = F.col("stamp") + F.when(F.col("from_base"), F.coalesce(base, F.col("start"))).otherwise(0)
+    plain = F.when(rate.isNotNull(), F.coalesce(long_field("Cycle"), F.when(F.col("unsynced"), base)))
+    cycle = F.when(F.col("scope_phase").isin("Enter", "Leave"), marked).otherwise(plain)
+    # Batches and ends of threads have their own cycles and rates, which are no fields of theirs any more.
+    batch, end = _is("CpuProfiler", *BATCHES), _is("CpuProfiler", "EndThread")
+    cycles = F.coalesce(F.when(batch, long_field("BaseCycle")).when(end, long_field("Cycle")), cycle)
+    rates = F.coalesce(F.when(batch | end, F.element_at("fields", "SecondsPerCycle").try_cast("double")), rate)
+    seconds = F.coalesce(cycle * rate, F.lit(0.0))
+    seconds = F.when(batch & (seconds == 0), F.coalesce(cycles * rates, seconds)).otherwise(seconds)
+    left = F.when(batch | end, F.map_filter("fields", lambda k, _: ~(k.isin("SecondsPerCycle") | (batch & (k == "BaseCycle")) | (end & (k == "Cycle"))))).otherwise(F.col("fields"))
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    return e.select(*names[:6], seconds.alias("ts_seconds"), cycles.alias("cycle"), rates.alias("seconds_per_cycle"), left.alias("fields"), *names[-2:])
 
 
 def trace_events(parts: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
 from ..operators import modules
 from ..storage import saved, workspace
@@ -39,13 +40,13 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, table in tables.items():
         table = table.withColumn("trace", F.xxhash64("trace_id"))
         table.repartition("trace", *_range(table)).write.partitionBy("trace").parquet(f"{path}/{name}/run={run}")
-    written = [spark.read.schema(t.schema).parquet(f"{path}/{n}/run={run}").select(F.lit(n).alias("table"), "trace_id").distinct() for n, t in tables.items()]
-    rows = written[0]
-    for w in written[1:]:
-        rows = rows.unionByName(w)
+    rows = spark.createDataFrame([(n, None, t.schema.json()) for n, t in tables.items()], "table string, trace_id string, schema string")
+    for n, t in tables.items():
+        traces = spark.read.schema(t.schema).parquet(f"{path}/{n}/run={run}").select(F.lit(n).alias("table"), "trace_id").distinct()
+        rows = rows.unionByName(traces.where("trace_id is not null"), allowMissingColumns=True)
     before = _manifest(spark, path)
     version = 1 + ((before.agg(F.max("version")).first()[0] or 0) if before else 0)
-    rows = rows.select("table", "trace_id", F.lit(run).alias("run"), F.lit(version).cast("long").alias("version"))
+    rows = rows.select("table", "trace_id", "schema", F.lit(run).alias("run"), F.lit(version).cast("long").alias("version"))
     rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
@@ -57,22 +58,24 @@ def _range(table: DataFrame) -> list[Column]:
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema("table string, trace_id string, run string, version long").parquet(f"{path}/manifest") if found else None
+    return spark.read.schema("table string, trace_id string, schema string, run string, version long").parquet(f"{path}/manifest") if found else None
 
 
 def current_runs(spark: SparkSession, path: str) -> DataFrame:
-    """table, trace_id and the run that wrote it last."""
+    """table, trace_id and the run that wrote it last; a table's own row, without a trace, has its last schema."""
     m = _manifest(spark, path)
     if m is None:
         raise FileNotFoundError(f"nothing has been written to {path}")
-    return m.groupBy("table", "trace_id").agg(F.max_by("run", F.struct("version", "run")).alias("run"))
+    return m.groupBy("table", "trace_id").agg(F.max_by("run", F.struct("version", "run")).alias("run"), F.max_by("schema", F.struct("version", "run")).alias("schema"))
 
 
 def read_tables(spark: SparkSession, path: str, names: list[str], trace_id: str | None = None) -> dict[str, DataFrame]:
     """The tables as written; of one trace only that one's folders are read."""
     runs, out = current_runs(spark, path), {}
+    schemas = {r["table"]: StructType.fromJson(json.loads(r["schema"])) for r in runs.where(F.col("trace_id").isNull() & F.col("table").isin(*names)).collect()}  # a row for each name
     for name in names:
-        table, run = spark.read.parquet(f"{path}/{name}"), runs.where(F.col("table") == name).select("trace_id", "run")
+        table = spark.read.schema(schemas[name].add("run", "string").add("trace", "long")).parquet(f"{path}/{name}")
+        run = runs.where((F.col("table") == name) & F.col("trace_id").isNotNull()).select("trace_id", "run")
         if trace_id is not None:
             last = run.where(F.col("trace_id") == trace_id).first()
             table = table.where((F.col("run") == (last["run"] if last else "")) & (F.col("trace") == F.xxhash64(F.lit(trace_id))) & (F.col("trace_id") == trace_id))
@@ -86,6 +89,6 @@ def superseded(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """table and run of the folders that no reader needs any more: replaced whole, or left by a killed run."""
     there = None
     for name in names:
-        runs = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table"), "run").distinct()
+        runs = spark.read.schema("run string, trace long").parquet(f"{path}/{name}").select(F.lit(name).alias("table"), "run").distinct()
         there = runs if there is None else there.unionByName(runs)
-    return there.join(current_runs(spark, path).select("table", "run").distinct(), ["table", "run"], "left_anti")
+    return there.join(current_runs(spark, path).where("trace_id is not null").select("table", "run").distinct(), ["table", "run"], "left_anti")

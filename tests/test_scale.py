@@ -2,13 +2,15 @@
 the size of one key."""
 
 import random
+import struct
 
 import pytest
-from test_modules import LOG, Log, batch
+from test_captures import CLOCK, HEAD, SPECS, packet
+from test_modules import Log, batch
 
 from framelake.operators import batches, dimensions, frames, modules, scopes
 from framelake.operators.chunks import PART, chunked
-from framelake.sources import sessions
+from framelake.sources import captures, sessions
 
 EVENTS = "trace_id long, thread_id long, seq long, t_us long, is_begin boolean, spec_id long"
 FRAMES = "trace_id long, frame_type string, frame_index long, start_us long, end_us long"
@@ -280,3 +282,43 @@ def test_unknown_groups_have_one_rule(spark):
     rows = [(1, 1, "Zoo"), (2, 1, "Zoo"), (2, 2, "Render"), (2, 3, None), (3, 1, "zoo"), (3, 2, "Ape")]
     t = spark.createDataFrame(rows, "trace_id long, thread_id long, group_name string").withColumn("group_rank", dimensions.group_rank())
     assert sorted((r.trace_id, r.thread_id, r.group_rank) for r in t.collect()) == [(1, 1, 10), (2, 1, 10), (2, 2, 0), (2, 3, 4294967295), (3, 1, 11), (3, 2, 10)]
+
+
+@pytest.mark.parametrize("size", [1, 9, 10**6])
+def test_times_by_chunks(spark, size):
+    """Clock and base times as a reader that goes through the events one by one would set them."""
+    r, rows = random.Random(6), []
+    for i in range(400):
+        thread = r.choice([0, 1, 5, 5, 6])
+        kind = r.choice(["NewTrace", "ThreadTiming", "X", "X", "X"]) if thread < 2 or r.random() < 0.9 else "X"
+        f = {"NewTrace": {"StartCycle": r.choice(["0", "50"]), "CycleFrequency": r.choice(["0", "1000", "250"])}, "ThreadTiming": {"BaseTimestamp": str(r.randint(-80, 90))}, "X": r.choice([{}, {"Cycle": "77"}])}[kind]
+        phase = r.choice(["None", "None", "Enter", "Leave"]) if kind == "X" else "None"
+        stamp = r.choice([None, 5, 1000]) if phase != "None" else None
+        rows.append(("t", (0 if thread < 2 else 1 << 60) | i, thread, "$Trace" if kind != "X" else "L", kind, phase, stamp, stamp is not None and r.random() < 0.5, r.random() < 0.5, {} if phase == "Leave" else f, {}, None))
+    want, clock, base, last = {}, {}, {}, {}
+    for _, seq, thread, _, kind, phase, stamp, from_base, unsynced, f, *_ in sorted(rows, key=lambda x: x[1]):
+        of = -1 if thread < 2 else thread
+        start, rate = clock.setdefault(of, list(clock.get(-1, [0, 0])))
+        cycle = None
+        if phase != "None":
+            cycle = None if stamp is None else stamp + ((base.get(thread) or start) if from_base else 0)
+        elif rate:
+            cycle = int(f["Cycle"]) if "Cycle" in f else base.get(thread) or None if unsynced else None
+        want[seq] = (cycle, round(cycle / rate, 9) if cycle is not None and rate else 0.0)
+        if kind == "NewTrace":
+            clock[of] = [int(f["StartCycle"]) or start, int(f["CycleFrequency"]) or rate]
+        elif kind == "ThreadTiming":
+            base[thread] = max(0, start + int(f["BaseTimestamp"]))
+    got = captures.timed(spark.createDataFrame(rows, captures.RAW), size)
+    assert {x.seq: (x.cycle, round(x.ts_seconds, 9)) for x in got.collect()} == want
+
+
+def test_a_whole_import_decodes_once(spark, tmp_path):
+    """Files, packets, shared threads, other threads and records: a stage of Python each, and none when tables are written."""
+    (tmp_path / "a.utrace").write_bytes(HEAD + packet(0, CLOCK) + packet(1, SPECS) + packet(5, struct.pack("<HQB", 11 << 1 | 1, 500, 1)))
+    tables = sessions.import_traces(spark, str(tmp_path))
+    plans = {n: t._jdf.queryExecution().optimizedPlan().toString() for n, t in tables.items()}
+    assert {n for n, p in plans.items() if "InPandas" in p or "InArrow" in p} == {"handshakes"}
+    sessions.write_tables(tables, f"{tmp_path}/out")
+    again = sessions.read_tables(spark, f"{tmp_path}/out", list(tables))
+    assert {n: t.count() for n, t in again.items()} == {n: t.count() for n, t in tables.items()}
