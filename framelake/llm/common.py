@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,6 +19,8 @@ from ..storage import saved, workspace  # noqa: F401 (the operators take them fr
 
 #: Most rows of ids or hashes (8 to 24 bytes each) that a join may broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bits of a table of marks, at most: 128 MB as broadcast.
+MARK_BITS = 30
 #: Most bytes of a batch that a session sends to a worker, unless the session sets another bound.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 _held: dict[str, Any] = {}
@@ -49,6 +52,31 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def marked(rows: DataFrame, h: str, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with _marked: false where their hash h is none of the n hashes key of keys; true where it is, and by chance in one
+    of 16 others. A table of bits tells, 16 for each key but 128 MB at most (beyond 2^26 keys more rows are true by chance), so
+    that a scan can hold it whatever the input, and texts that aren't marked need no shuffle."""
+    bits = max(20, min(MARK_BITS, (16 * n).bit_length()))
+    place = lambda c: F.col(c).bitwiseAND((1 << bits) - 1)
+    block = keys.groupBy(F.shiftright(place(key), 15).alias("_block")).agg(F.bitmap_construct_agg(place(key).bitwiseAND(32767)).alias("_bits"))
+    out = rows.withColumns({"_at": place(h).bitwiseAND(32767), "_block": F.shiftright(place(h), 15)}).join(F.broadcast(block), "_block", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1
+    return out.withColumn("_marked", F.coalesce(bit, F.lit(False))).drop("_at", "_block", "_bits")
+
+
+def with_or_without(rows: DataFrame, keys: DataFrame, n: int, pairs: dict[str, str], h: str, kind: str) -> DataFrame:
+    """rows that keys (n rows) have (left_semi), or don't have (left_anti), by null-safe pairs of columns of which h is a hash:
+    by a broadcast of the keys within the bound; beyond it, of the rows only those that are marked are shuffled."""
+    on = lambda left, right: functools.reduce(lambda a, b: a & b, (left[x].eqNullSafe(right[y]) for x, y in pairs.items()))
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on(rows, keys), kind)
+    rows = marked(rows, h, keys, pairs[h], n)
+    some = rows.where("_marked")
+    out = some.join(keys, on(some, keys), kind)
+    return (out if kind == "left_semi" else out.unionByName(rows.where("not _marked"))).drop("_marked")
+
+
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 

@@ -7,8 +7,9 @@ counts as empty. The steps:
 2. each partition sends its sorted distinct hashes, Golomb-Rice coded and cut by owner (a hash range), and marks
    the ones it holds more than once;
 3. each owner answers every message with a bitmap of the hashes that occur elsewhere too;
-4. the partitions read the bitmaps; only the suspect documents' texts are shuffled, pre-aggregated by
-   (hash, text), which compares whole texts byte by byte;
+4. the partitions read the bitmaps; a scan with a table of marks lets the texts with a suspect's hash through, and by
+   chance one of 16 others (more beyond 2^26 suspects), which are shuffled, pre-aggregated by (hash, text), so that
+   whole texts are compared byte by byte;
 5. small tables carry (kept row, group size) back to the suspects.
 
 Ties: of rows with equal text the smallest doc_id stays, a null doc_id last, and of repeated rows with one doc_id
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, packed, same, saved, small, workspace
+from .common import documents, marked, packed, same, saved, small, with_or_without, workspace
 
 #: Documents whose hashes one owner receives, at least; with the root of the input it grows to some million.
 OWNER_ROWS = 200_000
@@ -112,13 +113,13 @@ def exact_groups(docs: DataFrame, path: str) -> DataFrame:
     prints = prints.withColumn("part", F.floor(F.col("part") / -(-parts * owners // MESSAGES)).cast("int"))
     messages = prints.select("part", "h").groupBy("part").applyInPandas(_encoder(owners), "part int, owner long, n int, k int, code binary, own binary")
     bitmaps = messages.groupBy("owner").applyInPandas(_answer, "part int, owner long, bitmap binary")
-    marked = saved(prints.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(_marker(owners), "doc_id long, rid long, h long, sha string, suspect boolean"), f"{path}/marked")
-    suspects = marked.where("suspect")
+    told = saved(prints.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(_marker(owners), "doc_id long, rid long, h long, sha string, suspect boolean"), f"{path}/marked")
+    suspects = told.where("suspect")
     n = suspects.count()
-    # Byte verification: only suspects' texts move, and equal texts of a task have become one row before.
-    ids = suspects.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(small(ids, n), same(docs, ids, "doc_id"), "left_semi").select(normalised().alias("norm"))
-    sets = texts.groupBy(F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), "norm").agg(F.count("*").alias("copies"))
+    # Byte verification: only texts with a suspect's hash move, and equal texts of a task have become one row before.
+    texts = docs.select(normalised().alias("norm")).withColumn("h", F.xxhash64("norm"))
+    texts = marked(texts, "h", suspects, "h", n).where("_marked")
+    sets = texts.groupBy("h", F.sha2("norm", 256).alias("sha"), "norm").agg(F.count("*").alias("copies"))
     verified = saved(sets.groupBy("h", "sha").agg(F.count("*").alias("texts")), f"{path}/verified")
     part = suspects.withColumn("part", F.lit(0).cast("long"))
     clashing = verified.where("texts > 1").select("h", "sha")
@@ -130,7 +131,7 @@ def exact_groups(docs: DataFrame, path: str) -> DataFrame:
     first = part.groupBy(*same_text).agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     first = saved(first.select(*same_text, "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid")), f"{path}/first")
     groups = part.join(small(first, first.count()), same_text).select("doc_id", "rid", "h", "sha", "keep_id", "keep_rid", "group_size")
-    single = marked.where("not suspect").select("doc_id", "rid", "h", "sha", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))
+    single = told.where("not suspect").select("doc_id", "rid", "h", "sha", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))
     return single.unionByName(groups).withColumn("kept", F.col("rid") == F.col("keep_rid"))
 
 
@@ -139,16 +140,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     path = workspace(docs.sparkSession)
     groups = saved(exact_groups(docs, path), f"{path}/groups")
     kept = groups.where("kept").select("doc_id", "h")
-    drop = groups.where("not kept").select("doc_id", "h").distinct()
+    drop = saved(groups.where("not kept").select("doc_id", "h").distinct(), f"{path}/drop")
     both = saved(drop.join(kept, same(drop, kept, "doc_id", "h"), "left_semi"), f"{path}/both")  # repeated rows
     keyed = packed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "k": F.xxhash64(normalised("row.text"))})
 
-    def join(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
-        return left.join(small(right, right.count()), left["id"].eqNullSafe(right["doc_id"]) & (left["k"] == right["h"]), kind)
-
-    out = join(keyed, drop, "left_anti")
-    if not both.isEmpty():
-        out = out.unionByName(join(keyed, both, "left_semi").dropDuplicates(["id", "k"]))
+    pairs = {"id": "doc_id", "k": "h"}
+    out = with_or_without(keyed, drop, drop.count(), pairs, "k", "left_anti")
+    if n := both.count():
+        out = out.unionByName(with_or_without(keyed, both, n, pairs, "k", "left_semi").dropDuplicates(["id", "k"]))
     return out.select("row.*")
 
 

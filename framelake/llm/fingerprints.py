@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_batches, same, saved, small, spark_to_arrow, workspace
+from .common import columns, documents, map_batches, marked, saved, small, spark_to_arrow, workspace
 from .orc_tokens import by_id, parts_for
 
 DIGEST = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -114,9 +114,11 @@ def groups(docs: DataFrame, prints: DataFrame, path: str) -> DataFrame:
     rows share it, once their canonical texts proved equal. member is null, or the document that the row is for."""
     many = prints.groupBy("fingerprint").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id")).where("group_size > 1")
     many = saved(many, f"{path}/many")
-    ids = prints.join(small(many, many.count()), "fingerprint", "left_semi").select("doc_id").distinct()
-    suspects = docs.select(F.col("doc_id").cast("long"), "text")
-    suspects = suspects.join(small(ids, ids.count()), same(suspects, ids, "doc_id"), "left_semi")
+    ids = prints.join(small(many, many.count()), "fingerprint", "left_semi").select(F.xxhash64("doc_id").alias("h")).distinct()
+    ids = saved(ids, f"{path}/suspects")
+    # Texts that are marked by chance have a fingerprint of their own.
+    suspects = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("doc_id"))
+    suspects = marked(suspects, "h", ids, "h", ids.count()).where("_marked").select("doc_id", "text")
 
     def fold(b):
         canon = [canonical(t or "") for t in b.column("text").to_pylist()]

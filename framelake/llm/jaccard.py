@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, documents, give_back, held, map_batches, packed, saved, slices, small, spark_to_arrow, text_key, workspace
+from .common import columns, documents, give_back, held, map_batches, marked, packed, saved, slices, small, spark_to_arrow, text_key, with_or_without, workspace
 from .components import components
 
 #: Counters of the sketch: 64 MB in a task, 16 MB as broadcast, whatever the input.
@@ -301,8 +301,10 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
         keep = pa.array(np.flatnonzero(same))
         return {c: b.column(c).take(keep) for c in ("search", "side", "sid", "n")} | {"z": [z.compress(t.encode()) for t, ok in zip(texts, same) if ok]}
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(small(tasks, tasks.count()), texts["doc_id"].eqNullSafe(F.col("_id")))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("doc_id"))
+    n_tasks = tasks.count()
+    texts = marked(texts, "h", tasks.select(F.xxhash64("_id").alias("h")), "h", n_tasks).where("_marked")  # of sets in no search none is shuffled
+    texts = texts.join(small(tasks, n_tasks), texts["doc_id"].eqNullSafe(F.col("_id")))
     held = map_batches(texts.select("search", "side", "sid", "n", "text"), squeeze, "search long, side int, sid long, n long, z binary")
     links = held.groupBy("search").applyInPandas(_searcher(k, top, of), "a long, b long")
     # From set ids to the smallest doc_id of each set, and of each component of sets.
@@ -326,7 +328,7 @@ def one_of_each(docs: DataFrame, k: int = 5, top: int = 80, of: int = 100) -> Da
     drop = groups.join(first, (groups["node"] == first["node"]) & groups["doc_id"].eqNullSafe(first["doc_id"]) & (groups["key"] == first["key"]), "left_anti")
     drop = saved(drop.select(F.col("doc_id").alias("id"), "key").distinct(), f"{path}/drop")
     rows = packed(docs).withColumns({"id_": F.col("row.doc_id").cast("long"), "key_": text_key("row.text")})
-    return rows.join(small(drop, drop.count()), rows["id_"].eqNullSafe(drop["id"]) & (rows["key_"] == drop["key"]), "left_anti").select("row.*")
+    return with_or_without(rows, drop, drop.count(), {"id_": "id", "key_": "key"}, "key_", "left_anti").select("row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
