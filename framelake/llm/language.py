@@ -196,12 +196,15 @@ def fitted(docs: DataFrame) -> Model:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents that get a language, mixed ones too, whatever its share; those without letters go. A label is relative to
-    the others, so texts in a language that wasn't learned stay. Where nothing was learned, all texts with letters stay."""
+    """The documents that get a language, mixed ones too, whatever its share; those without letters go. Of those that have no
+    lang, lang becomes the one they got; a lang that is there stays. A label is relative to the others, so texts in a language
+    that wasn't learned stay. Where nothing was learned, all texts with letters stay as they are."""
     model, rows = fitted(docs), packed(docs, "text")
     if not model.langs:
         return rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select("row.*")  # what ``letters`` takes
-    return label(rows, model).where("lang_pred <> 'und'").select("row.*")
+    own = lambda c: F.col(f"row.`{c}`")
+    told = label(rows, model).where("lang_pred <> 'und'")
+    return told.select(*((F.coalesce(own(c), F.col("lang_pred")) if c == "lang" else own(c)).alias(c) for c in docs.columns))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from framelake.llm import common, exact, fingerprints, jaccard
+from framelake.llm import common, exact, fingerprints, jaccard, language
 from framelake.llm.common import marked, with_or_without, workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,3 +70,12 @@ def test_only_marked_texts_are_shuffled_to_be_compared(spark, monkeypatch):
     exact.exact_groups(spark.createDataFrame(corpus(), SCHEMA), workspace(spark)).count()
     (plan,) = [p for path, p in plans if path.endswith("verified")]
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "getbit" in plan
+
+
+def test_documents_without_a_language_get_theirs(spark):
+    words = {"de": "schule wasser baum", "en": "walk light under", "fr": "mais vous dans"}
+    rows = [(i, f"{words[k]} {words[k]}", k) for i in range(60) for k in [list(words)[i % 3]]]
+    rows += [(100 + i, f"{words[k]} 12 {words[k]} {other}", None) for i, (k, other) in enumerate((("de", "walk"), ("en", "vous"), ("fr", "")))]
+    rows += [(200, words["de"], "en"), (201, "12", None)]
+    got = {r.doc_id: r.lang for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: k for i, _, k in rows if k} | {100: "de", 101: "en", 102: "fr"}
