@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved, workspace
+
 # The display order of the known thread groups.
 GROUPS = ["Render", "AsyncLoading", "TaskGraphHigh", "TaskGraphNormal", "TaskGraphLow", "LargeThreadPool", "ThreadPool", "BackgroundThreadPool", "IOThreadPool"]
 NO_GROUP, NO_PRIORITY = 4294967295, 2147483647
@@ -42,39 +43,36 @@ def ordered_threads(threads: DataFrame) -> DataFrame:
 
 def replay_timers(specs: DataFrame) -> DataFrame:
     """Of spec events (trace_id, seq, spec_id, name, source_file, source_line), the timer that each spec means, with its
-    name and place at the end. A trace's specs are few and their effects depend on the order, so a trace is replayed.
+    name and place at the end.
 
     A column rule may tell merged specs (the default; one of a known name joins its timer) from unique ones and from
-    uses, which make a timer <unknown N> of a spec that isn't defined yet. A null file keeps the former."""
-
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        timers, by_name, of = {}, {}, {}
-        for r in part.sort_values("seq").itertuples():
-            timer, rule = of.get(r.spec_id), getattr(r, "rule", "merged")
-            place = {"name": r.name, "source_line": r.source_line} | ({} if r.source_file is None else {"source_file": r.source_file})
-            if rule != "merged":
-                if timer is None:
-                    timer = len(timers) + 1
-                    timers[timer] = {"name": f"<unknown {r.spec_id}>", "source_file": None, "source_line": 0}
-                    of[r.spec_id] = timer
-                if rule == "unique":
-                    timers[timer].update(place)
-                continue
-            if r.name in by_name:
-                alias = timer is None
-                timer = by_name[r.name] if alias else timer
-                if not alias:
-                    timers[timer].update(place)
-            elif timer is None:
-                timer = len(timers) + 1
-                timers[timer] = {"name": r.name, "source_file": r.source_file, "source_line": r.source_line}
-            else:
-                timers[timer].update(place)
-            of[r.spec_id] = timer
-            by_name.setdefault(r.name, timer)
-        return pd.DataFrame([(part["trace_id"].iloc[0], s, t, *timers[t].values()) for s, t in of.items()], columns=["trace_id", "spec_id", "timer_id", "name", "source_file", "source_line"])
-
-    return specs.groupBy("trace_id").applyInPandas(replay, f"trace_id {specs.schema['trace_id'].dataType.simpleString()}, spec_id long, timer_id long, name string, source_file string, source_line long")
+    uses, which make a timer <unknown N> of a spec that isn't defined yet. A null file keeps the former.
+
+    A spec keeps the timer that its first event gives it: its own, or, if that event merges it under a name that was known
+    by then, that of the spec which had the name first. So specs point to specs of earlier events, and pointer doubling
+    leads all of them to the ones whose timers they are, a few rounds for any number of specs. A timer's name and place are
+    those of the last event that updates it: any but a use and a first event that only joined."""
+    path = workspace(specs.sparkSession)
+    rule = F.col("rule") if "rule" in specs.columns else F.lit("merged")
+    e = saved(specs.select("trace_id", "seq", "spec_id", "name", "source_file", F.col("source_line").cast("long"), rule.alias("rule")), f"{path}/specs")
+    spec = ["trace_id", "spec_id"]
+    first = e.groupBy(*spec).agg(F.min("seq").alias("first"), F.min_by(F.struct("rule", "name"), "seq").alias("f"))
+    known = e.where("rule = 'merged'").groupBy(F.col("trace_id").alias("_trace"), F.col("name").alias("_name")).agg(F.min("seq").alias("_seq"), F.min_by("spec_id", "seq").alias("up"))
+    joins = (F.col("trace_id") == F.col("_trace")) & F.col("f.name").eqNullSafe(F.col("_name")) & (F.col("f.rule") == "merged") & (F.col("_seq") < F.col("first"))
+    now, k = saved(first.join(known, joins, "left").select(*spec, "first", F.coalesce("up", "spec_id").alias("up"), F.col("up").isNotNull().alias("joined")), f"{path}/root-0"), 0
+    while True:
+        above = now.select("trace_id", F.col("spec_id").alias("up"), F.col("up").alias("_up"))
+        now, k = saved(now.join(above, ["trace_id", "up"]).select(*spec, "first", F.col("_up").alias("up"), "joined", (F.col("_up") != F.col("up")).alias("moved")), f"{path}/root-{k + 1}"), k + 1
+        if now.where("moved").isEmpty():
+            break
+    own = now.where("up = spec_id").select("trace_id", F.col("spec_id").alias("up"), F.row_number().over(Window.partitionBy("trace_id").orderBy("first")).cast("long").alias("timer_id"))
+    of = now.select(*spec, "up", "first", "joined").join(own, ["trace_id", "up"])
+    updates = e.join(of, spec).where("rule <> 'use' AND NOT (joined AND seq = first)")
+    last = updates.groupBy("trace_id", "timer_id").agg(F.max_by(F.struct("name", "source_line"), "seq").alias("l"), F.max_by("source_file", F.when(F.col("source_file").isNotNull(), F.col("seq"))).alias("source_file"))
+    out = of.join(last, ["trace_id", "timer_id"], "left")
+    # A timer that only uses have made has the number of its spec.
+    unknown = F.format_string("<unknown %d>", "up")
+    return out.select(*spec, "timer_id", F.when(F.col("l").isNull(), unknown).otherwise(F.col("l.name")).alias("name"), "source_file", F.coalesce("l.source_line", F.lit(0).cast("long")).alias("source_line"))
 
 
 def fold_metadata(rows: DataFrame) -> DataFrame:

@@ -322,3 +322,43 @@ def test_a_whole_import_decodes_once(spark, tmp_path):
     sessions.write_tables(tables, f"{tmp_path}/out")
     again = sessions.read_tables(spark, f"{tmp_path}/out", list(tables))
     assert {n: t.count() for n, t in again.items()} == {n: t.count() for n, t in tables.items()}
+
+
+def replayed(events):
+    """The timers of a trace, an event at a time."""
+    timers, by_name, of = [], {}, {}
+    for _, _, spec, name, file, line, rule in sorted(events, key=lambda x: x[1]):
+        new, known = spec not in of, rule == "merged" and name in by_name
+        if new:
+            of[spec] = by_name[name] if known else len(timers)
+            if not known:
+                timers.append([f"<unknown {spec}>", None, 0])
+        if rule != "use" and not (new and known):
+            timers[of[spec]] = [name, file or timers[of[spec]][1], line]
+        if rule == "merged":
+            by_name.setdefault(name, of[spec])
+    return {s: (t + 1, *timers[t]) for s, t in of.items()}
+
+
+@pytest.mark.parametrize("names", [4, 40])
+def test_timers_of_random_logs(spark, names):
+    r, rows = random.Random(names), []
+    for trace in range(12):
+        for seq in range(120):
+            rule = r.choice(["merged", "merged", "merged", "unique", "use"])
+            named = rule != "use"
+            rows.append((trace, seq, r.randint(0, 35), f"n{r.randint(0, names)}" if named else None, r.choice([None, "a.cpp", "b.cpp"]) if named else None, r.randint(1, 9) if named else 0, rule))
+    got = dimensions.replay_timers(spark.createDataFrame(rows, "trace_id long, seq long, spec_id long, name string, source_file string, source_line long, rule string"))
+    assert {(x.trace_id, x.spec_id): (x.timer_id, x.name, x.source_file, x.source_line) for x in got.collect()} == {(t, s): v for t in range(12) for s, v in replayed([x for x in rows if x[0] == t]).items()}
+    assert "Pandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_chain_of_joined_specs_takes_few_rounds(spark, monkeypatch):
+    """Each spec takes the name that the one before got later on."""
+    rows = []
+    for i in range(300):
+        rows += [(1, 2 * i, i, f"n{i}", None, 1, "merged"), (1, 2 * i + 1, i, f"n{i + 1}", None, 1, "merged")]
+    saves = []
+    monkeypatch.setattr(dimensions, "saved", lambda df, path, save=dimensions.saved: saves.append(path) or save(df, path))
+    got = dimensions.replay_timers(spark.createDataFrame(rows, "trace_id long, seq long, spec_id long, name string, source_file string, source_line long, rule string"))
+    assert {x.timer_id for x in got.collect()} == {1} and len(saves) <= 13
