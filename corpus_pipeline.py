@@ -15,7 +15,7 @@ from framelake.llm.tokens import tokenizer_path
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents that aren't held out; texts without letters go, those of several languages
-    stay."""
+    stay, and those without a language get theirs."""
     return language.identified(docs)
 
 
