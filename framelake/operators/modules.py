@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as f
 from ..storage import saved, workspace
 from . import batches, dimensions, frames, scopes
+from .chunks import CHUNK, carried, chunked, running
 
 Tables = dict[str, DataFrame]
 
@@ -30,7 +31,7 @@ def micros(seconds: Column) -> Column:
     return F.round(seconds * 1_000_000).cast("long")
 
 
-def frame_log(events: DataFrame) -> DataFrame:
+def frame_log(events: DataFrame, size: int = CHUNK) -> DataFrame:
     """trace_id, frame_type, seq, t_us, is_begin of frame events. The time is the event's own, else that of its cycle, else of
     the running sum of the cycles in attachments (one sum for the render events by name, one for all others); events
     without any are left out."""
@@ -38,8 +39,12 @@ def frame_log(events: DataFrame) -> DataFrame:
     cycle, rate = f.long_field("Cycle"), F.col("seconds_per_cycle")
     e = e.withColumn("_own", F.when(F.col("ts_seconds") > 0, F.col("ts_seconds")).otherwise(cycle * rate))
     runs = F.col("_own").isNull() & rate.isNotNull() & (F.length("attachment") > 0)
-    sums = Window.partitionBy("trace_id", F.col("event_name").endswith("RenderFrame")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_sum", F.sum(F.when(runs, f.varint("attachment"))).over(sums))
+    # Sums run chunk by chunk, so that a trace's frame events fall to many tasks.
+    kind = ["trace_id", "_kind"]
+    e = chunked(e, size).withColumns({"_kind": F.col("event_name").endswith("RenderFrame"), "_runs": runs, "_step": F.when(runs, f.varint("attachment"))})
+    e = carried(e.withColumn("_run", F.sum("_step").over(running(kind))), kind, _before=(F.sum, "_step"))
+    e = e.withColumn("_sum", F.coalesce("_run", F.lit(0).cast("long")) + F.coalesce("_before", F.lit(0).cast("long")))
+    runs = F.col("_runs")
     time = F.coalesce(F.col("_own"), F.when(runs, F.col("_sum") * rate))
     e = e.select("trace_id", f.frame_type().alias("frame_type"), "seq", micros(time).alias("t_us"), F.col("event_name").startswith("Begin").alias("is_begin"))
     return e.where("t_us is not null")

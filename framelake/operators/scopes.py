@@ -78,11 +78,11 @@ def close_open(scopes: DataFrame, duration: DataFrame, ends: DataFrame | None =
     s = scopes.join(duration, "trace_id")
     close = F.col("duration_us")
     if ends is not None:
-        last = F.max(F.greatest("start_us", F.coalesce("end_us", "start_us"))).over(Window.partitionBy(*THREAD))
-        s = s.join(ends, THREAD, "left")
-        close = F.when(F.col("thread_end_us").isNull(), close).otherwise(F.greatest(F.col("thread_end_us"), last))
+        last = scopes.groupBy(*THREAD).agg(F.max(F.greatest("start_us", F.coalesce("end_us", "start_us"))).alias("_last"))
+        s = s.join(ends.join(last, THREAD).select(*THREAD, F.greatest("thread_end_us", "_last").alias("_thread")), THREAD, "left")
+        close = F.coalesce("_thread", close)
     s = s.withColumn("_close", close)
-    return s.withColumn("is_open", F.col("end_us").isNull()).withColumn("end_us", F.coalesce("end_us", "_close")).drop("_close", "duration_us", "thread_end_us")
+    return s.withColumn("is_open", F.col("end_us").isNull()).withColumn("end_us", F.coalesce("end_us", "_close")).drop("_close", "duration_us", "_thread")
 
 
 def merge_key(scopes: DataFrame, merge_by: str = "ref") -> Column:

@@ -362,3 +362,18 @@ def test_a_chain_of_joined_specs_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(dimensions, "saved", lambda df, path, save=dimensions.saved: saves.append(path) or save(df, path))
     got = dimensions.replay_timers(spark.createDataFrame(rows, "trace_id long, seq long, spec_id long, name string, source_file string, source_line long, rule string"))
     assert {x.timer_id for x in got.collect()} == {1} and len(saves) <= 13
+
+
+@pytest.mark.parametrize("size", [1, 5, 10**6])
+def test_running_cycles_by_chunks(spark, size):
+    from test_modules import varint
+
+    r, log, at, want = random.Random(3), Log(spark), {}, []
+    for i in range(120):
+        name, own, step = r.choice(["BeginFrame", "EndFrame", "BeginRenderFrame"]), r.random() < 0.3, r.randint(0, 400)
+        log.add(name, "Misc", ts=i / 10 + 1 if own else 0.0, rate=0.001, data=varint(step))
+        kind = name.endswith("RenderFrame")
+        if not own:
+            at[kind] = at.get(kind, 0) + step
+        want.append(100_000 * i + 1_000_000 if own else 1000 * at[kind])
+    assert [x.t_us for x in modules.frame_log(log.frame(), size).orderBy("seq").collect()] == want
