@@ -13,7 +13,8 @@ pointer doubling. A very long conversation is spread by hash for all that; only
 reply order it is sorted in one task, which spills.
 
 Null text is empty; a null conv_id or turn is an own conversation or turn that nothing links to. Rows with the same
-conv_id and turn are kept each and share their links. An empty table gives no row.
+conv_id and turn are kept each and share their links. Columns other than conv_id, turn, role and text are left out. Of a very long
+message a run of lines is hashed at a time. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -87,10 +88,11 @@ def _runs(rows: DataFrame) -> DataFrame:
     def run(b):
         conv, turn, out = [], [], []
         for c, t, own, *sizes in zip(*(b.column(n).to_pylist() for n in ("conv_id", "turn", "own", "lines", "paragraphs"))):
-            found = {" ".join(x[i : i + n]) for x, many in zip((_lines(own), _paragraphs(own)), sizes) for n in many for i in range(len(x) - n + 1)}
+            # One run's text at a time: only hashes are kept.
+            found = {_hash(" ".join(x[i : i + n])) for x, many in zip((_lines(own), _paragraphs(own)), sizes) for n in many for i in range(len(x) - n + 1)}
             conv += [c] * len(found)
             turn += [t] * len(found)
-            out += map(_hash, sorted(found))
+            out += found
         return {"conv_id": conv, "turn": turn, "h": out}
 
     return map_batches(asked, run, "conv_id long, turn long, h long")
@@ -129,8 +131,9 @@ def chats(linked: DataFrame) -> DataFrame:
     the text without quotes. A conversation is sorted, which spills, and numbered row by row. A null conv_id or turn is on
     its own: position 1, or behind the others."""
     order = Window.partitionBy("conv_id").orderBy(F.col("thread").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own")
-    position = F.when(F.col("conv_id").isNull(), F.lit(1)).otherwise(F.row_number().over(order)).cast("long")
-    return linked.withColumns({"position": position, "line": F.concat_ws(": ", "role", "own")})
+    told = linked.where("conv_id is not null").withColumn("position", F.row_number().over(order).cast("long"))
+    out = told.unionByName(linked.where("conv_id is null").withColumn("position", F.lit(1).cast("long")))  # in no window, however many they are
+    return out.withColumn("line", F.concat_ws(": ", "role", "own"))
 
 
 def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, documents, saved, small, workspace
+from .common import BROADCAST_ROWS, documents, packed, saved, small, workspace
 
 #: Bytes of text in a shard.
 LIMIT = 32 << 20
@@ -32,8 +33,18 @@ def _prefix(depth: int) -> Column:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), h and bytes."""
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), 64 - BITS)
-    return docs.withColumn("h", h).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = packed(docs, "doc_id", "text")
+    return rows.select("row", h.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def folder(columns: list[str]) -> str:
+    """The name of the column that tells a document's shard: shard_id, with a _ for each such name that the documents have."""
+    name = "shard_id"
+    while name in columns:
+        name += "_"
+    return name
 
 
 def directory(rows: DataFrame, limit: int, path: str) -> DataFrame:
@@ -71,18 +82,19 @@ def shard(docs: DataFrame, out: str, limit: int = LIMIT) -> DataFrame:
     depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # 63 at most
     # A document's bucket is the one of its prefixes that is in the directory.
     own = F.explode(F.array(*(_prefix(d) for d in sorted(depths)))) if depths else F.lit(0).cast("long")
-    names = buckets.select(F.col("bucket").alias("shard_id"))
+    names, name = buckets.select(F.col("bucket").alias("shard")), folder(docs.columns)
     if buckets.count() <= BROADCAST_ROWS:
-        placed = rows.drop("bytes").withColumn("shard_id", own).join(F.broadcast(names), "shard_id")
+        placed = rows.withColumn("shard", own).join(F.broadcast(names), "shard")
     else:  # a row for each prefix: of hashes, not of texts
-        found = saved(keys.select("h").distinct().withColumn("shard_id", own).join(names, "shard_id"), f"{out}/found")
-        placed = rows.drop("bytes").join(found, "h")
-    placed.drop("h").repartition("shard_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{out}/shards")
+        found = saved(keys.select("h").distinct().withColumn("shard", own).join(names, "shard"), f"{out}/found")
+        placed = rows.join(found, "h")
+    placed.select("row.*", F.col("shard").alias(name)).repartition(name).write.option("compression", "zstd").partitionBy(name).parquet(f"{out}/shards")
     return buckets
 
 
 def read_shards(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, shard_id long").parquet(f"{out}/shards")
+    """The documents with shard_id, or as ``folder`` names it."""
+    return spark.read.schema(f"{schema}, {folder(StructType.fromDDL(schema).names)} long").parquet(f"{out}/shards")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from framelake.llm import common, exact, fingerprints, jaccard, language
+from framelake.llm import common, exact, fingerprints, jaccard, language, quotes, sharding
 from framelake.llm.common import marked, with_or_without, workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,3 +79,68 @@ def test_documents_without_a_language_get_theirs(spark):
     rows += [(200, words["de"], "en"), (201, "12", None)]
     got = {r.doc_id: r.lang for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got == {i: k for i, _, k in rows if k} | {100: "de", 101: "en", 102: "fr"}
+
+
+def test_shards_of_documents_with_the_same_names(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "'mine' AS h", "id AS bytes", "concat('s', id) AS shard_id", "1 AS row")
+    out = workspace(spark)
+    buckets = sharding.shard(docs, out, limit=2000)
+    got = sharding.read_shards(spark, out, "doc_id long, text string, h string, bytes long, shard_id string, row int")
+    assert got.columns[-1] == "shard_id_" and sorted(map(tuple, got.drop("shard_id_").collect())) == sorted(map(tuple, docs.collect()))
+    sizes = {r["shard_id_"]: 50 * r["count"] for r in got.groupBy("shard_id_").count().collect()}
+    assert sizes == {b.bucket: b.bytes for b in buckets.collect()} and len(sizes) > 5
+
+
+def brute_links(rows):
+    """Every quoted passage against every earlier turn of its conversation: all its text, its paragraphs and lines, and their
+    runs."""
+    out = []
+    for conv, turn, _, text in rows:
+        own, quoted = quotes.parse(text or "")
+        hits = []
+        for level, passage in quoted:
+            want, at = quotes.normal(passage), None
+            for conv2, turn2, _, text2 in rows:
+                if conv is None or conv2 != conv or turn is None or turn2 is None or turn2 >= turn or not want:
+                    continue
+                whole = quotes.parse(text2 or "")[0]
+                parts = [quotes._lines(whole), quotes._paragraphs(whole)]
+                runs = {quotes.normal(whole)} | {" ".join(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+                sizes = [len(quotes._lines(passage)), len(quotes._paragraphs(passage))]
+                allowed = {quotes.normal(whole)} | {x for p in parts for x in p} | {" ".join(p[i : i + n]) for p, n in zip(parts, sizes) for i in range(len(p) - n + 1)}
+                if want in runs & allowed:
+                    at = max(at or 0, turn2)
+            hits.append((level, want, at))
+        hits = {h for h in hits if h[1]}
+        first = [at for level, _, at in hits if level == 1 and at is not None]
+        deep = [at for _, _, at in hits if at is not None]
+        out.append((conv, turn, own, sum(quotes.normal(q) != "" for _, q in quoted), len(deep), max(first or deep, default=None)))
+    return sorted(out, key=str)
+
+
+def test_links_of_generated_quotes(spark):
+    r, rows = random.Random(9), []
+    for conv in range(12):
+        texts = []
+        for turn in range(9):
+            lines = [f"Line {r.randint(0, 30)} of  {r.choice('abc')}" if r.random() < 0.85 else "" for _ in range(r.randint(1, 7))]
+            if texts and r.random() < 0.8:
+                source = r.choice(texts).split("\n")
+                a = r.randint(0, len(source) - 1)
+                mark = r.choice(["> ", ">", "> > "])
+                lines = [mark + x.upper() for x in source[a : a + r.randint(1, 4)]] + lines
+            texts.append("\n".join(lines))
+            rows.append((conv if conv else None, turn, "user", texts[-1]))
+    rows += [(1, None, "user", "> x"), (1, 3, "user", rows[12][3]), (2, 20, None, None), (2, 21, "a", "")]
+    chat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = quotes.link(chat, workspace(spark))
+    got = sorted(((x.conv_id, x.turn, x.own, x.n_quotes, x.n_linked, x.reply_to) for x in linked.collect()), key=str)
+    assert got == brute_links(rows) and sum(x[5] is not None for x in got) > 30
+    assert {x.position for x in quotes.chats(linked).where("conv_id is null").collect()} == {1}
+
+
+def test_a_long_message_in_a_conversation_of_long_quotes(spark):
+    lines = [f"line {i} of a long message" for i in range(3000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join("> " + x for x in lines[500:2000]) + "\nyes"), (1, 2, "user", "\n".join("> " + x for x in lines[1:4]))]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), workspace(spark)).collect()
+    assert {x.turn: x.reply_to for x in got} == {0: None, 1: 0, 2: 0}
