@@ -15,7 +15,7 @@ PART = "_chunk"
 
 
 def chunked(rows: DataFrame, size: int = CHUNK, seq: str = "seq") -> DataFrame:
-    return rows.withColumn(PART, F.floor(F.col(seq) / size).cast("long"))
+    return rows.withColumn(PART, F.expr(f"CAST({seq} AS BIGINT) DIV {size}"))
 
 
 def running(keys: list[str], seq: str = "seq") -> WindowSpec:
