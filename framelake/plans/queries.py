@@ -10,7 +10,7 @@ from ..operators import batches, modules
 from ..operators import dimensions as d
 from ..operators import frames as f
 from ..operators import scopes as s
-from ..sources import captures
+from ..sources import captures, sessions
 from ..storage import saved, workspace
 from . import views
 
@@ -396,6 +396,16 @@ def _in_order(events, *fields_too):
     return events.select(F.col("trace_id").cast("long"), "thread_id", n.alias("n"), "event_name", "scope_phase", "cycle", F.round("ts_seconds", 6).alias("ts_seconds"), F.element_at("fields", "Id").cast("long").alias("id"), *more)
 
 
+def snk01_replaced(spark, sf_dir):
+    """The scopes of all traces written, then those of even ones again, with other specs: only these are replaced."""
+    path = f"{workspace(spark)}/tables"
+    pairs = saved(s.pair_scopes(views.scope_events(spark, sf_dir)).withColumn("trace_id", F.col("trace_id").cast("string")), f"{workspace(spark)}/scopes")
+    sessions.write_tables({"scopes": pairs}, path)
+    sessions.write_tables({"scopes": pairs.where("trace_id % 2 = 0").withColumn("spec_id", F.col("spec_id") + 1000)}, path)
+    scopes = sessions.read_tables(spark, path, ["scopes"])["scopes"]
+    return scopes.select(F.col("trace_id").cast("long"), "thread_id", "scope_id", "depth", "spec_id", "start_us", "end_us")
+
+
 def fn09_attached(spark, sf_dir):
     t = d.fold_threads(modules.thread_log(views.attached_log(spark, sf_dir)))
     return t.select(F.col("trace_id").cast("long"), "thread_id", "name", "priority", "group_name")
@@ -456,6 +466,7 @@ SQL = {
     "src03_definitions": "WITH p AS (SELECT p_partkey // 100 AS trace_id, CAST(20 + p_partkey % 70 AS INTEGER) AS uid, p_brand AS logger, p_type AS event_name, 4 AS flags, p_size % 9 AS n, p_partkey FROM part) SELECT trace_id, uid, logger, event_name, flags, CAST(4 * n AS INTEGER) AS fixed_size, CAST(n AS BIGINT) AS fields FROM p QUALIFY row_number() OVER (PARTITION BY trace_id, uid ORDER BY p_partkey DESC) = 1",
     "src04_events": f"WITH {CAPTURED} SELECT {CAPTURED_ROWS}, CASE WHEN kind = 'view' THEN 'text ' || seq END AS text FROM cc",
     "wn03_times": f"WITH {CAPTURED} SELECT {CAPTURED_ROWS} FROM cc WHERE kind <> 'purchase'",
+    "snk01_replaced": f"WITH {SCOPES} SELECT trace_id, thread_id, scope_id, depth, CASE WHEN trace_id % 2 = 0 THEN spec_id + 1000 ELSE spec_id END AS spec_id, start_us, end_us FROM scopes",
     "fn09_attached": "SELECT c_custkey // 100 AS trace_id, c_custkey AS thread_id, c_name AS name, 2147483647 AS priority, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS group_name FROM customer",
     "jn02_many_ranges": f"WITH {SCOPES}, rg AS (SELECT trace_id, seq, t_us AS lo, t_us + 604800000000 AS hi, (SELECT max(frame_index) FROM frames x WHERE x.trace_id = se.trace_id AND x.start_us < t_us) AS last FROM se WHERE is_begin) SELECT rg.trace_id, rg.seq, frame_index, CASE WHEN end_us IS NOT NULL THEN greatest(0, end_us - start_us) END AS duration_us FROM rg JOIN frames USING (trace_id) WHERE start_us <= hi AND (start_us >= lo OR (frame_index = last AND coalesce(end_us > lo, true)))",
     "wn11_every_viewport": f"WITH {FRAMES2}, {EVERY} SELECT * FROM every",
