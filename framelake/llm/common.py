@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..storage import saved, workspace  # noqa: F401 (the operators take them from here)
+from ..storage import BATCH_BYTES, saved, workspace  # noqa: F401 (the operators take them from here)
 
 #: Most rows of ids or hashes (8 to 24 bytes each) that a join may broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bits of a table of marks, at most: 128 MB as broadcast.
 MARK_BITS = 30
-#: Most bytes of a batch that a session sends to a worker, unless the session sets another bound.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 _held: dict[str, Any] = {}
 
 

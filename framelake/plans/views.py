@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import bounded
+
 EPOCH_US = 1_704_067_200_000_000
 
 
@@ -74,7 +76,7 @@ def batches(events: DataFrame, version: int, size: int = 32) -> DataFrame:
     """Begins and ends of each thread as a log of batches of so many records; a batch comes with its last record."""
     order = Window.partitionBy("trace_id", "thread_id").orderBy("seq")
     rows = events.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
-    rows = rows.groupBy("trace_id", "thread_id", "batch").agg(F.max("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "t_us", "is_begin", "spec_id"))).alias("records"))
+    rows = bounded(rows).groupBy("trace_id", "thread_id", "batch").agg(F.max("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "t_us", "is_begin", "spec_id"))).alias("records"))
 
     @F.pandas_udf("binary")
     def encode(lists: pd.Series) -> pd.Series:
@@ -177,7 +179,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as captures: a text is the packets of a thread, of 20,000 bytes each, some compressed and some with a
     trailer."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''")
-    rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").cast("binary").alias("text")))).alias("turns"))
+    rows = bounded(c).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").cast("binary").alias("text")))).alias("turns"))
 
     @F.pandas_udf("binary")
     def write(conv: pd.Series, guid: pd.Series, turns: pd.Series) -> pd.Series:
@@ -223,7 +225,7 @@ def _captured(kind: str, i: int, t: int, k: int) -> bytes:
 def capture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as captures: a trace's definitions and clock, then a packet for each event of its ten threads."""
     e = _events(spark, sf_dir)
-    rows = e.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("seq", "thread_id", "event_type", "t_us", "spec_id"))).alias("events"))
+    rows = bounded(e).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("seq", "thread_id", "event_type", "t_us", "spec_id"))).alias("events"))
 
     @F.pandas_udf("binary")
     def write(trace: pd.Series, events: pd.Series) -> pd.Series:
@@ -240,7 +242,7 @@ def capture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as captures of a hundred event definitions each."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("trace")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", "p_type", "p_size"))).alias("parts"))
+    rows = bounded(p).groupBy(F.floor(F.col("p_partkey") / 100).alias("trace")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", "p_type", "p_size"))).alias("parts"))
 
     @F.pandas_udf("binary")
     def write(parts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.fields import long_field
 from ..operators.chunks import CHUNK, PART, carried, chunked
-from ..storage import saved, workspace
+from ..storage import bounded, saved, workspace
 
 # Fixed values of the format.
 MAGIC = 0x54524332
@@ -105,7 +105,7 @@ def handshakes(captures: DataFrame) -> DataFrame:
                     out.append({"trace_id": name, "error": str(e)})
             yield pd.DataFrame(out, columns=[c.split()[0] for c in HANDSHAKE.split(", ")])
 
-    return captures.mapInPandas(run, HANDSHAKE)
+    return bounded(captures).mapInPandas(run, HANDSHAKE)
 
 
 def packets(captures: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def packets(captures: DataFrame) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKETS.split(", ")])
 
-    return captures.mapInPandas(run, PACKETS)
+    return bounded(captures).mapInPandas(run, PACKETS)
 
 
 @dataclass
@@ -289,7 +289,7 @@ def decoded(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     of a uid: its size and its fields. Every packet is decoded once: the shared threads of a trace become one written table of
     tagged rows, their events and what the other threads need to know of them. Events of the shared threads come before
     those of the others, and what a trace ends with after them."""
-    good = parts.where("error is null")
+    good = bounded(parts).where("error is null")
     tagged = StructType.fromDDL(f"tag string, {RAW}, {SHARED}").add("definitions", ArrayType(StructType.fromDDL(DEFINITIONS)))
 
     def shared_threads(part: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of a batch that a session sends to a worker, unless the session sets another bound.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, of which workers get batches of bounded size from here on: one row may hold a whole capture, or the events of one."""
+    name, size = BATCH_BYTES
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, size)
+    return df
+
+
 def workspace(spark: SparkSession, prefix: str = "work") -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, a temporary folder if Spark runs in one process, as
     in tests; on a cluster no such folder is shared, so there it is an error."""
