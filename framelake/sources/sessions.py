@@ -13,6 +13,8 @@ from ..operators import modules
 from ..storage import saved, workspace
 from . import captures
 
+#: Folders of a run, to which traces are dealt by hash, so that their number doesn't grow with the traces.
+FOLDERS = 64
 #: Columns that order the rows of a trace, whichever a table has first, and the numbers of a file's range of it.
 ORDER, SPLIT = ("seq", "scope_id", "frame_index", "packet_index", "event_seq"), 1_000_000
 
@@ -32,14 +34,14 @@ def import_traces(spark: SparkSession, path: str, pattern: str = "*.utrace") ->
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Adds the traces of the tables to those under path, or puts them in place of what a table had of the same trace.
 
-    Rows go to new folders, by table, run and trace, files to ranges of a trace's order. The manifest, a row for each table and
+    Rows go to new folders, by table, run and hash of the trace, files to ranges of a trace's order, with traces in order. The manifest, a row for each table and
     trace, is appended to when all are written, as one file: until then readers see the state before, and what a killed
     run left is never read. No table may be called manifest. Runs at the same time must write different traces."""
     spark = next(iter(tables.values())).sparkSession
     run = f"run-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        table = table.withColumn("trace", F.xxhash64("trace_id"))
-        table.repartition("trace", *_range(table)).write.partitionBy("trace").parquet(f"{path}/{name}/run={run}")
+        table = table.withColumn("trace", F.pmod(F.xxhash64("trace_id"), F.lit(FOLDERS)))
+        table.repartition("trace", *_range(table)).sortWithinPartitions("trace", "trace_id").write.partitionBy("trace").parquet(f"{path}/{name}/run={run}")
     rows = spark.createDataFrame([(n, None, t.schema.json()) for n, t in tables.items()], "table string, trace_id string, schema string")
     for n, t in tables.items():
         traces = spark.read.schema(t.schema).parquet(f"{path}/{n}/run={run}").select(F.lit(n).alias("table"), "trace_id").distinct()
@@ -70,7 +72,7 @@ def current_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str, names: list[str], trace_id: str | None = None) -> dict[str, DataFrame]:
-    """The tables as written; of one trace only that one's folders are read."""
+    """The tables as written; of one trace only its folder of a run is read (tables of former versions have one for each trace)."""
     runs, out = current_runs(spark, path), {}
     schemas = {r["table"]: StructType.fromJson(json.loads(r["schema"])) for r in runs.where(F.col("trace_id").isNull() & F.col("table").isin(*names)).collect()}  # a row for each name
     for name in names:
@@ -78,7 +80,9 @@ def read_tables(spark: SparkSession, path: str, names: list[str], trace_id: str
         run = runs.where((F.col("table") == name) & F.col("trace_id").isNotNull()).select("trace_id", "run")
         if trace_id is not None:
             last = run.where(F.col("trace_id") == trace_id).first()
-            table = table.where((F.col("run") == (last["run"] if last else "")) & (F.col("trace") == F.xxhash64(F.lit(trace_id))) & (F.col("trace_id") == trace_id))
+            key = F.xxhash64(F.lit(trace_id))
+            folder = F.col("trace").isin(F.pmod(key, F.lit(FOLDERS)), key)
+            table = table.where((F.col("run") == (last["run"] if last else "")) & folder & (F.col("trace_id") == trace_id))
         else:
             table = table.join(run, ["trace_id", "run"], "left_semi")
         out[name] = table.drop("run", "trace")

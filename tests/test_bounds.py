@@ -23,3 +23,15 @@ def test_captures_come_in_batches_of_bounded_size(spark):
         assert max(r.n for r in sizes.collect()) <= 9
     finally:
         spark.conf.set(BATCH_BYTES[0], old) if old else spark.conf.unset(BATCH_BYTES[0])
+
+
+def test_folders_do_not_grow_with_traces(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    table = spark.range(3000).selectExpr("concat('t', id) AS trace_id", "id AS seq")
+    sessions.write_tables({"scopes": table}, path)
+    (run,) = [r for r in os.listdir(f"{path}/scopes") if r.startswith("run=")]
+    assert len([x for x in os.listdir(f"{path}/scopes/{run}") if x.startswith("trace=")]) <= sessions.FOLDERS
+    sessions.write_tables({"scopes": table.where("seq % 2 = 0").selectExpr("trace_id", "seq + 10000 AS seq")}, path)
+    read = lambda *of: sessions.read_tables(spark, path, ["scopes"], *of)["scopes"]
+    assert read().agg({"seq": "sum"}).first()[0] == sum(range(3000)) + 1500 * 10_000 and read().count() == 3000
+    assert [r.seq for r in read("t8").collect()] == [10_008] and [r.seq for r in read("t7").collect()] == [7]
