@@ -157,20 +157,33 @@ def analyze(events: DataFrame, modules: tuple[Module, ...] = MODULES) -> Tables:
     for m in modules:
         out |= m.tables(events.where(m.handles()))
     if {"records", "thread_updates", "frame_events"} <= out.keys():
+        out |= overview(events, out)
         r = out["records"]
-        seen = r.groupBy("trace_id", "thread_id").agg(F.min("event_seq").alias("_seq"))
-        seen = seen.select("trace_id", "thread_id", F.struct(F.col("_seq").alias("event"), F.lit(2).alias("step")).alias("seq"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("string").alias("group_name"), F.lit(False).alias("is_update"))
-        out["threads"] = inferred_game_thread(dimensions.fold_threads(out["thread_updates"].unionByName(seen)))
-        out["durations"] = scopes.durations(r, out["frame_events"])
         timers = out["timers"].select("trace_id", "spec_id", "name")
         pairs = scopes.pair_scopes(r.where("kind = 'scope'").withColumn("spec_id", F.struct("ref_kind", "ref_id", "instance")))
         ends = r.where("kind = 'end'").groupBy("trace_id", "thread_id").agg(F.min("t_us").alias("thread_end_us"))
         closed = scopes.close_open(pairs, out["durations"], ends).select("*", "spec_id.*").drop("spec_id")
         out["scopes"] = dimensions.resolved(closed, timers, out["metadata_instances"])
-        out["summary"] = summary(events, out)
     return out
 
 
+def overview(events: DataFrame, tables: Tables) -> Tables:
+    """threads, durations and the summary of a log's frames, thread updates and records."""
+    r = tables["records"]
+    seen = r.groupBy("trace_id", "thread_id").agg(F.min("event_seq").alias("_seq"))
+    seen = seen.select("trace_id", "thread_id", F.struct(F.col("_seq").alias("event"), F.lit(2).alias("step")).alias("seq"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("string").alias("group_name"), F.lit(False).alias("is_update"))
+    threads = inferred_game_thread(dimensions.fold_threads(tables["thread_updates"].unionByName(seen)))
+    out = {"threads": threads, "durations": scopes.durations(r, tables["frame_events"])}
+    return out | {"summary": summary(events, tables | out)}
+
+
+def import_summary(events: DataFrame) -> DataFrame:
+    """The summary of ``analyze``, without the timers, pairs of scopes and metadata that it doesn't tell of."""
+    records = saved(batches.records(events.where(f.of_cpu())), f"{workspace(events.sparkSession)}/records")
+    tables = _frames(events.where(f.of_frames())) | _threads(events.where(f.of_threads())) | {"records": records}
+    return overview(events, tables)["summary"]
+
+
 def summary(events: DataFrame, tables: Tables) -> DataFrame:
     """Of each trace: events, frames by type and how many have ended, threads, threads with scopes, duration."""
     count = lambda t, **aggs: t.groupBy("trace_id").agg(*(c.alias(n) for n, c in aggs.items()))

@@ -35,3 +35,11 @@ def test_folders_do_not_grow_with_traces(spark, tmp_path):
     read = lambda *of: sessions.read_tables(spark, path, ["scopes"], *of)["scopes"]
     assert read().agg({"seq": "sum"}).first()[0] == sum(range(3000)) + 1500 * 10_000 and read().count() == 3000
     assert [r.seq for r in read("t8").collect()] == [10_008] and [r.seq for r in read("t7").collect()] == [7]
+
+
+def test_a_summary_pairs_no_scopes(spark, monkeypatch):
+    log = Log(spark).add("BeginFrame", "Misc", ts=0.001).add("EndFrame", "Misc", ts=0.1).add("EventBatch", rate=0.001, data=batch(1, (10, 1), (60, None))).frame()
+    want = modules.analyze(log)["summary"].collect()
+    monkeypatch.setattr(modules.scopes, "pair_scopes", None)
+    monkeypatch.setattr(modules.dimensions, "replay_timers", None)
+    assert modules.import_summary(log).collect() == want and want[0].timelines == 1
