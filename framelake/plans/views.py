@@ -227,14 +227,14 @@ def capture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     rows = bounded(e).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("seq", "thread_id", "event_type", "t_us", "spec_id"))).alias("events"))
 
-    @F.pandas_udf("binary")
-    def write(trace: pd.Series, events: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")  # a trace's events become Python's one trace at a time
+    def write(trace: pa.Array, events: pa.Array) -> pa.Array:
         def one(i, rows):
             clock = (10, 1, "$Trace", "NewTrace", (("StartCycle", 0, 8, 3), ("CycleFrequency", 8, 8, 3)))
             shared = _packet(0, _definition(*clock) + struct.pack("<HHQQ", 10, 16, 100 + i, 1_000_000)) + _packet(1, b"".join(_definition(*d) for d in CAPTURED.values()), True)
             return _head(i % 65536, bytes(16)) + shared + b"".join(_packet(2 + int(r["thread_id"]) % 10, _captured(r["event_type"], int(r["seq"]), int(r["t_us"]), int(r["spec_id"]))) for r in rows)
 
-        return pd.Series([one(int(i), r) for i, r in zip(trace, events)])
+        return pa.array((one(i.as_py(), r.as_py()) for i, r in zip(trace, events)), pa.binary())
 
     return rows.select(F.col("trace_id").cast("string"), write("trace_id", "events").alias("content"))
 
@@ -244,12 +244,12 @@ def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = bounded(p).groupBy(F.floor(F.col("p_partkey") / 100).alias("trace")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", "p_type", "p_size"))).alias("parts"))
 
-    @F.pandas_udf("binary")
-    def write(parts: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def write(parts: pa.Array) -> pa.Array:
         def one(rows):
             return _head(1, bytes(16)) + b"".join(_packet(int(r["p_partkey"]) % 2, _definition(20 + int(r["p_partkey"]) % 70, 4, r["p_brand"], r["p_type"], tuple((f"f{j}", 4 * j, 4, 2) for j in range(int(r["p_size"]) % 9)))) for r in rows)
 
-        return parts.map(one)
+        return pa.array((one(r.as_py()) for r in parts), pa.binary())
 
     return rows.select(F.col("trace").cast("string").alias("trace_id"), write("parts").alias("content"))
 
