@@ -6,16 +6,18 @@ hashes, or its whole word sequence if it has fewer than k words. Documents witho
 1. One scan writes a row per document with its set's size and 64-bit set id, and adds all shingles to a sketch of
    fixed size; equal sets are one node from here on.
 2. Shingles are ordered rare first by the sketch (any order is right; this one keeps the lists short). Two sets
-   that link share one of the first n - ceil(t n) + 1: these prefixes alone are shuffled, and a walk over each
-   list in order of size leaves star edges, cut where sizes are too far apart to link.
-3. Components of the stars are clumps: every link lies in one. The sets of clumps are gathered, and each clump is
+   that link share one of the first n - ceil(t n) + 1, and e of the first n - ceil(t n) + e: these prefixes alone are
+   shuffled, and a walk over each list in order of size gives the pairs of sizes that can link. Pairs that share e
+   shingles of their prefixes stay; sets that share fewer, by chance, don't, so that clumps don't fuse as the corpus
+   grows. Where a list has more than HOT sets for one to pair with, these are joined by an edge each instead.
+3. Components of these pairs are clumps: every link lies in one. The sets of clumps are gathered, and each clump is
    searched by T-occurrence with DivideSkip: a set asks the sets before it; its short inverted lists are merged by a
    heap that skips what can't reach T less the number of long lists, the others are looked up in the long lists by
    binary search, and a set already in the component of the asking one is skipped. A clump beyond a size is cut into
    chunks, and pairs of chunks whose sizes can link are searched apart.
 4. The links kept (a spanning forest of each search) are joined to components.
 
-No pair is emitted but the forests' edges. Null text is empty; null doc_ids are rows without a number: they are
+No pairs are emitted but those of rows near in a list, HOT for a row at most, and the forests' edges. Null text is empty; null doc_ids are rows without a number: they are
 found by their sets and never are the smallest. Repeated rows have equal sets; an empty table gives no row.
 """
 
@@ -41,6 +43,8 @@ from .components import components
 SKETCH_BITS = 24
 #: Shingles of a clump, and of a chunk of a larger one, that one task holds (8 bytes each).
 CHUNK = 1_000_000
+#: Rows of a list, of sizes that can link with one before them, that make pairs with it; of more each makes one edge.
+HOT = 50
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,12 +124,20 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
     return np.frombuffer(b"".join(r.counts for r in sorted(blocks)), np.uint8) if blocks else np.zeros(1 << bits, np.uint8)
 
 
-def _stars(docs: DataFrame, k: int, top: int, of: int, bits: int, sketch) -> DataFrame:
-    """Edges (a, b) between set ids that share a shingle of their prefixes: each to the first of its run of
-    sizes in the list."""
+def common(n, top: int, of: int):
+    """How many shingles of their prefixes two sets that link share, the smaller of which has n: a tenth of its prefix and two. A
+    prefix is longer by so many, less one, than one in which they share a single shingle."""
+    least = needed(n, top, of)
+    return np.minimum(least, 2 + (n - least + 1) // 10)
+
+
+def _candidates(docs: DataFrame, k: int, top: int, of: int, bits: int, sketch) -> DataFrame:
+    """Edges (a, b) between set ids such that sets that link are joined by a path: pairs whose prefixes share enough
+    shingles, counted over the lists, and for sets that are followed by more than HOT sets of sizes that can link in one list, one edge for
+    each of these."""
     spark = docs.sparkSession
-    kind = "h long, n long, sid long"
-    pair = spark_to_arrow(spark, kind)
+    kind, pairs = "h long, n long, sid long", "a long, b long, c long, least long"
+    rows, kinds = spark_to_arrow(spark, kind), spark_to_arrow(spark, pairs)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = sketch.value, set()
@@ -135,33 +147,68 @@ def _stars(docs: DataFrame, k: int, top: int, of: int, bits: int, sketch) -> Dat
                 s = shingles(t, k)
                 if len(s) and (i := set_id(s)) not in seen:  # once for each set and task
                     seen.add(i)
-                    m = len(s) - needed(len(s), top, of) + 1
+                    m = len(s) - needed(len(s), top, of) + int(common(len(s), top, of))
                     hs.append(s[np.lexsort((s, order[s & (1 << bits) - 1]))[:m]])
                     ns.append(np.full(m, len(s)))
                     ids.append(np.full(m, i))
             if hs:
-                yield columns({"h": np.concatenate(hs), "n": np.concatenate(ns), "sid": np.concatenate(ids)}, pair)
+                yield columns({"h": np.concatenate(hs), "n": np.concatenate(ns), "sid": np.concatenate(ids)}, rows)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0 = n0 = s0 = None  # the last row's, and the set that its run began with
-        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for b in batches:
-            h, n, s = (b.column(c).to_numpy() for c in ("h", "n", "sid"))
-            if not len(h):
-                continue
-            # A run ends where the next size is too large to link with any before it.
-            new = np.append(h0 is None or h[0] != h0 or top * n[0] > of * n0, (h[1:] != h[:-1]) | (top * n[1:] > of * n[:-1]))
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            head = np.where(begin < 0, s0 if s0 is not None else 0, s[np.maximum(begin, 0)])
-            h0, n0, s0 = h[-1], n[-1], head[-1]
-            edge = s != head
-            if edge.any():
-                edges = np.unique(np.stack([s[edge], head[edge]], 1), axis=0)
-                yield columns({"a": edges[:, 0], "b": edges[:, 1]}, kinds)
+        for a, b, c, least in walked(([b.column(c).to_numpy() for c in ("h", "n", "sid")] for b in batches), top, of):
+            yield columns({"a": a, "b": b, "c": c, "least": least}, kinds)
         give_back()
 
     lists = docs.select("text").mapInArrow(prefixes, kind).repartition("h").sortWithinPartitions("h", "n", "sid")
-    return lists.mapInArrow(walk, "a long, b long")
+    counted = lists.mapInArrow(walk, pairs).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least"))
+    return counted.where("c >= least").select("a", "b")
+
+
+def walked(batches: Iterator[list[np.ndarray]], top: int, of: int, hot: int = HOT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rows (h, n, sid) in this order: pairs a < b of a list and of sizes that can link, how many lists of a batch have them, and
+    how many must in all; none for edges of rows that have more than hot such rows behind them."""
+    tail = [np.empty(0, np.int64)] * 3  # the last list's last rows
+    for batch in batches:
+        old = len(tail[0])
+        h, n, s = (np.concatenate(x) for x in zip(tail, batch))
+        if len(h) == old:
+            continue
+        again = np.append(False, (h[1:] == h[:-1]) & (s[1:] == s[:-1]))  # a set that several tasks have
+        h, n, s = h[~again], n[~again], s[~again]
+        x, y, head, rest = neighbours(h, n, old, top, of, hot)
+        if len(x):
+            _, at, i = np.unique(s, return_index=True, return_inverse=True)
+            both, c = np.unique(np.minimum(i[x], i[y]) * len(at) + np.maximum(i[x], i[y]), return_counts=True)
+            u, v = at[both // len(at)], at[both % len(at)]
+            yield s[u], s[v], c, common(np.minimum(n[u], n[v]), top, of)
+        if len(rest):
+            zero = np.zeros(len(rest), np.int64)
+            yield np.minimum(s[head], s[rest]), np.maximum(s[head], s[rest]), zero, zero
+        tail = [c[max(int(np.searchsorted(h, h[-1])), len(h) - hot - 2) :] for c in (h, n, s)]
+
+
+def neighbours(h: np.ndarray, n: np.ndarray, old: int, top: int, of: int, most: int) -> tuple[np.ndarray, ...]:
+    """Of rows in order of list h and size n, the first old of which were in the batch before: pairs (x, y), y not of these, of a list
+    and of sizes that can link; and of rows that have more than most such rows behind them, all that they reach (rest) and the
+    first of these (head)."""
+    i, hot = np.arange(len(h)), np.zeros(len(h), bool)
+    at, xs, ys = i, [i[:0]], [i[:0]]
+    for d in range(1, most + 2):
+        at = at[at < len(h) - d]
+        at = at[(h[at + d] == h[at]) & (top * n[at + d] <= of * n[at])]
+        if not len(at):
+            break
+        xs.append(at)
+        ys.append(at + d)
+    hot[at] = True
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    keep = ~hot[x] & (y >= old)
+    # A hot row reaches as many rows and one; where it could reach further, the next one is hot too.
+    reach = np.maximum.accumulate(np.where(hot, i + most + 1, -1))
+    inside = reach >= i
+    begins = inside & ~np.append(False, reach[:-1] >= i[1:])
+    rest = np.flatnonzero(inside & ~begins)
+    return x[keep], y[keep], np.maximum.accumulate(np.where(begins, i, 0))[rest], rest
 
 
 class _Forest:
@@ -272,8 +319,8 @@ def link_groups(docs: DataFrame, path: str, k: int, top: int, of: int, bits: int
     scan = saved(_scan(docs, k, bits), f"{path}/scan")
     table = scan.where("block is null").select("doc_id", "key", "n", "sid")
     sketch = spark.sparkContext.broadcast(_sketch(scan, bits))  # 2^bits bytes
-    stars = saved(_stars(docs, k, top, of, bits, sketch), f"{path}/stars")  # its own stage: one worker for each task
-    clumps = saved(components(stars, f"{path}/clumps"), f"{path}/clump-of")
+    pairs = saved(_candidates(docs, k, top, of, bits, sketch), f"{path}/candidates")  # its own stage: one worker for each task
+    clumps = saved(components(pairs, f"{path}/clumps"), f"{path}/clump-of")
     clumps = saved(clumps.select(F.col("node").alias("sid"), F.col("component").alias("clump")).unionByName(clumps.select(F.col("component").alias("sid"), F.col("component").alias("clump")).distinct()), f"{path}/members")
     n_members = clumps.count()
     # One document for each set of a clump; its text travels to the search and becomes a set there.
