@@ -13,8 +13,9 @@ hashes, or its whole word sequence if it has fewer than k words. Documents witho
 3. Components of these pairs are clumps: every link lies in one. The sets of clumps are gathered, and each clump is
    searched by T-occurrence with DivideSkip: a set asks the sets before it; its short inverted lists are merged by a
    heap that skips what can't reach T less the number of long lists, the others are looked up in the long lists by
-   binary search, and a set already in the component of the asking one is skipped. A clump beyond a size is cut into
-   chunks, and pairs of chunks whose sizes can link are searched apart.
+   binary search, and a set already in the component of the asking one is skipped. Sets that share too little with all
+   others are left out first. A clump beyond a size is cut into chunks, and pairs of chunks whose sizes can link are
+   searched apart.
 4. The links kept (a spanning forest of each search) are joined to components.
 
 No pairs are emitted but those of rows near in a list, HOT for a row at most, and the forests' edges. Null text is empty; null doc_ids are rows without a number: they are
@@ -45,6 +46,8 @@ SKETCH_BITS = 24
 CHUNK = 1_000_000
 #: Rows of a list, of sizes that can link with one before them, that make pairs with it; of more each makes one edge.
 HOT = 50
+#: DivideSkip's price of looking a list up; lists are looked up all at once, so most are long ones.
+MU = 0.002
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -213,14 +216,17 @@ def neighbours(h: np.ndarray, n: np.ndarray, old: int, top: int, of: int, most:
 
 class _Forest:
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
     def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+        return int(self.roots(np.array([i]))[0])
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        out = self.up[of]
+        while (out != (more := self.up[out])).any():
+            out = more
+        self.up[of] = out
+        return out
 
 
 def merge_skip(postings: array, at: list[int], stop: list[int], t: int) -> Iterator[tuple[int, int]]:
@@ -248,52 +254,91 @@ def merge_skip(postings: array, at: list[int], stop: list[int], t: int) -> Itera
                 heappush(heap, (postings[i], k))
 
 
+def able(sizes: np.ndarray, side: np.ndarray, owner: np.ndarray, terms: np.ndarray, top: int, of: int) -> np.ndarray:
+    """How many shingles each set (in rising order of size) shares with others beyond those that a link with the smallest of
+    these needs. Below 0 it can't link: such sets don't count for the rest, until none goes."""
+    spare = np.zeros(len(sizes), np.int64)
+    while True:
+        left = np.flatnonzero(spare >= 0)
+        n = sizes[left]
+        least = np.empty(len(left), np.int64)  # the smallest partner's size; none: beyond all
+        for s in np.unique(side[left]):
+            mine, others = side[left] == s, n[(side[left] != s) | (side[left] == 2)]
+            least[mine] = np.append(others, 1 << 40)[np.searchsorted(others, -(-top * n[mine] // of))]
+        live = spare[owner] >= 0
+        count = np.bincount(terms[live], minlength=int(terms.max(initial=-1)) + 1)
+        shared = np.bincount(owner[live & (count[terms] > 1)], minlength=len(sizes))
+        spare[left] = shared[left] + (top * (n + least) // -(top + of))
+        if (spare[left] >= 0).all():
+            return spare
+
+
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, top: int, of: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets, which are in rising order of size; side 2 asks for pairs of all, sides 0
     and 1 for pairs across. Sets of one side that link are joined by another search.
 
     Each set asks those before it for the least overlap that a link needs. The longest of its inverted lists are set apart,
-    the short ones merged by a heap; what occurs in enough of these is looked up in the long ones by binary search."""
+    the short ones merged by a heap; what occurs in enough of these is looked up in the long ones by binary search.
+    Sets that can link with none are left out beforehand, and those that share most with others come first: most sets link
+    with these, and then what is in their component leaves the lists."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    _, terms, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
     terms = terms.ravel()
-    n = len(sets)
+    spare = able(sizes, side, owner, terms, top, of)
+    # By size class, so that sets that can link are near, and in a class those with most to spare first.
+    edges = [1]
+    while edges[-1] <= sizes[-1]:
+        edges.append(edges[-1] * of // top + 1)
+    kind = np.searchsorted(edges, sizes, side="right")
+    names = np.lexsort((-spare, kind))
+    names = names[spare[names] >= 0]
+    if (n := len(names)) < 2:
+        return []
+    place = np.full(len(sets), -1)
+    place[names] = np.arange(n)
+    by = np.argsort(place[owner], kind="stable")[int((spare[owner] < 0).sum()) :]
+    owner, (_, terms, count) = place[owner[by]], np.unique(terms[by], return_inverse=True, return_counts=True)
+    terms, by_size = terms.ravel(), np.sort(sizes[names])
+    sizes, side, kind = sizes[names], side[names], kind[names]
     # The inverted lists one after the other, each in order of the sets.
-    postings = array("q", (np.sort(terms * n + owner) % n).tobytes())
-    begin, ends = np.cumsum(count) - count, np.cumsum(sizes)
-    up, out = _Forest(n), []
+    keys = np.sort(terms * n + owner)
+    ends, both = np.cumsum(sizes), bool((side == 2).all())
+    joined, out = _Forest(n), []
     for q in range(1, n):
-        mine = terms[ends[q] - sizes[q] : ends[q]]
+        low = int(np.searchsorted(kind, kind[q] - 1))  # the first set that can be large enough
+        size = int(sizes[q])
+        t = -(-top * (size + int(by_size[np.searchsorted(by_size, needed(size, top, of))])) // (top + of))  # for the smallest of these
+        mine = terms[ends[q] - size : ends[q]]
         mine = mine[count[mine] > 1]
-        t = needed(int(sizes[q]), top, of)
-        low = int(np.searchsorted(sizes, t))  # the first set that is large enough
-        if len(mine) < t or low >= q:
+        if len(mine) < t or low == q:
             continue
         mine = mine[np.argsort(count[mine], kind="stable")]
-        first, last = begin[mine], begin[mine] + count[mine]
-        first, last = first.tolist(), last.tolist()
-        # Of each list, the part from the first set that is large enough to the asking one.
-        if low:
-            first = [bisect_left(postings, low, a, z) for a, z in zip(first, last)]
-        last = [bisect_left(postings, q, a, z) for a, z in zip(first, last)]
-        lists = [(a, z) for a, z in zip(first, last) if a < z]
-        if len(lists) < t:
-            continue
-        lists.sort(key=lambda x: x[1] - x[0])
-        n_long = min(t - 1, int(t / (0.01 * np.log2(lists[-1][1] - lists[-1][0] + 2) + 1)))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        for r, got in merge_skip(postings, [a for a, _ in short], [z for _, z in short], t - n_long):
-            if side[r] == side[q] != 2 or up.find(r) == up.find(q):
-                continue
-            need = -(-top * int(sizes[q] + sizes[r]) // (top + of))  # of * shared >= top * union
-            if got + n_long >= need:
-                for a, z in long:
-                    i = bisect_left(postings, r, a, z)
-                    got += i < z and postings[i] == r
-                if got >= need:
-                    out.append((q, r))
-                    up.up[max(up.find(r), up.find(q))] = min(up.find(r), up.find(q))
+        n_long = min(t - 1, int(t / (MU * np.log2(int(count[mine[-1]]) + 1) + 1)))
+        cut = len(mine) - n_long
+        long = mine[cut:] * n
+        first, last = np.searchsorted(keys, mine[:cut] * n + low), np.searchsorted(keys, mine[:cut] * n + q)
+        which = np.repeat(np.arange(cut), last - first)
+        short = keys[np.arange(len(which)) + np.repeat(first - (np.cumsum(last - first) - (last - first)), last - first)] % n
+        keep = (top * sizes[short] <= of * size) & (top * size <= of * sizes[short])
+        if not both:
+            keep &= side[short] != side[q]
+        while True:
+            keep &= joined.roots(short) != joined.find(q)
+            which, short = which[keep], short[keep]
+            at = np.searchsorted(which, np.arange(cut + 1))
+            lists = np.flatnonzero(at[1:] > at[:-1])
+            for r, got in merge_skip(array("q", short.tobytes()), at[lists].tolist(), at[lists + 1].tolist(), t - n_long):
+                need = -(-top * (size + int(sizes[r])) // (top + of))  # of * shared >= top * union
+                if got + n_long >= need:
+                    spot = np.searchsorted(keys, long + r)
+                    if got + int((keys[np.minimum(spot, len(keys) - 1)] == long + r).sum()) >= need:
+                        break
+            else:
+                break
+            out.append((int(names[q]), int(names[r])))
+            joined.up[joined.find(q)] = joined.find(r)
+            keep = short > r
     return out
 
 

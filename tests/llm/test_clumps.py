@@ -63,3 +63,26 @@ def test_pairs_of_lists_join_all_links(hot, top):
         assert want and all(clump[a] == clump[b] for a, b in want)
         if hot == 50:  # no pair is counted twice in the lists
             assert all(c[p] <= len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in c if need[p])
+
+
+@pytest.mark.parametrize("top", [60, 90])
+def test_a_search_finds_a_forest_of_the_links(top):
+    for seed in range(6):
+        sets = sets_of(seed)
+        want = links(sets, top, 100)
+        got = jaccard.divide_skip(sets, np.full(len(sets), 2), top, 100)
+        assert {tuple(sorted(p)) for p in got} <= want and parts(len(sets), got) == parts(len(sets), want)
+        side = np.random.default_rng(seed).integers(0, 2, len(sets))
+        across = {(a, b) for a, b in want if side[a] != side[b]}
+        got = jaccard.divide_skip(sets, side, top, 100)
+        assert across and {tuple(sorted(p)) for p in got} <= across and parts(len(sets), got) == parts(len(sets), across)
+
+
+def test_a_search_looks_up_no_copy_that_is_joined(monkeypatch):
+    """Copies with an edit each that link with the first all: the merge gives each about one of them, not all before it."""
+    base = np.arange(400)
+    sets = [base, *(np.sort(np.append(np.delete(base, [i, i + 1, i + 2]), [1_000 + 3 * i, 1_001 + 3 * i, 1_002 + 3 * i])) for i in range(0, 300, 3))]
+    seen, merge = [], jaccard.merge_skip
+    monkeypatch.setattr(jaccard, "merge_skip", lambda *a: (seen.append(x) or x for x in merge(*a)))
+    assert len(jaccard.divide_skip(sets, np.full(len(sets), 2), 90, 100)) == len(sets) - 1
+    assert len(seen) <= 2 * len(sets)
